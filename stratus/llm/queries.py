@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, token_files, url_filter, warc
+from . import exact_dedup, jaccard, packing, suffix_dedup, token_files, url_filter, warc
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -35,12 +35,20 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_file("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_packing, op4_url_filter, op10_token_files)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_packing, op4_url_filter, op7_suffix_dedup, op9_jaccard_join, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
