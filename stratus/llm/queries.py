@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard, packing, suffix_dedup, token_files, url_filter, warc
+from . import chroma, exact_dedup, jaccard, packing, piece_codec, quality, suffix_dedup, token_files, url_filter, warc
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -35,6 +35,19 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op5_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings made from the embeddings, aligned."""
+    return chroma.align(chroma.recordings(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.piece_report(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeat_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -48,7 +61,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_warc, op3_packing, op4_url_filter, op7_suffix_dedup, op9_jaccard_join, op10_token_files)}
+    ops = (op1_exact_dedup, op2_warc, op3_packing, op4_url_filter, op5_chroma, op6_quality, op7_suffix_dedup, op8_pieces, op9_jaccard_join, op10_token_files)
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
