@@ -4,73 +4,72 @@ Every document starts in one group. A round splits each open group by its docume
 time, wider from round to round); a group that holds one document, or whose documents have no bytes left, is closed.
 Documents compare by their bytes only; no digest takes part in the decision. The blocks are counted with partial
 aggregation, so copies collapse before the shuffle, and only blocks that at least two documents share are written and
-joined back, so that Spark can broadcast them while they are few and split skewed partitions when they are many.
+joined back. The first round moves no text but its blocks; the texts of the documents that it leaves open move once,
+to a table on which the later rounds work.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .shared import stored
 
 FIRST_BLOCK, BLOCK_GROWTH, WIDEST_BLOCK = 64, 4, 1 << 20
 
 
+def _blocks(width: int) -> list[Column]:
+    return [F.substring("rest", 1, width).alias("block"), (F.length("rest") <= width).alias("ended")]
+
+
+def _split(rows: DataFrame, *more: str) -> DataFrame:
+    """``rows`` (id, sha, grp, block, ended) with the new group, and the size and largest id of the group; null if alone."""
+    shared = rows.groupBy("grp", "block", "ended").agg(F.max("id").alias("keep_id"), F.count("*").alias("n")).where("n > 1")
+    shared = stored(shared.withColumn("next", F.monotonically_increasing_id()), "radix-groups")
+    joined = rows.join(shared, ["grp", "block", "ended"], "left").withColumn("going", ~F.col("ended") & F.col("n").isNotNull())
+    return joined.select("id", "sha", "keep_id", "n", "going", F.col("next").alias("grp"), *more)
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``row`` (the input row's own number), id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
+    """One row per input row: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
 
-    Of equal texts the row with the largest id stays; null ids come last, and of rows that repeat both id and text
-    the one read last stays. A null text counts as empty; all empty texts form one group. An empty table gives an
-    empty result. Columns other than the two named are ignored. ``docs`` must give the same rows in the same
-    partitions when Spark reads it again, as stored tables do.
+    Of equal texts the row with the largest id stays; a null id is smaller than any other, and a group of null ids keeps
+    null. A null text counts as empty; all empty texts form one group. Rows that repeat both id and text count each in
+    ``group_size`` and share one verdict. An empty table gives an empty result. Other columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    state = docs.select(
-        F.monotonically_increasing_id().alias("row"),
-        F.col(id_col).alias("id"),
-        F.sha2(text, 256).alias("sha"),
-        F.lit(-1).cast("bigint").alias("grp"),
-        text.alias("rest"),
-    )
-    closed, width = [], FIRST_BLOCK
-    while True:
-        open_ = state.select(
-            "row", "id", "sha", "grp", F.substring("rest", 1, width).alias("block"),
-            (F.length("rest") <= width).alias("ended"), F.expr(f"substring(rest, {width + 1})").alias("rest"),
-        )
-        shared = (
-            open_.groupBy("grp", "block", "ended")
-            .agg(F.max(F.struct(F.col("id").alias("keep_id"), F.col("row").alias("keep_row"))).alias("top"), F.count("*").alias("n"))
-            .where("n > 1")
-        )
-        shared = stored(shared.select("grp", "block", "ended", "top.*", "n"), "radix-groups")
-        going = ~F.col("ended") & F.col("n").isNotNull()
-        split = stored(
-            open_.join(shared, ["grp", "block", "ended"], "left").select(
-                "row", "id", "sha", "keep_row", "keep_id", "n", going.alias("going"), F.when(going, F.col("rest")).alias("rest")
-            ),
-            "radix-split",
+    rows = docs.select(F.col(id_col).alias("id"), F.sha2(text, 256).alias("sha"), text.alias("rest"), F.lit(-1).cast("bigint").alias("grp"))
+    split = stored(_split(rows.select("id", "sha", "grp", *_blocks(FIRST_BLOCK))), "radix-split")
+    closed = [split.where("not going")]
+    going = split.where("going").select(F.col("id").alias("i"), F.col("sha").alias("s"), F.col("grp").alias("g")).distinct()
+    if not going.isEmpty():
+        later = rows.select("id", "sha", F.expr(f"substring(rest, {FIRST_BLOCK + 1})").alias("rest"))
+        # merge: the open documents grow with the corpus; id and digest only say which row is meant
+        open_ = later.join(going.hint("merge"), F.col("id").eqNullSafe(F.col("i")) & (F.col("sha") == F.col("s")))
+        state, width = stored(open_.select("id", "sha", F.col("g").alias("grp"), "rest"), "radix-open"), FIRST_BLOCK
+        while not state.isEmpty():
+            width = min(width * BLOCK_GROWTH, WIDEST_BLOCK)
+            later = F.expr(f"substring(rest, {width + 1})")
+            split = _split(state.select("id", "sha", "grp", *_blocks(width), later.alias("rest")), "rest")
+            split = stored(split.withColumn("rest", F.when(F.col("going"), F.col("rest"))), "radix-split")
+            closed.append(split.where("not going"))
+            state = split.where("going").select("id", "sha", "grp", "rest")
+    out = [
+        part.select(
+            F.col("id").alias(id_col),
+            F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
+            F.coalesce("n", F.lit(1)).cast("bigint").alias("group_size"),
+            (F.col("n").isNull() | F.col("id").eqNullSafe(F.col("keep_id"))).alias("kept"),
+            F.col("sha").alias("text_sha256"),
         )
-        closed.append(
-            split.where("not going").select(
-                "row", F.col("id").alias(id_col),
-                F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
-                F.coalesce("n", F.lit(1)).cast("bigint").alias("group_size"),
-                (F.coalesce("keep_row", "row") == F.col("row")).alias("kept"),
-                F.col("sha").alias("text_sha256"),
-            )
-        )
-        state = split.where("going").select("row", "id", "sha", F.col("keep_row").alias("grp"), "rest")
-        if state.isEmpty():
-            break
-        width = min(width * BLOCK_GROWTH, WIDEST_BLOCK)
-    out = closed[0]
-    for part in closed[1:]:
-        out = out.unionByName(part)
-    return out
+        for part in closed
+    ]
+    for part in out[1:]:
+        out[0] = out[0].unionByName(part)
+    return out[0]
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that :func:`exact_groups` drops; all columns stay."""
-    dropped = exact_groups(docs, id_col, text_col).where("not kept").select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(dropped, "__row", "left_anti").drop("__row")
+    dropped = exact_groups(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+    return docs.join(stored(dropped, "radix-dropped"), F.col(id_col).eqNullSafe(F.col("__id")) & (sha == F.col("__sha")), "left_anti").select(*docs.columns)
