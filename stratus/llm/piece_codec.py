@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 MARK = "▁"
-MEMO = 800_000
+MEMO = 600_000
 
 
 class PieceCodec:
@@ -130,6 +131,12 @@ class PieceCodec:
         return b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")[1:]
 
 
+@lru_cache(1)
+def piece_codec(model: str) -> PieceCodec:
+    """The codec of a Python worker; later tasks of the worker know the words of earlier ones."""
+    return PieceCodec(model)
+
+
 def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, ids (binary, unsigned 32-bit), in the partitions of ``docs``: nothing is shuffled.
 
@@ -137,9 +144,8 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     """
 
     def run(frames):
-        codec = None
+        codec = piece_codec(model)
         for frame in frames:
-            codec = codec or PieceCodec(model)
             for i in range(0, len(frame), 1024):
                 part = frame.iloc[i : i + 1024]
                 yield pd.DataFrame({id_col: part["id"], "ids": codec.encode(part["text"].tolist())})
@@ -152,9 +158,8 @@ def decode_pieces(encoded: DataFrame, model: str, ids_col: str = "ids") -> DataF
     """``encoded`` with a column ``decoded``."""
 
     def run(frames):
-        codec = None
+        codec = piece_codec(model)
         for frame in frames:
-            codec = codec or PieceCodec(model)
             yield frame.assign(decoded=[codec.decode(x) for x in frame[ids_col]])
 
     return encoded.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", decoded string")

@@ -44,13 +44,13 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, where: str,
 
         from pyspark import TaskContext
 
-        from .word_encoder import WordEncoder
+        from .word_encoder import word_encoder
 
         part, out, encoder = TaskContext.get().partitionId(), None, None
         offsets, doc_ids = [0], []
         for ids, texts in _lists(frames):
             if out is None:
-                encoder = WordEncoder(tokenizer)
+                encoder = word_encoder(tokenizer)
                 end = np.array([end_id], encoder.dtype).tobytes()
                 path = f"{where}/part-{part:06d}-{uuid.uuid4().hex}"
                 fs, local = file_system(path)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 
@@ -61,17 +62,18 @@ class WordEncoder:
                 self.memo.update(zip(block, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
 
     def _learn(self, words: list[str]) -> None:
-        memo, plain, tailed, rest, lower = self.memo, [], [], [], []
+        memo, rest, lower = self.memo, [], []
         ended = self.kind == "ended"
+        plain = [w for w in words if w.isalpha()]
+        if ended:
+            lower = [(w, w.lower(), "") for w in plain if w.isascii() and not w.islower()]
+            plain = list({*plain}.difference(w for w, _, _ in lower))
+        tailed = [(w, c, w[-1]) for w in words if (c := w[:-1]).isalpha() and w[-1] in PUNCTUATION and "İ" not in c]
+        done = {w for w, _, _ in tailed}
         for w in words:
-            if w.isalpha():
-                if ended and w.isascii() and not w.islower():
-                    lower.append((w, w.lower(), ""))
-                else:
-                    plain.append(w)
-            elif (c := w[:-1]).isalpha() and w[-1] in PUNCTUATION and "İ" not in c:
-                tailed.append((w, c, w[-1]))
-            elif w in ("", "\0") or w != "\n" and (w[-1].isspace() or w[w[0] == "\0"].isspace()):
+            if w.isalpha() or w in done:
+                continue
+            if w in ("", "\0") or w != "\n" and (w[-1].isspace() or w[w[0] == "\0"].isspace()):
                 memo[w] = None
             elif (m := TAIL.fullmatch(w)) and m[1].isalpha() and "İ" not in w:
                 tailed.append((w, m[1], m[2]))
@@ -88,7 +90,7 @@ class WordEncoder:
 
     def _words(self, t: str) -> list[str]:
         if self.kind == "ended":
-            return t.split()
+            return (t.lower() if t.isascii() else t).split()
         words = t.replace("\n", " \n \0").split(" ")
         words[0] = "\0" + words[0]
         return words
@@ -120,3 +122,9 @@ class WordEncoder:
             return self._whole([t])[0]
         parts = SINGLE_SPACE.split(t)
         return b"".join(self._whole([parts[0], *(" " + p for p in parts[1:])]))
+
+
+@lru_cache(1)
+def word_encoder(path: str) -> WordEncoder:
+    """The encoder of a Python worker; later tasks of the worker know the words of earlier ones."""
+    return WordEncoder(path)
