@@ -94,11 +94,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, i
     spark = docs.sparkSession
 
     def tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from .word_encoder import WordEncoder
+        from .word_encoder import word_encoder
 
-        encoder, directions = None, _directions()
+        directions = _directions()
         for frame in frames:
-            encoder = encoder or WordEncoder(tokenizer)
+            encoder = word_encoder(tokenizer)
             width = encoder.dtype.itemsize
             end = np.array([end_id], encoder.dtype).tobytes()
             for i in range(0, len(frame), 512):
@@ -145,7 +145,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, i
             done = pd.DataFrame(out, columns=["id", "start", "length", "ids", "width", "doc_tokens", "sequence_id", "offset"])
             yield done.astype({"id": "Int64"})
 
-    whole = table.select("id", "row", "n", "ids", "width").join(placed, "row")
+    whole = table.select("id", "row", "n", "ids", "width").join(placed.hint("merge"), "row")  # places grow with the corpus
     packed = whole.mapInPandas(cut, "id bigint, start bigint, length bigint, ids binary, width int, doc_tokens bigint, sequence_id bigint, offset bigint")
     return packed.withColumnRenamed("id", id_col)
 
