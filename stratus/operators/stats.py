@@ -157,8 +157,9 @@ def relative_time_composite(rows: DataFrame, keys: list[str], value: str, least_
 def autocorrelation(df: DataFrame, value: str, keys: list[str], order: str, max_lag: int) -> DataFrame:
     """Pearson correlation with the value ``lag`` rows earlier."""
     w = Window.partitionBy(*keys).orderBy(order)
-    pairs = F.explode(F.array(*[F.struct(F.lit(k).cast("bigint").alias("lag"), F.lag(value, k).over(w).alias("x")) for k in range(max_lag + 1)]))
-    return df.select(*keys, value, pairs.alias("p")).groupBy(*keys, F.col("p.lag").alias("lag")).agg(F.corr(F.col(value), F.col("p.x")).alias("rho"))
+    late = df.withColumns({f"__{k}": F.lag(value, k).over(w) for k in range(max_lag + 1)})
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).cast("bigint").alias("lag"), F.col(f"__{k}").alias("x")) for k in range(max_lag + 1)]))
+    return late.select(*keys, value, pairs.alias("p")).groupBy(*keys, F.col("p.lag").alias("lag")).agg(F.corr(F.col(value), F.col("p.x")).alias("rho"))
 
 
 def lagged_covariance(df: DataFrame, series: str, order: str, value: str, max_lag: int) -> DataFrame:
