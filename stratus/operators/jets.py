@@ -24,11 +24,12 @@ def alignment(points: DataFrame, keys: list[str], order: str, name: str = "align
     return points.withColumns({"__x": dx, "__y": dy}).withColumn(name, cos).drop("__x", "__y")
 
 
-def find_jets(grid: DataFrame, keys: list[str], first: tuple[float, float], step: tuple[float, float], s_thresh: float = 20.0, alignment_thresh: float = 0.3, int_thresh: float = 0.0, end_dist: float = 1e6, hole_size: int = 4, nlon: int | None = None) -> DataFrame:
+def find_jets(grid: DataFrame, keys: list[str], first: tuple[float, float], step: tuple[float, float], s_thresh: float = 20.0, alignment_thresh: float = 0.3, int_thresh: float = 0.0, end_dist: float = 1e6, hole_size: int = 4, max_gap: float = 3.0, nlon: int | None = None) -> DataFrame:
     """Jet cores: pieces of the zero line of the wind speed's derivative across the wind, where the wind is strong and
     along the line. Columns: keys, jet_id, index, lon, lat, u, v, s, alignment, int.
 
-    Holes of less than ``hole_size`` points inside a run stay in it, those at its ends do not. ``s_thresh`` is in m/s.
+    Holes of less than ``hole_size`` points inside a run stay in it, those at its ends do not. ``s_thresh`` is in m/s;
+    steps of more than ``max_gap`` degrees part a line.
     """
     sigma = norm_derivative(grid, "s", keys)
     lines = contours(sigma.where(F.col("sigma").isNotNull()), "sigma", [0.0], keys, nlon, MIN_CONTOUR)
@@ -41,7 +42,7 @@ def find_jets(grid: DataFrame, keys: list[str], first: tuple[float, float], step
     runs = runs.where("inside").withColumn("__n", size).where(F.col("__n") > MIN_RUN)
     w = Window.partitionBy(*own, "run").orderBy("index")
     gap = F.hypot(F.col("lon") - F.lag("lon").over(w), F.col("lat") - F.lag("lat").over(w))
-    parts = split_on_gap(runs.withColumn("__g", gap), [*own, "run"], "index", F.col("__g"), 3.0)
+    parts = split_on_gap(runs.withColumn("__g", gap), [*own, "run"], "index", F.col("__g"), max_gap)
     one = [*own, "run", "part"]
     total = path_integral(parts, one, "index", F.col("s"))
     ends = parts.groupBy(*one).agg(*[f(c, "index").alias(f"__{c}{k}") for c in ("lon", "lat") for f, k in ((F.min_by, 0), (F.max_by, 1))], F.count("*").alias("__c"))

@@ -79,12 +79,12 @@ def test_closed_and_open_contours(spark):
     flat = grid(spark, lambda lon, lat: (lat, 0))
     line = C.contours(flat, "u", [15.0], ["step"], min_points=4).collect()
     assert len(line) == 36 and not line[0].cyclic and all(abs(r.lat - 15) < 1e-9 for r in line)
-    assert [r.lon for r in sorted(line, key=lambda r: r.index)] == sorted(r.lon for r in line)
+    assert [r.lon for r in sorted(line, key=lambda r: r["index"])] == sorted(r.lon for r in line)
 
 
 def test_zonal_jet(spark):
-    df = grid(spark, lambda lon, lat: (50 * math.exp(-(((lat - 45) / 8) ** 2)), 0), nlon=36, nlat=30, dlat=2.0, lat0=20.0).withColumn("s", F.hypot("u", "v"))
-    out = JT.find_jets(df, ["step"], (-180.0, 20.0), (10.0, 2.0), s_thresh=20.0)
+    df = grid(spark, lambda lon, lat: (50 * math.exp(-(((lat - 45) / 8) ** 2)), 0), nlon=30, nlat=30, dlat=2.0, lat0=20.0).withColumn("s", F.hypot("u", "v"))
+    out = JT.find_jets(df, ["step"], (-180.0, 20.0), (10.0, 2.0), s_thresh=20.0, max_gap=15.0)
     rows = out.collect()
     assert rows and {r.jet_id for r in rows} == {0} and all(abs(r.lat - 45) < 1.5 and r.alignment > 0.99 for r in rows)
     props = JT.jet_properties(out, ["step", "jet_id"]).first()
