@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from stratus.functions import measures as M, sphere as S
-from stratus.operators import aggregate as A, grid as G, joins as J, learn as L, select as E, sequence as Q, stats as T
+from stratus.operators import aggregate as A, contours as C, graph, grid as G, jets as JT, joins as J, learn as L, points as P, select as E, sequence as Q, stats as T, tracking as TR
 
 from . import roles
 from .roles import DAILY, FIELD, LABELS, MEMBERS, PATHS, SERIES
@@ -621,5 +621,110 @@ def x10_thermodynamics(spark, sf):
     return d.select("jet", "year", r(F.col("q") * S.R_DRY * 1e-3, 4).alias("x"), r(S.potential_temperature(F.col("t"), F.lit(250.0))).alias("theta"))
 
 
+# without SQL: iterations, folds over paths, and fitted models ------------------------------------------------------------
+
+
+@query()
+def t03_components(spark, sf):
+    """Orders that share a part, supplier, quantity and discount, by chains of such ties."""
+    x = roles.table(spark, sf, "lineitem").select("l_orderkey", F.xxhash64("l_partkey", "l_suppkey", "l_quantity", "l_discount").alias("k"))
+    first = x.groupBy("k").agg(F.min("l_orderkey").alias("b"))
+    edges = x.join(first, "k").where("l_orderkey <> b").select(F.col("l_orderkey").alias("a"), "b")
+    return graph.connected_components(edges)
+
+
+def _climate(spark, sf):
+    """The field's mean by month of the year, which leaves few nodes empty."""
+    f = roles.field(spark, sf).groupBy((F.col("step") % 12).alias("step"), "ilon", "ilat", "lon", "lat")
+    return f.agg(*[F.avg(c).alias(c) for c in ("u", "v", "s")])
+
+
+@query()
+def g01_contours(spark, sf):
+    return C.contours(_climate(spark, sf), "s", [26.0], ["step"], 36, 10)
+
+
+@query()
+def g03_overturnings(spark, sf):
+    lines = C.contours(_climate(spark, sf), "s", [26.0], ["step"], 36, 10)
+    return C.overturnings(lines, ["step", "contour"], 20.0, 0.0, 5.0, 3)
+
+
+@query()
+def t01_find_jets(spark, sf):
+    return JT.find_jets(_climate(spark, sf), ["step"], (-180.0, -85.0), (10.0, 10.0), 10.0, 0.0, 0.0, 0.0, 4, 25.0, 36)
+
+
+@query()
+def m01_jet_properties(spark, sf):
+    return JT.jet_properties(roles.paths(spark, sf), ["jet_id"])
+
+
+@query()
+def j05_bilinear(spark, sf):
+    at = roles.paths(spark, sf).withColumn("step", F.col("index") % 12)
+    return P.bilinear(at.select("jet_id", "index", "step", "lon", "lat"), _climate(spark, sf), ["step"], ["u", "v"], (-180.0, -85.0), (10.0, 10.0), 36)
+
+
+@query()
+def t04_track(spark, sf):
+    p = roles.paths(spark, sf).select((F.col("jet_id") % 3).alias("member"), F.floor(F.col("jet_id") / 3).alias("step"), F.lit(0).cast("bigint").alias("jet_id"), "index", "lon", "lat", "s")
+    return TR.track(p, ["member"], "step").select("member", "step", "dist", "lon_overlap", "ds")
+
+
+@query()
+def r01_bootstrap(spark, sf):
+    spells = _spells(spark, sf).where("jet = 'click'").select("spell", "step")
+    times = roles.series(spark, sf).select("step").distinct()
+    drawn = T.bootstrap_times(spells, times, "step", 100).join(roles.series(spark, sf).where("jet = 'view'"), "step")
+    return T.rank_pvalue(drawn.groupBy("sample_index").agg(F.avg("value").alias("value")), "value", "sample_index", 100, [])
+
+
+@query()
+def r03_block_trends(spark, sf):
+    yearly = roles.daily(spark, sf).groupBy("jet", "year").agg(F.avg("qty").alias("qty"))
+    return T.block_trend_pvalues(yearly, "qty", "year", ["jet"], 2, 200)
+
+
+@query()
+def r16_hurst(spark, sf):
+    return T.hurst(roles.daily(spark, sf), "qty", ["jet"], "day", [1, 2, 3, 4, 5])
+
+
+@query()
+def w22_band_pass(spark, sf):
+    return G.band_pass(roles.members(spark, sf), "value", ["member"], "step", 0.0, 0.1, 16).select("member", "step", "filtered")
+
+
+@query()
+def l02_pca(spark, sf):
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    x = roles.table(spark, sf, "embeddings").select("vec_id", array_to_vector("embedding").alias("features"))
+    return L.pca(x, 4)[0].select("vec_id", vector_to_array("scores").alias("scores"))
+
+
+@query()
+def l03_kmeans(spark, sf):
+    from pyspark.ml.functions import array_to_vector
+
+    x = roles.table(spark, sf, "embeddings").select("vec_id", array_to_vector("embedding").alias("features"))
+    return L.kmeans(x, 10).groupBy("label").count()
+
+
+@query()
+def l20_map_quality(spark, sf):
+    x = roles.table(spark, sf, "embeddings").select(F.col("embedding").cast("array<double>").alias("v"))
+    return L.map_quality(x, "v", L.som(x, "v", 4, 3, 3))
+
+
+@query()
+def l12_predict(spark, sf):
+    x = roles.table(spark, sf, "labels").join(roles.table(spark, sf, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
+    x = x.withColumns({"size": F.log("n_chars"), **{f"is_{k}": (F.col("lang") == k).cast("double") for k in ("en", "fr", "de")}})
+    out = L.predict(x, ["size", "is_en", "is_fr", "is_de"], "toxic", L.fold_of(F.col("doc_id"), 3), 3)
+    return L.scores(out, F.col("toxic") == 1, "prob", ["fold"])
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t10_persistent_spells(spark, sf_dir)
