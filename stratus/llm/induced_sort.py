@@ -62,24 +62,32 @@ class SymbolQueue:
 
 def types(text: np.ndarray) -> np.ndarray:
     """True for S: smaller than the suffix that follows. The last symbol is the unique smallest."""
-    step = np.sign(np.diff(text.astype(np.int64)))
-    n = len(text)
-    at = np.where(step != 0, np.arange(n - 1), n - 1)
-    nxt = np.minimum.accumulate(at[::-1])[::-1]
+    up, n = text[1:] > text[:-1], len(text)
     s_type = np.ones(n, bool)
-    s_type[:-1] = np.append(step, 1)[nxt] > 0
+    level = np.flatnonzero(text[1:] == text[:-1])
+    s_type[:-1] = up
+    if len(level):  # equal neighbours have the type of what follows their run
+        last = np.flatnonzero(np.concatenate((np.diff(level) > 1, [True])))
+        s_type[level] = np.repeat(up[level[last] + 1], np.diff(np.concatenate(([-1], last))))
     return s_type
 
 
+#: Pairs of suffixes that are compared at once.
+COMPARED = 1 << 15
+
+
 def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int = CAP) -> np.ndarray:
     """Common prefix lengths of suffix pairs, at most ``cap``."""
+    if len(a) > COMPARED:
+        return np.concatenate([common_prefix(text, a[k : k + COMPARED], b[k : k + COMPARED], cap) for k in range(0, len(a), COMPARED)])
     out = np.zeros(len(a), np.int64)
     live, n, step = np.arange(len(a)), len(text), 16
     span = np.arange(step)
     while len(live):
         x, y = a[live] + out[live], b[live] + out[live]
         same = text[np.minimum(x[:, None] + span, n - 1)] == text[np.minimum(y[:, None] + span, n - 1)]
-        same &= (x[:, None] + span < n) & (y[:, None] + span < n)
+        if max(x.max(), y.max()) + step > n:
+            same &= (x[:, None] + span < n) & (y[:, None] + span < n)
         whole = same.all(1)
         out[live] += np.where(whole, step, same.argmin(1))
         live = live[whole & (out[live] < cap)]
@@ -221,7 +229,6 @@ def _double(text: np.ndarray) -> np.ndarray:
     """Sorted suffixes of a small string by prefix doubling."""
     n, k = len(text), 1
     rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    order = np.argsort(rank, kind="stable")
     while True:
         second = np.full(n, -1, np.int64)
         second[: n - k] = rank[k:] if k < n else 0
@@ -267,6 +274,8 @@ def sorted_seeds(text: np.ndarray, folder: str, in_memory: int = IN_MEMORY) -> n
 
 def _same(text: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Whether substrings of equal length are equal."""
+    if len(a) > COMPARED:
+        return np.concatenate([_same(text, a[k : k + COMPARED], b[k : k + COMPARED], length[k : k + COMPARED]) for k in range(0, len(a), COMPARED)])
     out, live, done, span = np.ones(len(a), bool), np.arange(len(a)), 0, np.arange(16)
     while len(live):
         inside = span + done < length[live, None]

@@ -1,17 +1,15 @@
 """Repeated byte strings over all documents by externally induced suffix sorting of shards.
 
 A string of ``length`` bytes belongs to the least hashed gram in it (the leftmost of equal ones), which is the same
-wherever the string occurs. Runs of strings with one such anchor form a region; an anchor seen once needs no sorting.
-The regions of the other anchors go to shards by anchor, each different region once for each task, and every shard is
-suffix-sorted on its own: two equal strings always meet in one shard. Occurrences of anchors and regions that a task
-saw more than once are known to repeat and travel apart from their anchor, so a frequent passage loads no shard with
-its occurrences. Only regions of anchors with several different regions are sorted; the sort keeps its text and queues on
-disk, so a shard may be larger than memory.
+wherever the string occurs. Runs of strings with one such anchor form a region; an anchor seen once needs no sorting, and
+regions seen twice whole repeat whole. What is left are different regions of one anchor: one text of each goes to the
+anchor's shard, and every shard is suffix-sorted on its own, as two equal strings always meet in one shard. The sort
+keeps its text and queues on disk, so a shard may be larger than memory. Regions that a task meets more than once go on
+as one, and their places travel apart from their anchor, so a frequent passage loads no shard with its occurrences.
 """
 
 from __future__ import annotations
 
-import hashlib
 import tempfile
 from collections.abc import Iterator
 
@@ -20,21 +18,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .induced_sort import repeated_starts
-from .shingles import U64, batches, prefix_hash, powers
+from .shared import stored
+from .shingles import U64, batches, powers, prefix_hash, range_hash
 
 LENGTH, GRAM = 200, 40
 #: Positions of a piece fit into the low bits of the compared numbers.
 PIECE_BITS = 21
-HELD_ANCHORS, HELD_BYTES = 1_000_000, 16 << 20
-NOWHERE = 65_535
+HELD_ANCHORS, HELD_BYTES = 1_000_000, 32 << 20
 
 
-def anchored_runs(data: np.ndarray, spans: list[tuple[int, int]], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, number of strings, anchor's hash) of the runs of strings within ``spans`` that share one anchor."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
+def anchored_runs(data: np.ndarray, spans: list[tuple[int, int]], length: int = LENGTH, gram: int = GRAM, limit: int | None = None) -> tuple[np.ndarray, ...]:
+    """(start, number of strings, hash of the anchor, hash of the region) of the runs of strings within ``spans`` that
+    share one anchor; with ``limit``, of strings that start before it."""
     spans = [(a, b) for a, b in spans if b - a >= length]
     if not spans:
-        return none
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, U64)
     n, w = len(data), length - gram + 1
     prefix = prefix_hash(data)
     h = (prefix[gram:] - prefix[:-gram]) * powers(n + 1)[1][: n - gram + 1]
@@ -54,29 +52,31 @@ def anchored_runs(data: np.ndarray, spans: list[tuple[int, int]], length: int =
         edge[a] += 1
         edge[b - length + 1] -= 1
     valid = np.cumsum(edge[:m]) > 0
-    first = valid & np.concatenate(([True], (at[1:] != at[:-1]) | ~valid[:-1]))
-    start = np.flatnonzero(first)
-    stop = np.flatnonzero(valid & np.concatenate(((at[1:] != at[:-1]) | ~valid[1:], [True]))) + 1
-    return start, stop - start, h[at[start]]
+    moved = at[1:] != at[:-1]
+    start = np.flatnonzero(valid & np.concatenate(([True], moved | ~valid[:-1])))
+    count = np.flatnonzero(valid & np.concatenate((moved | ~valid[1:], [True]))) + 1 - start
+    if limit is not None:
+        keep = start < limit
+        start, count = start[keep], np.minimum(count[keep], limit - start[keep])
+    return start, count, h[at[start]], range_hash(prefix, start, start + count + length - 1)
 
 
-def _runs(texts: list[bytes], length: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(text number, start in it, strings, anchor) of all runs, piece by piece; texts longer than a piece overlap."""
+def _runs(texts: list[bytes], length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(text number, start in it, strings, anchor, region) of all runs, piece by piece; texts longer than a piece overlap."""
     most = (1 << PIECE_BITS) - 1
     for a, b in batches(texts, 1 << 19):
         if b - a == 1 and len(texts[a]) > most:
             step = most - length + 1
             for p in range(0, len(texts[a]) - length + 1, step):
                 piece = np.frombuffer(texts[a][p : p + most], np.uint8)
-                start, n, h = anchored_runs(piece, [(0, len(piece))], length, gram)
-                keep = start < step
-                yield np.full(keep.sum(), a), start[keep] + p, np.minimum(n, step - start)[keep], h[keep]
+                start, *rest = anchored_runs(piece, [(0, len(piece))], length, gram, step)
+                yield np.full(len(start), a), start + p, *rest
             continue
         ends = np.cumsum([len(t) for t in texts[a:b]])
         begins = ends - [len(t) for t in texts[a:b]]
-        start, n, h = anchored_runs(np.frombuffer(b"".join(texts[a:b]), np.uint8), list(zip(begins.tolist(), ends.tolist())), length, gram)
+        start, *rest = anchored_runs(np.frombuffer(b"".join(texts[a:b]), np.uint8), list(zip(begins.tolist(), ends.tolist())), length, gram)
         doc = np.searchsorted(ends, start, "right")
-        yield doc + a, start - begins[doc], n, h
+        yield doc + a, start - begins[doc], *rest
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -84,32 +84,31 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def repeated_anchors(rows: DataFrame, length: int, gram: int, buckets: int) -> DataFrame:
-    """Runs (key, start, n, anchor) whose anchor occurs at least twice in the corpus."""
+    """Runs (key, start, n, anchor, kind) whose anchor occurs at least twice: 0 repeats whole; of regions that differ, one
+    place each is to be sorted, for itself (1) or for the others' sake (2)."""
 
     def deal(frames):
         held, keys = [], []
 
         def flush():
-            doc, start, n, h = (np.concatenate(x) for x in zip(*held))
-            order = np.argsort(h, kind="stable")
-            doc, start, n, h = doc[order], start[order], n[order], h[order]
-            new = np.concatenate(([True], h[1:] != h[:-1]))
-            size = np.diff(np.append(np.flatnonzero(new), len(h)))
-            known = np.repeat(size > 1, size)  # a repeat within the task: its place travels by document, one mark by anchor
-            bucket = np.where(known, _bucket((doc * 2654435761 + start).astype(U64), buckets), _bucket(h, buckets))
-            marks = h[new][size > 1]
-            doc, start, n = (np.concatenate((x, np.full(len(marks), v, x.dtype))) for x, v in ((doc, NOWHERE), (start, 0), (n, 0)))
-            h, known, bucket = np.concatenate((h, marks)), np.concatenate((known, np.zeros(len(marks), bool))), np.concatenate((bucket, _bucket(marks, buckets)))
+            doc, start, n, h, r = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((r, h))
+            doc, start, n, h, r = doc[order], start[order], n[order], h[order], r[order]
+            new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (r[1:] != r[:-1]))))
+            size = np.diff(np.append(new, len(h)))
+            twice = np.flatnonzero(np.repeat(size > 1, size))
+            # places of what repeats within the task, by document, and one of each region by anchor
+            at = np.concatenate((twice, new))
+            flag = np.concatenate((np.full(len(twice), 2), (size > 1).astype(np.int64))).astype("u1")
+            bucket = np.concatenate((_bucket((doc[twice] * 2654435761 + start[twice]).astype(U64), buckets), _bucket(h[new], buckets)))
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             own, out = np.array(keys, np.int64), []
             for b in np.flatnonzero(np.diff(cuts)):
-                i = order[cuts[b] : cuts[b + 1]]
-                used, place = np.unique(doc[i][doc[i] != NOWHERE], return_inverse=True)
-                at = np.full(len(i), NOWHERE, np.int64)
-                at[doc[i] != NOWHERE] = place
-                out.append((int(b), h[i].tobytes(), at.astype("<u2").tobytes(), start[i].astype("<u4").tobytes(), n[i].astype("u1").tobytes(), known[i].astype("u1").tobytes(), own[used].tobytes()))
-            return pd.DataFrame(out, columns=["bucket", "anchor", "place", "start", "n", "known", "keys"])
+                i = at[order[cuts[b] : cuts[b + 1]]]
+                used, place = np.unique(doc[i], return_inverse=True)
+                out.append((int(b), h[i].tobytes(), r[i].tobytes(), place.astype("<u2").tobytes(), start[i].astype("<u4").tobytes(), n[i].astype("u1").tobytes(), flag[order[cuts[b] : cuts[b + 1]]].tobytes(), own[used].tobytes()))
+            return pd.DataFrame(out, columns=["bucket", "anchor", "region", "place", "start", "n", "flag", "keys"])
 
         count = 0
         for frame in frames:
@@ -117,10 +116,10 @@ def repeated_anchors(rows: DataFrame, length: int, gram: int, buckets: int) -> D
             for a in range(0, len(texts), 2048):
                 base = len(keys)
                 keys += own[a : a + 2048]
-                for doc, start, n, h in _runs(texts[a : a + 2048], length, gram):
-                    held.append((doc + base, start, n, h))
-                    count += len(h)
-                if count >= HELD_ANCHORS or len(keys) > NOWHERE - 2049:
+                for doc, *rest in _runs(texts[a : a + 2048], length, gram):
+                    held.append((doc + base, *rest))
+                    count += len(doc)
+                if count >= HELD_ANCHORS or len(keys) > 65_535 - 2048:
                     if count:
                         yield flush()
                     held, keys, count = [], [], 0
@@ -129,137 +128,93 @@ def repeated_anchors(rows: DataFrame, length: int, gram: int, buckets: int) -> D
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
         cat = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in frame[c]])
-        h, start, n, known = cat("anchor", "<u8"), cat("start", "<u4"), cat("n", "u1"), cat("known", "u1") > 0
-        key = np.concatenate([np.append(np.frombuffer(k, "<i8"), 0)[np.minimum(np.frombuffer(p, "<u2"), len(k) // 8)] for k, p in zip(frame["keys"], frame["place"])])
-        marks = n == 0
-        counted = np.flatnonzero(~known)
-        _, back, times = np.unique(h[counted], return_inverse=True, return_counts=True)
-        marked = np.zeros(len(times), bool)
-        marked[back[marks[counted]]] = True
-        keep = known.copy()
-        keep[counted] = (times[back] > 1) | marked[back]
-        keep &= ~marks
-        return pd.DataFrame({"key": key[keep], "start": start[keep].astype(np.int64), "n": n[keep].astype(np.int64), "anchor": h[keep].view(np.int64)})
-
-    dealt = rows.mapInPandas(deal, "bucket int, anchor binary, place binary, start binary, n binary, known binary, keys binary")
-    return dealt.groupBy("bucket").applyInPandas(join, "key bigint, start bigint, n bigint, anchor bigint")
+        h, r, start, n, flag = cat("anchor", "<u8"), cat("region", "<u8"), cat("start", "<u4").astype(np.int64), cat("n", "u1").astype(np.int64), cat("flag", "u1")
+        key = np.concatenate([np.frombuffer(k, "<i8")[np.frombuffer(p, "<u2")] for k, p in zip(frame["keys"], frame["place"])])
+        i = np.flatnonzero(flag < 2)
+        i = i[np.lexsort((r[i], h[i]))]
+        new_h = np.concatenate(([True], h[i][1:] != h[i][:-1]))[: len(i)]
+        new = new_h | np.concatenate(([True], r[i][1:] != r[i][:-1]))[: len(i)]
+        group, anchor = np.cumsum(new) - 1, np.cumsum(new_h) - 1
+        times = np.bincount(group, weights=1 + flag[i]) if len(i) else np.zeros(0)
+        different = np.bincount(anchor, weights=new)[anchor] if len(i) else np.zeros(0)
+        often = times[group] > 1
+        parts = [(np.flatnonzero(flag == 2), 0), (i[often], 0), (i[~often & (different > 1)], 1), (i[often & new & (different > 1)], 2)]
+        at = np.concatenate([x for x, _ in parts])
+        return pd.DataFrame({"key": key[at], "start": start[at], "n": n[at], "anchor": h[at].view(np.int64), "kind": np.repeat([k for _, k in parts], [len(x) for x, _ in parts]).astype(np.int32)})
+
+    dealt = rows.mapInPandas(deal, "bucket int, anchor binary, region binary, place binary, start binary, n binary, flag binary, keys binary")
+    return dealt.groupBy("bucket").applyInPandas(join, "key bigint, start bigint, n bigint, anchor bigint, kind int")
 
 
 def _regions(rows: DataFrame, runs: DataFrame, length: int, shards: int) -> DataFrame:
-    """Regions by shard: one row per task and shard with the different texts, their places, and places known to repeat."""
+    """Texts of the regions to be sorted, packed by shard."""
 
     def deal(frames):
-        def flush():
-            parts: dict[int, list[list]] = {}
-            of = _bucket(np.array([a for a, _ in seen], np.int64).view(U64), shards)
-            for (shard, ((anchor, region), places)) in zip(of.tolist(), seen.items()):
-                p = parts.setdefault(shard, [[], [], [], [], []])
-                p[0].append(anchor)
-                p[1].append(region)
-                p[2].append(len(places))
-                if len(places) == 1:
-                    p[3] += places
-                else:
-                    for key, start in places:
-                        parts.setdefault(key % shards, [[], [], [], [], []])[4].append((key, start, len(region) - length + 1))
-            out = [
-                (s, np.array(a, "<i8").tobytes(), b"".join(t), np.array([len(x) for x in t], "<u4").tobytes(), np.array(c, "<u4").tobytes(), np.array(p, "<i8").tobytes(), np.array(k, "<i8").tobytes())
-                for s, (a, t, c, p, k) in parts.items()
-            ]
-            return pd.DataFrame(out, columns=["shard", "anchors", "texts", "lengths", "counts", "places", "known"])
-
-        seen: dict[tuple[int, bytes], list] = {}
-        held = 0
+        def pack():
+            anchor, n, key, start, kind = (np.array(x, np.int64) for x in zip(*[h[1:] for h in held]))
+            shard = _bucket(anchor.view(U64), shards)
+            order = np.argsort(shard, kind="stable")
+            out = []
+            for i in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+                out.append((int(shard[i[0]]), b"".join([held[k][0] for k in i.tolist()]), (n[i] + length - 1).astype("<u4").tobytes(), np.column_stack((key[i], start[i], kind[i])).astype("<i8").tobytes()))
+            return pd.DataFrame(out, columns=["shard", "texts", "lengths", "places"])
+
+        held, size = [], 0
         for frame in frames:
             for key, text, runs_ in zip(frame["key"].tolist(), frame["text"], frame["runs"]):
                 raw = text.encode("utf-8", "surrogatepass")
                 for r in runs_:
-                    region = raw[r["start"] : r["start"] + r["n"] + length - 1]
-                    places = seen.setdefault((r["anchor"], region), [])
-                    held += 24 if places else len(region) + 200
-                    places.append((key, r["start"]))
-                if held >= HELD_BYTES * 4:
-                    yield flush()
-                    seen, held = {}, 0
-        if seen:
-            yield flush()
+                    start, n = r["start"], r["n"]
+                    held.append((raw[start : start + n + length - 1], r["anchor"], n, key, start, r["kind"]))
+                    size += n + length + 150
+                if size >= HELD_BYTES:
+                    yield pack()
+                    held, size = [], 0
+        if held:
+            yield pack()
 
-    by_text = runs.groupBy("key").agg(F.collect_list(F.struct("start", "n", "anchor")).alias("runs"))
-    return rows.join(by_text.hint("merge"), "key").mapInPandas(deal, "shard bigint, anchors binary, texts binary, lengths binary, counts binary, places binary, known binary")
+    by_text = runs.where("kind > 0").groupBy("key").agg(F.collect_list(F.struct("start", "n", "anchor", "kind")).alias("runs"))
+    joined = rows.join(by_text.hint("merge"), "key")  # places grow with the corpus
+    return joined.mapInPandas(deal, "shard bigint, texts binary, lengths binary, places binary")
 
 
 def _sorted_shard(length: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with tempfile.TemporaryDirectory() as folder, open(f"{folder}/regions", "wb+") as texts:
-            number: dict[bytes, int] = {}
-            anchors, sizes, counts, places, known = [], [], [], [], []
-            for frame in frames:
-                for anchor, raw, lengths, count, place, also in zip(*(frame[c] for c in ("anchors", "texts", "lengths", "counts", "places", "known"))):
-                    if len(also):
-                        yield _result(np.frombuffer(also, "<i8").reshape(-1, 3))
-                    anchor, lengths, count, place = np.frombuffer(anchor, "<i8"), np.frombuffer(lengths, "<u4"), np.frombuffer(count, "<u4"), np.frombuffer(place, "<i8").reshape(-1, 2)
-                    at, p, which = 0, 0, []
-                    for a, n, c in zip(anchor.tolist(), lengths.tolist(), count.tolist()):
-                        region = raw[at : at + n]
-                        at += n
-                        i = number.setdefault(hashlib.md5(region + a.to_bytes(8, "little", signed=True)).digest(), len(anchors))
-                        if i == len(anchors):
-                            texts.write(region)
-                            anchors.append(a)
-                            sizes.append(n)
-                            counts.append(0)
-                        counts[i] += c
-                        if c == 1:
-                            which.append(i)
-                    places.append(np.column_stack((np.array(which, np.int64), place)) if which else np.zeros((0, 3), np.int64))
-            if not anchors:
+        with tempfile.TemporaryDirectory() as folder:
+            sizes, places = [], []
+            with open(f"{folder}/symbols", "wb") as out:
+                for frame in frames:
+                    for raw, lengths, place in zip(frame["texts"], frame["lengths"], frame["places"]):
+                        lengths = np.frombuffer(lengths, "<u4").astype(np.int64)
+                        text = np.ones(len(raw) + len(lengths), "<u2")  # each region ends with a 1, bytes are 2 and more
+                        at = np.arange(len(raw)) + np.repeat(np.arange(len(lengths)), lengths)
+                        text[at] = np.frombuffer(raw, np.uint8).astype(np.uint16) + 2
+                        out.write(text.tobytes())
+                        sizes.append(lengths)
+                        places.append(np.frombuffer(place, "<i8").reshape(-1, 3))
+                out.write(b"\0\0")
+            if not sizes:
                 return
-            texts.flush()
-            anchors, sizes, counts, places = np.array(anchors), np.array(sizes, np.int64), np.array(counts), np.concatenate(places)
-            _, back, different = np.unique(anchors, return_inverse=True, return_counts=True)
-            sort = np.flatnonzero(different[back] > 1)
-            raw = np.memmap(f"{folder}/regions", np.uint8, "r")
-            begin = np.cumsum(sizes) - sizes
-            flags, own = None, np.zeros(len(sizes), np.int64)
-            if len(sort):
-                at = np.cumsum(sizes[sort] + 1) - sizes[sort] - 1
-                own[sort] = at
-                text = np.memmap(f"{folder}/symbols", "<u2", "w+", shape=(int(at[-1] + sizes[sort[-1]]) + 2,))
-                for i, a in zip(sort.tolist(), at.tolist()):
-                    text[a : a + sizes[i]] = raw[begin[i] : begin[i] + sizes[i]].astype(np.uint16) + 2
-                    text[a + sizes[i]] = 1
-                text[-1] = 0
-                flags = repeated_starts(text, length, folder)
-                del text
-            chosen = np.zeros(len(sizes), bool)
-            chosen[sort] = True
-            out = []
-            order = places[np.argsort(places[:, 0], kind="stable")]
-            for i, key, start in order.tolist():
-                n = int(sizes[i]) - length + 1
-                if counts[i] > 1:
-                    out.append((key, start, n))
-                elif chosen[i]:
-                    hit = flags[own[i] : own[i] + n]
-                    if hit.all():
-                        out.append((key, start, n))
-                    elif hit.any():
-                        edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
-                        out += [(key, start + int(a), int(b - a)) for a, b in zip(edge[::2], edge[1::2])]
-                if len(out) >= 100_000:
-                    yield _result(np.array(out, np.int64))
-                    out = []
-            if out:
-                yield _result(np.array(out, np.int64))
-            del raw
+            sizes, places = np.concatenate(sizes), np.concatenate(places)
+            text = np.memmap(f"{folder}/symbols", "<u2", "r")
+            flags = repeated_starts(text, length, folder)
+            begin = np.cumsum(sizes + 1) - sizes - 1
+            within = np.zeros(len(flags) + 1, np.int8)  # not over a region's end
+            within[begin] += 1
+            within[begin + sizes - length + 1] -= 1
+            hit = (flags & (np.cumsum(within[:-1]) > 0)).astype(np.int8)
+            edge = np.flatnonzero(np.diff(np.concatenate(([0], hit, [0]))))
+            first, last = edge[::2], edge[1::2]
+            region = np.searchsorted(begin, first, "right") - 1
+            key, start, kind = places[region].T
+            rows = np.column_stack((key, start + first - begin[region], last - first))[kind == 1]
+            for a in range(0, len(rows), 100_000):
+                yield pd.DataFrame(rows[a : a + 100_000], columns=["key", "start", "n"])
+            del text
 
     return run
 
 
-def _result(rows: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame(rows.reshape(-1, 3), columns=["key", "start", "n"])
-
-
 def covered(starts: np.ndarray, counts: np.ndarray, length: int) -> list[tuple[int, int]]:
     """Maximal runs of bytes under strings that begin at ``starts`` .. ``starts + counts - 1``."""
     order = np.argsort(starts, kind="stable")
@@ -281,9 +236,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.xxhash64(F.col(id_col), text).alias("key"), F.col(id_col).alias("id"), text.alias("text"), *[F.col(c).alias(f"_{c}") for c in keep])
     parts = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    runs = repeated_anchors(rows.select("key", "text"), length, gram, parts)
+    runs = stored(repeated_anchors(rows.select("key", "text"), length, gram, parts), "anchor-runs")
     shards = _regions(rows, runs, length, parts).repartition(parts, "shard")
-    found = shards.mapInPandas(_sorted_shard(length), "key bigint, start bigint, n bigint")
+    found = shards.mapInPandas(_sorted_shard(length), "key bigint, start bigint, n bigint").unionByName(runs.where("kind = 0").select("key", "start", "n"))
     by_row = found.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("found"))
     joined = rows.join(by_row.hint("merge"), "key", "left")  # both tables of places grow with the corpus
 
