@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import stored
+from .shared import small_batches, stored
 
 RATE, FRAME, HOP, WINDOW = 2000, 1024, 256, 16
 SMOOTH = np.array([0.25, 0.75, 1.0, 0.75, 0.25])
@@ -112,7 +112,8 @@ def align(media: DataFrame, id_col: str = "id", audio_col: str = "audio", every:
         rows = [bit_errors(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), int(o)) for x, y, o in zip(a, b, offset)]
         return pd.DataFrame(rows, columns=["overlap", "bit_errors"])
 
-    prints = stored(fingerprints(media.where(F.col(id_col).isNotNull()), id_col, audio_col), "prints")
+    with small_batches(media.sparkSession, 64):
+        prints = stored(fingerprints(media.where(F.col(id_col).isNotNull()), id_col, audio_col), "prints")
     classes = stored(prints.where("length(print) > 0").groupBy("print").agg(F.min("id").alias("cls"), F.max((F.col("id") % every == 0).cast("int")).alias("asked")), "print-classes")
     members = prints.join(classes, "print", "left").select("id", F.coalesce("cls", "id").alias("cls")).distinct()
     index = classes.select("cls", "asked", F.posexplode(codes("print")).alias("at", "code"))
