@@ -18,7 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 MARK = "▁"
-MEMO = 600_000
+#: Words, and pairs of pieces, that a worker remembers.
+MEMO = 300_000
 
 
 class PieceCodec:
@@ -62,7 +63,7 @@ class PieceCodec:
         pair = (last, piece)
         out = self.stable.get(pair)
         if out is None:
-            if len(self.stable) > 2 * MEMO:
+            if len(self.stable) > MEMO:
                 self.stable.clear()
             out = self.stable[pair] = self.merge(last + piece) == [last, piece]
         return out
@@ -137,8 +138,9 @@ def piece_codec(model: str) -> PieceCodec:
     return PieceCodec(model)
 
 
-def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, ids (binary, unsigned 32-bit), in the partitions of ``docs``: nothing is shuffled.
+def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
+    """One row per input row: id, ids (binary, unsigned 32-bit), ids_crc32, in the partitions of ``docs``: nothing is
+    shuffled. With ``decode`` the ids' text comes along as ``decoded``.
 
     Null and empty texts have no ids. Repeated rows and null ids are encoded like any other.
     """
@@ -146,12 +148,15 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     def run(frames):
         codec = piece_codec(model)
         for frame in frames:
-            for i in range(0, len(frame), 1024):
-                part = frame.iloc[i : i + 1024]
-                yield pd.DataFrame({id_col: part["id"], "ids": codec.encode(part["text"].tolist())})
+            for i in range(0, len(frame), 512):
+                part = frame.iloc[i : i + 512]
+                ids = codec.encode(part["text"].tolist())
+                out = pd.DataFrame({id_col: part["id"].tolist(), "ids": ids, "ids_crc32": [zlib.crc32(x) for x in ids]})
+                yield out.assign(decoded=[codec.decode(x) for x in ids]) if decode else out
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(run, f"`{id_col}` {kind}, ids binary")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.mapInPandas(run, f"`{id_col}` {kind}, ids binary, ids_crc32 bigint" + ", decoded string" * decode)
 
 
 def decode_pieces(encoded: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
@@ -168,9 +173,5 @@ def decode_pieces(encoded: DataFrame, model: str, ids_col: str = "ids") -> DataF
 def piece_report(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_ids, ids_crc32, decoded_sha256 (of the decoded text in UTF-8)."""
 
-    @F.pandas_udf("bigint")
-    def crc(ids: pd.Series) -> pd.Series:
-        return pd.Series([zlib.crc32(x) for x in ids], dtype="int64")
-
-    out = decode_pieces(encode_pieces(docs, model), model)
-    return out.select("doc_id", (F.length("ids") / 4).cast("bigint").alias("n_ids"), crc("ids").alias("ids_crc32"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    out = encode_pieces(docs, model, decode=True)
+    return out.select("doc_id", (F.length("ids") / 4).cast("bigint").alias("n_ids"), "ids_crc32", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
