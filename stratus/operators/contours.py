@@ -73,7 +73,7 @@ def contours(grid: DataFrame, col: str, levels: list[float], keys: list[str], nl
     kinds = {f.name: f.dataType.simpleString() for f in owned.schema}
     group = [*keys, "level", "contour"]
 
-    def order(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def order(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         out = _chain(frame)
         for k, v in zip(group, key):
             out[k] = v
