@@ -86,7 +86,7 @@ def pieces(first: int, n: int, cuts: list[int], length: int) -> Iterator[tuple[i
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: id, start, length, ids (binary), width, doc_tokens, sequence_id, offset.
+    """One row per piece: id, start, length, ids (binary), width, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its ids and the end id, so null and empty texts have one id. Documents of one key are ordered by id,
     then by the place of their row in the input. Repeated rows are packed each; an empty table gives no pieces.
@@ -141,21 +141,18 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, i
         for frame in frames:
             out = []
             for doc, n, ids, w, first in zip(frame["id"], frame["n"], frame["ids"], frame["width"], frame["first"]):
-                out += [(doc, s, k, ids[s * w : (s + k) * w], w, n, seq, off) for s, k, seq, off in pieces(int(first), int(n), cuts, length)]
-            done = pd.DataFrame(out, columns=["id", "start", "length", "ids", "width", "doc_tokens", "sequence_id", "offset"])
+                for s, k, seq, off in pieces(int(first), int(n), cuts, length):
+                    piece = ids[s * w : (s + k) * w]
+                    out.append((doc, s, k, piece, w, zlib.crc32(np.frombuffer(piece, f"<u{w}").astype("<u4")), n, seq, off))
+            done = pd.DataFrame(out, columns=["id", "start", "length", "ids", "width", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
             yield done.astype({"id": "Int64"})
 
     whole = table.select("id", "row", "n", "ids", "width").join(placed.hint("merge"), "row")  # places grow with the corpus
-    packed = whole.mapInPandas(cut, "id bigint, start bigint, length bigint, ids binary, width int, doc_tokens bigint, sequence_id bigint, offset bigint")
+    packed = whole.mapInPandas(cut, "id bigint, start bigint, length bigint, ids binary, width int, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
     return packed.withColumnRenamed("id", id_col)
 
 
 def packed_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048) -> DataFrame:
-    """:func:`pack` with the ids' crc32 in place of the ids."""
-
-    @F.pandas_udf("bigint")
-    def crc(ids: pd.Series, width: pd.Series) -> pd.Series:
-        return pd.Series([zlib.crc32(np.frombuffer(x, f"<u{w}").astype("<u4")) for x, w in zip(ids, width)], dtype="int64")
-
+    """:func:`pack` without the ids."""
     out = pack(docs, tokenizer, end_id, length)
-    return out.select("doc_id", "start", "length", crc("ids", "width").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

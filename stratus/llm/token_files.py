@@ -73,7 +73,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, where: str,
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
-    """Documents as the files hold them: id, start (ids of all documents before it), n_tokens, ids (binary, as stored), width."""
+    """Documents as the files hold them: id, start (ids of all documents before it), n_tokens, ids (binary, as stored),
+    ids_crc32 (unsigned, of the ids as little-endian unsigned 32-bit integers), width."""
     spark = files.sparkSession
     rows = sorted(files.collect(), key=lambda r: r.part)  # one row a partition
     bases = [0, *accumulate(r.n_tokens for r in rows)]
@@ -102,22 +103,17 @@ def read_token_files(files: DataFrame) -> DataFrame:
                         "start": off[i:j] + base,
                         "n_tokens": np.diff(off[i : j + 1]),
                         "ids": [block[a:b].tobytes() for a, b in zip(off[i:j] - off[i], off[i + 1 : j + 1] - off[i])],
+                        "ids_crc32": [zlib.crc32(block[a:b].astype("<u4")) for a, b in zip(off[i:j] - off[i], off[i + 1 : j + 1] - off[i])],
                         "width": np.int32(width),
                     })
                     i = j
 
     listed = spark.createDataFrame([(r.path, r.width, b) for r, b in zip(rows, bases)], "path string, width int, base bigint").repartition(max(1, len(rows)))
-    return listed.mapInPandas(read, "id bigint, start bigint, n_tokens bigint, ids binary, width int")
-
-
-def ids_crc32(ids: pd.Series, width: pd.Series) -> pd.Series:
-    """Unsigned crc32 of the ids as little-endian unsigned 32-bit integers."""
-    return pd.Series([zlib.crc32(np.frombuffer(x, f"<u{w}").astype("<u4")) for x, w in zip(ids, width)], dtype="int64")
+    return listed.mapInPandas(read, "id bigint, start bigint, n_tokens bigint, ids binary, ids_crc32 bigint, width int")
 
 
 def token_file_documents(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """Write ``docs`` and read them back: doc_id, start, n_tokens, ids_crc32."""
-    crc = F.pandas_udf(ids_crc32, "bigint")
     where = fresh_path(docs.sparkSession, "tokens")
     back = read_token_files(write_token_files(docs, tokenizer, end_id, where))
-    return back.select(F.col("id").alias("doc_id"), "start", "n_tokens", crc("ids", "width").alias("ids_crc32"))
+    return back.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")

@@ -22,7 +22,7 @@ ODD_SPACE = re.compile("[\x1c-\x1f]")
 class WordEncoder:
     """ids of whole texts as little-endian bytes of ``dtype``; holds at most ``memo_limit`` words."""
 
-    def __init__(self, path: str, memo_limit: int = 1_000_000):
+    def __init__(self, path: str, memo_limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -65,14 +65,12 @@ class WordEncoder:
         memo, rest, lower = self.memo, [], []
         ended = self.kind == "ended"
         plain = [w for w in words if w.isalpha()]
+        others = set(words).difference(plain)
         if ended:
             lower = [(w, w.lower(), "") for w in plain if w.isascii() and not w.islower()]
             plain = list({*plain}.difference(w for w, _, _ in lower))
-        tailed = [(w, c, w[-1]) for w in words if (c := w[:-1]).isalpha() and w[-1] in PUNCTUATION and "İ" not in c]
-        done = {w for w, _, _ in tailed}
-        for w in words:
-            if w.isalpha() or w in done:
-                continue
+        tailed = [(w, c, w[-1]) for w in others if (c := w[:-1]).isalpha() and w[-1] in PUNCTUATION and "İ" not in c]
+        for w in others.difference([w for w, _, _ in tailed]):
             if w in ("", "\0") or w != "\n" and (w[-1].isspace() or w[w[0] == "\0"].isspace()):
                 memo[w] = None
             elif (m := TAIL.fullmatch(w)) and m[1].isalpha() and "İ" not in w:
