@@ -230,11 +230,11 @@ def _double(text: np.ndarray) -> np.ndarray:
     n, k = len(text), 1
     rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
     while True:
-        second = np.full(n, -1, np.int64)
-        second[: n - k] = rank[k:] if k < n else 0
-        order = np.lexsort((second, rank))
-        a, b = rank[order], second[order]
-        fresh = np.cumsum(np.concatenate(([0], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+        key = rank * (n + 1)  # n * n stays far below 2**63
+        key[: n - k] += rank[k:] + 1
+        order = np.argsort(key)
+        key = key[order]
+        fresh = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))
         rank = np.empty(n, np.int64)
         rank[order] = fresh
         if fresh[-1] == n - 1 or k >= n:
