@@ -7,7 +7,7 @@ from pyspark.sql import Column, functions as F
 
 def weighted_mean(x: Column, w: Column, skip_null: bool = False) -> Column:
     """Sum of products over the sum of weights; weights of null values count unless ``skip_null``."""
-    return F.sum(x * w) / F.sum(F.when(x.isNotNull(), w) if skip_null else w)
+    return F.try_divide(F.sum(x * w), F.sum(F.when(x.isNotNull(), w) if skip_null else w))
 
 
 def circular_mean(degrees: Column, w: Column | None = None) -> Column:

@@ -34,7 +34,7 @@ def anomaly(df: DataFrame, cols: list[str], keys: list[str], clim: str, standard
     stats = df.groupBy(*keys, clim).agg(*[f(c).alias(f"__{k}_{c}") for c in cols for f, k in ((F.avg, "m"), (F.stddev_samp, "s"))])
     less = lambda c: F.col(c) - F.col(f"__m_{c}")
     joined = df.join(stats, [*keys, clim])
-    return joined.select(*[(less(c) / F.col(f"__s_{c}") if standardized else less(c)).alias(c) if c in cols else c for c in df.columns])
+    return joined.select(*[(F.try_divide(less(c), F.col(f"__s_{c}")) if standardized else less(c)).alias(c) if c in cols else c for c in df.columns])
 
 
 def smooth_anomaly(df: DataFrame, cols: list[str], keys: list[str], day: str, window: int, year: str | None = None, standardized: bool = False, period: int = 366) -> DataFrame:
@@ -48,7 +48,7 @@ def smooth_anomaly(df: DataFrame, cols: list[str], keys: list[str], day: str, wi
     names = [f"{k}_{c}" for c in cols for k in ("__m", "__s")]
     clim = periodic_rolling(clim, window, {n: F.avg(n) for n in names}, day, keys, period)
     less = lambda c: F.col(c) - F.col(f"__m_{c}")
-    return df.join(clim, [*keys, day]).select(*[(less(c) / F.col(f"__s_{c}") if standardized else less(c)).alias(c) if c in cols else c for c in df.columns])
+    return df.join(clim, [*keys, day]).select(*[(F.try_divide(less(c), F.col(f"__s_{c}")) if standardized else less(c)).alias(c) if c in cols else c for c in df.columns])
 
 
 def extreme_climatology(df: DataFrame, col: str, keys: list[str], day: str, quantiles: list[float], window: int, period: int = 366) -> DataFrame:
@@ -121,7 +121,7 @@ def relative_anomaly(df: DataFrame, keys: list[str], day: str, value: str) -> Da
     """Values less the climatology of their day, over the season's mean deviation."""
     clim = relative_climatology(df, keys, day, value)
     season = clim.groupBy(*keys).agg(F.avg("std").alias("season_std"))
-    return df.join(clim, [*keys, day]).join(season, keys).withColumn(value, (F.col(value) - F.col("mean")) / F.col("season_std")).select(*df.columns)
+    return df.join(clim, [*keys, day]).join(season, keys).withColumn(value, F.try_divide(F.col(value) - F.col("mean"), F.col("season_std"))).select(*df.columns)
 
 
 def normalise_position(df: DataFrame, keys: list[str], index: str, values: list[str], n_bins: int, more: list[str] = ()) -> DataFrame:

@@ -137,7 +137,7 @@ def scores(df: DataFrame, target: Column, prob: str, keys: list[str] = ()) -> Da
     counts = rows.groupBy(*keys, prob).agg(F.count("*").alias("__c"), F.sum("__y").alias("__p"))
     rank = F.sum("__c").over(Window.partitionBy(*keys).orderBy(prob)) - (F.col("__c") - 1) / 2
     auc = counts.withColumn("__r", rank).groupBy(*keys).agg(F.sum(F.col("__r") * F.col("__p")).alias("__s"), F.sum("__p").alias("__m"), (F.sum("__c") - F.sum("__p")).alias("__n"))
-    auc = auc.select(*keys, ((F.col("__s") - F.col("__m") * (F.col("__m") + 1) / 2) / (F.col("__m") * F.col("__n"))).alias("auc"))
+    auc = auc.select(*keys, F.try_divide(F.col("__s") - F.col("__m") * (F.col("__m") + 1) / 2, (F.col("__m") * F.col("__n")).cast("double")).alias("auc"))
     yes, y = F.col(prob) >= 0.5, F.col("__y") == 1
     count = lambda c: F.sum(c.cast("double"))
     tp, fp, fn, tn = count(yes & y), count(yes & ~y), count(~yes & y), count(~yes & ~y)

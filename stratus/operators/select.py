@@ -67,7 +67,7 @@ def around_onset(df: DataFrame, bound: int, col: str = "relative_index") -> Data
 def minmax_scale(df: DataFrame, cols: list[str]) -> DataFrame:
     """(x - min) / (max - min) over the table, with the extremes as ``<c>_min`` and ``<c>_max`` for the way back."""
     ends = df.agg(*[f(c).alias(f"{c}_{k}") for c in cols for f, k in ((F.min, "min"), (F.max, "max"))])
-    return df.crossJoin(F.broadcast(ends)).withColumns({c: (F.col(c) - F.col(f"{c}_min")) / (F.col(f"{c}_max") - F.col(f"{c}_min")) for c in cols})
+    return df.crossJoin(F.broadcast(ends)).withColumns({c: F.try_divide(F.col(c) - F.col(f"{c}_min"), F.col(f"{c}_max") - F.col(f"{c}_min")) for c in cols})
 
 
 def unscale(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -79,7 +79,7 @@ def zscore(df: DataFrame, cols: list[str], over: list[str] = ()) -> DataFrame:
     """(x - mean) / sample standard deviation, by group."""
     stats = df.groupBy(*over).agg(*[f(c).alias(f"__{k}_{c}") for c in cols for f, k in ((F.avg, "m"), (F.stddev_samp, "s"))])
     joined = df.join(stats, list(over)) if over else df.crossJoin(F.broadcast(stats))
-    return joined.select(*[((F.col(c) - F.col(f"__m_{c}")) / F.col(f"__s_{c}")).alias(c) if c in cols else c for c in df.columns])
+    return joined.select(*[F.try_divide(F.col(c) - F.col(f"__m_{c}"), F.col(f"__s_{c}")).alias(c) if c in cols else c for c in df.columns])
 
 
 def quantile_exceed(df: DataFrame, col: str, q: float, over: list[str] = (), name: str = "exceeds") -> DataFrame:

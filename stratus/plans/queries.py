@@ -366,12 +366,12 @@ def a07_anomaly(spark, sf):
 
 
 SMOOTH = """fit AS (SELECT jet, doy, regr_slope(qty, year) AS a, regr_avgx(qty, year) AS x FROM daily GROUP BY 1, 2),
-    det AS (SELECT day, jet, doy, qty - coalesce(a * (year - x), 0) AS qty FROM daily JOIN fit USING (jet, doy)),
+    det AS (SELECT day, jet, doy, qty - coalesce(CASE WHEN isfinite(a) THEN a * (year - x) END, 0) AS qty FROM daily JOIN fit USING (jet, doy)),
     c0 AS (SELECT jet, doy, avg(qty) AS m, stddev_samp(qty) AS s FROM det GROUP BY 1, 2),
     c1 AS (SELECT a.jet, a.doy, avg(b.m) AS m, avg(b.s) AS s FROM c0 a JOIN (SELECT jet AS j, doy + o AS d, m, s FROM c0, (VALUES (0), (366), (-366)) v(o)) b ON a.jet = b.j AND b.d BETWEEN a.doy - 15 AND a.doy + 15 GROUP BY 1, 2)"""
 
 
-@query(f"SELECT day, jet, {R('(qty - m) / s', 5)} AS qty FROM det JOIN c1 USING (jet, doy)", DAILY, SMOOTH)
+@query(f"SELECT day, jet, {R('(qty - m) / nullif(s, 0)', 5)} AS qty FROM det JOIN c1 USING (jet, doy)", DAILY, SMOOTH)
 def a08_smooth_anomaly(spark, sf):
     return A.smooth_anomaly(roles.daily(spark, sf), ["qty"], ["jet"], "doy", 31, "year", True).select("day", "jet", r("qty", 5).alias("qty"))
 
@@ -603,7 +603,7 @@ AUC = """sc AS (SELECT lang, toxic AS y, n_chars::DOUBLE / (n_chars + 2000.0) AS
     rk AS (SELECT lang, y, p, avg(i) OVER (PARTITION BY lang, p) AS k FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY p) AS i FROM sc))"""
 
 
-@query(f"SELECT lang, {R('(sum(k * y) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y)))')} AS auc, {R('1 - avg(pow(p - y, 2))')} AS brier FROM rk GROUP BY lang", AUC)
+@query(f"SELECT lang, {R('(sum(k * y) - sum(y) * (sum(y) + 1) / 2) / nullif(sum(y) * (count(*) - sum(y)), 0)')} AS auc, {R('1 - avg(pow(p - y, 2))')} AS brier FROM rk GROUP BY lang", AUC)
 def l13_scores(spark, sf):
     x = roles.table(spark, sf, "labels").join(roles.table(spark, sf, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
     x = x.withColumn("prob", F.col("n_chars").cast("double") / (F.col("n_chars") + 2000.0))
