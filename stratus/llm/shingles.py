@@ -83,10 +83,12 @@ def shingle_sets(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.nda
 
 
 def batches(texts: list[bytes], most_bytes: int = 1 << 20, most: int = 4096) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``most_bytes`` together; a longer text is a range of its own."""
+    """Ranges of texts of at most ``most_bytes`` together; a longer text is a range of its own."""
     start = held = 0
     for i, t in enumerate(texts):
+        if i > start and (held + len(t) > most_bytes or i - start >= most):
+            yield start, i
+            start, held = i, 0
         held += len(t)
-        if held >= most_bytes or i + 1 - start >= most or i + 1 == len(texts):
-            yield start, i + 1
-            start, held = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)

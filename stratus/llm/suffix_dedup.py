@@ -64,8 +64,8 @@ def anchored_runs(data: np.ndarray, spans: list[tuple[int, int]], length: int =
 def _runs(texts: list[bytes], length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(text number, start in it, strings, anchor, region) of all runs, piece by piece; texts longer than a piece overlap."""
     most = (1 << PIECE_BITS) - 1
-    for a, b in batches(texts, 1 << 19):
-        if b - a == 1 and len(texts[a]) > most:
+    for a, b in batches(texts, min(1 << 19, most)):
+        if len(texts[a]) > most:  # alone in its range
             step = most - length + 1
             for p in range(0, len(texts[a]) - length + 1, step):
                 piece = np.frombuffer(texts[a][p : p + most], np.uint8)

@@ -146,6 +146,23 @@ def test_long_text_is_read_in_pieces(monkeypatch):
     assert [p for p, _ in sorted(runs)] == list(range(9000 - 199))
 
 
+def test_long_text_after_short_ones(spark, monkeypatch):
+    rng = random.Random(2)
+    short, long_ = (bytes(rng.choices(b"abcdefgh ", k=k)) for k in (100, 3 << 20))
+    parts = suffix_dedup._runs([short, short, long_], 200, 40), suffix_dedup._runs([long_], 200, 40)
+    mixed, alone = ([np.concatenate(x) for x in list(zip(*p))[1:]] for p in parts)
+    assert all((x == y).all() for x, y in zip(mixed, alone))
+    passage = "".join(rng.choices("ijklmnop", k=230))
+    texts = [short.decode(), f"{long_.decode()}<{passage}>", f"{{{passage}}}"]
+    got = {r.doc_id: [(x.begin, x.end) for x in r.spans] for r in suffix_dedup.remove_repeats(corpus(spark, texts).coalesce(1)).collect()}
+    at = len(long_) + 1
+    assert got == {0: [], 1: [(at, at + 230)], 2: [(1, 231)]}
+    monkeypatch.setattr(suffix_dedup, "PIECE_BITS", 11)
+    texts = [bytes(rng.choices(b"abc", k=k)) for k in (100, 1500, 900, 5000, 300)]
+    places = lambda texts: sorted((int(d), int(s) + k, int(h)) for doc, start, n, h, _ in suffix_dedup._runs(texts, 200, 40) for d, s, m, h in zip(doc, start, n, h) for k in range(m))
+    assert places(texts) == [(d, p, h) for d, t in enumerate(texts) for _, p, h in places([t])]
+
+
 @pytest.mark.parametrize("in_memory", [1 << 20, 2])
 def test_induced_sort(tmp_path, in_memory):
     rng = random.Random(5)
