@@ -119,7 +119,8 @@ def shingle_info(docs: DataFrame, width: int) -> DataFrame:
 
 
 def key_groups(docs: DataFrame, width: int, percent: int, largest: int, buckets: int) -> DataFrame:
-    """Ties ``(lead, member, n)`` and, for keys of three documents or more, ``(grp, members)``."""
+    """Ties ``(lead, member, n)`` and, for keys of three documents or more, ``(lead, grp, members)``, in as many rows as need be;
+    ``lead`` is a key's smallest document."""
     lows = bands(percent, largest)
 
     def keys(frames):
@@ -184,8 +185,8 @@ def key_groups(docs: DataFrame, width: int, percent: int, largest: int, buckets:
         name = np.add.reduceat(mix(doc.view(U64)), start)
         _, one = np.unique(name, return_index=True)
         one = one[size[one] > 2]
-        rows = [(name[i].view(np.int64), doc[start[i] + a : start[i] + min(size[i], a + ROW_MEMBERS)]) for i in one for a in range(0, size[i], ROW_MEMBERS)]
-        sets = pd.DataFrame({"grp": [int(g) for g, _ in rows], "members": [m for _, m in rows]}, columns=["grp", "members"])
+        rows = [(doc[start[i]], name[i].view(np.int64), doc[start[i] + a : start[i] + min(size[i], a + ROW_MEMBERS)]) for i in one for a in range(0, size[i], ROW_MEMBERS)]
+        sets = pd.DataFrame({"lead": [int(x) for x, _, _ in rows], "grp": [int(g) for _, g, _ in rows], "members": [m for _, _, m in rows]}, columns=["lead", "grp", "members"])
         out = pd.concat([ties.assign(members=None), sets], ignore_index=True)
         out["members"] = pd.Series([None if isinstance(m, float) else m for m in out["members"]], dtype=object)
         return out.astype({"lead": "Int64", "member": "Int64", "n": "Int64", "grp": "Int64"})[names]
@@ -242,7 +243,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of = lambda df, c: df.join(copies.select(F.col("doc_id").alias(c), F.col("rep").alias("__rep")), c, "left").withColumn(c, F.coalesce("__rep", c)).drop("__rep")
 
     found = stored(key_groups(rows, width, percent, largest, buckets), "shingle-groups")
-    ties = found.where("lead is not null").groupBy("lead", "member").agg(F.sum("n").alias("n"))
+    ties = found.where("member is not null").groupBy("lead", "member").agg(F.sum("n").alias("n"))
     ties = of(of(ties, "lead"), "member").where("lead <> member").select(*_two(F.col("lead"), F.col("member")), "n")
     about = known.select("doc_id", F.col("n_shingles").alias("size"), "sketch").dropDuplicates(["doc_id"])
     side = lambda c: about.select(F.col("doc_id").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}"))
@@ -314,7 +315,7 @@ def _across(found: DataFrame, of, whole, about: DataFrame, percent: int, buckets
     A key's members are dealt into numbered blocks and every two blocks meet once. Keys with one smallest document, no more
     than it has keys, meet in one bucket, which gets each sketch once.
     """
-    members = of(found.where("grp is not null").select("grp", F.col("members")[0].alias("lead"), F.explode("members").alias("doc")), "doc").distinct()
+    members = of(found.where("grp is not null").select("grp", "lead", F.explode("members").alias("doc")), "doc").distinct()
     members = whole(members, "doc")
     mixed = members.groupBy("grp").agg(F.min("part_doc").alias("low"), F.max("part_doc").alias("high"), F.count("*").alias("n")).where("low <> high")
     open_ = members.join(stored(mixed.select("grp", "n"), "shingle-mixed"), "grp")

@@ -93,6 +93,28 @@ def test_near_duplicates_odd_ids(spark):
     assert jaccard.near_duplicates(corpus(spark, EMPTY)).count() == 0
 
 
+def test_slices_of_a_key_meet(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "ROW_MEMBERS", 3)
+    monkeypatch.setattr(jaccard, "BLOCK_MEMBERS", 2)
+    rng = random.Random(4)
+    texts = []
+    for _ in range(40):
+        w = [f"w{i}" for i in range(100)]
+        for i in rng.sample(range(100), 1):
+            w[i] = f"v{rng.randrange(5)}"
+        texts.append(" ".join(w))
+    links = {(a, b) for b in range(40) for a in range(b) if len(set(brute_components([(a, texts[a]), (b, texts[b])]).values())) == 1}
+    rows = corpus(spark, texts).select("doc_id", "text")
+    about = jaccard.shingle_info(rows, 5).withColumnRenamed("n_shingles", "size")
+    found = jaccard.key_groups(rows, 5, 75, 100, 8).cache()
+    ties = {(r.lead, r.member) for r in found.where("member is not null").collect()}
+    apart = lambda df, c: df.withColumn(f"part_{c}", F.col(c))
+    tried = {(r.a, r.b) for r in jaccard._across(found, lambda df, c: df, apart, about, 75, 8).collect()}
+    assert len(links - ties) > 100 and links <= tried | ties
+    want = brute_components(list(enumerate(texts)))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(corpus(spark, texts)).collect()} == want
+
+
 def test_linked_sets_share_keys_and_sketches_bound():
     rng = random.Random(3)
     for _ in range(300):
