@@ -69,7 +69,20 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that :func:`exact_groups` drops; all columns stay."""
-    dropped = exact_groups(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    """``docs`` with one row of each text, that which :func:`exact_groups` keeps; all columns stay.
+
+    Of kept rows that repeat both id and text, or have null ids, the one whose columns hash least stays.
+    """
+    copies = exact_groups(docs, id_col, text_col).where("group_size > 1")
+    copies = copies.groupBy(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")).agg(F.max("kept").alias("__kept"), F.count("*").alias("n"))
+    # of a copy that goes all rows go, and of one that stays more than once all but one
+    copies = stored(copies.where("not __kept or n > 1").drop("n"), "radix-copies")
     sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-    return docs.join(stored(dropped, "radix-dropped"), F.col(id_col).eqNullSafe(F.col("__id")) & (sha == F.col("__sha")), "left_anti").select(*docs.columns)
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (sha == F.col("__sha"))
+    alone = docs.join(copies, same, "left_anti").select(*docs.columns)
+    repeated = copies.where("__kept")
+    if repeated.isEmpty():
+        return alone
+    order = F.xxhash64(*[F.col(c).cast("string") for c in docs.columns])
+    one = docs.join(repeated, same).groupBy("__id", "__sha").agg(F.min_by(F.struct(*docs.columns), order).alias("__row"))
+    return alone.unionByName(one.select("__row.*"))

@@ -1,5 +1,7 @@
 """The pipeline's stages, each against a brute-force version on what the stage before kept."""
 
+import random
+
 import corpus_pipeline
 from stratus.llm import quality
 
@@ -31,3 +33,19 @@ def test_stages(spark):
     assert set(got) == {i for i, n in kept.items() if n} and all(kept[i] - 6 * 9 <= n <= kept[i] for i, n in got.items()) and cut.columns == columns
     packed = stage["packing"](spark, cut, SF)
     assert {r.doc_id for r in packed.collect()} == set(got)
+
+
+def test_repeated_rows_stay_once(spark):
+    stage = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    long_, short, other = ("".join(random.Random(seed).choices("abcdefgh ", k=k)) for seed, k in enumerate((400, 50, 300)))
+    rows = [(1, long_, "en", "a"), (1, long_, "en", "a"), (1, long_, "de", "b"), (2, short, "en", "a"), (2, short, "en", "a"), (None, other, "en", "a"), (None, other, "en", "b")]
+    rows += [(None, short, "en", "a"), (None, "", "en", "a"), (None, None, "en", "a"), (3, "alone " * 9, "en", "a")]
+    rows = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], docs.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    once = stage["exact dedup"](spark, rows, SF)
+    assert once.columns == rows.columns and once.schema == rows.schema
+    want = sorted([("1", long_), ("2", short), ("None", other), ("None", ""), ("3", "alone " * 9)])
+    assert sorted((str(r.doc_id), r.text or "") for r in once.collect()) == want
+    near = stage["n-gram Jaccard join"](spark, once, SF)
+    cut = stage["suffix-array dedup"](spark, near, SF)
+    assert sorted((str(r.doc_id), r.text) for r in cut.collect()) == want
