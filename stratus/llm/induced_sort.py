@@ -5,7 +5,8 @@ substrings, named and sorted by recursion on the names; a last, small string is
 sorted seeds two sweeps induce all other suffixes. Each sweep pops the smallest (largest) symbol of a priority queue
 whose entries are suffix tuples: position, the symbols before it and the common prefix with its neighbour in the queue,
 which is one more than the least common prefix met in the sweep since the last push to that symbol. Queues keep
-arrival order per symbol and spill to disk, so that only one symbol's entries and a buffer are in memory.
+arrival order per symbol and spill to disk, so that only one symbol's entries and a buffer of them are in memory. Types,
+seeds, names, common prefixes and flags are arrays in memory, as long as the shard or its seeds.
 """
 
 from __future__ import annotations

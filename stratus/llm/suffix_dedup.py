@@ -4,7 +4,7 @@ A string of ``length`` bytes belongs to the least hashed gram in it (the leftmos
 wherever the string occurs. Runs of strings with one such anchor form a region; an anchor seen once needs no sorting, and
 regions seen twice whole repeat whole. What is left are different regions of one anchor: one text of each goes to the
 anchor's shard, and every shard is suffix-sorted on its own, as two equal strings always meet in one shard. The sort
-keeps its text and queues on disk, so a shard may be larger than memory. Regions that a task meets more than once go on
+keeps its text and queues on disk, but arrays of the shard's length in memory (the README gives how much). Regions that a task meets more than once go on
 as one, and their places travel apart from their anchor, so a frequent passage loads no shard with its occurrences.
 """
 
