@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
+import os
 import tempfile
+import time
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +42,28 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """Intermediate tables of one job in the shared folder. When the job's last table is written the others are deleted."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        path = fresh_path(self.spark, name)
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[path] = out
+        return out
+
+    def drop(self, *tables: DataFrame, keep: tuple[DataFrame, ...] = ()) -> None:
+        """Delete ``tables``, or all but ``keep``; nothing may read them later."""
+        for path, df in list(self.paths.items()):
+            if any(df is x for x in tables) if tables else not any(df is x for x in keep):
+                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+                del self.paths[path]
+
+
 def file_system(uri: str):
     """(pyarrow file system, path) of a URI or of a plain local path."""
     from pyarrow import fs
@@ -52,3 +81,68 @@ def small_batches(spark: SparkSession, rows: int):
         yield
     finally:
         spark.conf.set(key, before)
+
+
+def release() -> None:
+    """Hand freed memory back: Python workers live on after a task and share their executor's memory."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_slices(df: DataFrame, f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, rows: int = 512) -> DataFrame:
+    """``df.mapInPandas(f, schema)`` that hands ``f`` a few rows at a time and frees what a task held. Whole numbers stay
+    whole beside nulls."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def slices():
+            for batch in batches:
+                for i in range(0, batch.num_rows, rows):
+                    yield batch.slice(i, rows).to_pandas(integer_object_nulls=True)
+
+        try:
+            for out in f(slices()):
+                yield pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)
+
+
+def freed(f: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """``f`` of a group, after which memory is handed back, though not more often than once a second."""
+
+    def run(group):
+        try:
+            return f(group)
+        finally:
+            if time.monotonic() - _released[0] > 1:
+                release()
+                _released[0] = time.monotonic()
+
+    return run
+
+
+_released = [0.0]
+
+
+def local_dir() -> str:
+    """A folder of Spark's own on the executor's disk, cleared when the executor ends; for what one task alone needs."""
+    where = next((d for d in os.environ.get("SPARK_LOCAL_DIRS", "").split(",") if d), tempfile.gettempdir())
+    os.makedirs(where, exist_ok=True)
+    return where
+
+
+def partitions_for(df: DataFrame, bytes_each: int, most: int = 100_000) -> int:
+    """How many partitions of so many bytes ``df`` fills by Spark's own estimate, where it has one; not fewer than it
+    shuffles into."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size < 1 << 60
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(most, -(-size // bytes_each)) if known else 0)

@@ -4,35 +4,43 @@ A string of ``length`` bytes belongs to the least hashed gram in it (the leftmos
 wherever the string occurs. Runs of strings with one such anchor form a region; an anchor seen once needs no sorting, and
 regions seen twice whole repeat whole. What is left are different regions of one anchor: one text of each goes to the
 anchor's shard, and every shard is suffix-sorted on its own, as two equal strings always meet in one shard. The sort
-keeps its text and queues on disk, but arrays of the shard's length in memory (the README gives how much). Regions that a task meets more than once go on
-as one, and their places travel apart from their anchor, so a frequent passage loads no shard with its occurrences.
+keeps text, arrays and queues of a large shard on disk. Regions that a task meets more than once go on as one, and their
+places travel apart from their anchor, so a frequent passage loads no shard with its occurrences. An anchor with many
+different regions is parted: strings are dealt by where the anchor lies in them, and by the bytes beside it that all of
+a part's strings hold.
 """
 
 from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .induced_sort import repeated_starts
-from .shared import stored
+from .induced_sort import Scratch, repeated_starts, spans
+from .shared import freed, local_dir, map_slices, partitions_for, stored
 from .shingles import U64, batches, powers, prefix_hash, range_hash
 
 LENGTH, GRAM = 200, 40
 #: Positions of a piece fit into the low bits of the compared numbers.
-PIECE_BITS = 21
-HELD_ANCHORS, HELD_BYTES = 1_000_000, 32 << 20
+PIECE_BITS = 20
+HELD_ANCHORS, HELD_BYTES = 500_000, 8 << 20
+#: Different regions from which on an anchor is parted, and the offsets of the anchor that a part holds.
+HOT_REGIONS, PART = 4096, 20
+#: Symbols of a shard, and bytes of input whose anchors meet in one bucket.
+SHARD_SYMBOLS, BUCKET_BYTES = 2 << 20, 8 << 20
+KINDS = {"whole": 0, "sorted": 1, "match": 2}
 
 
 def anchored_runs(data: np.ndarray, spans: list[tuple[int, int]], length: int = LENGTH, gram: int = GRAM, limit: int | None = None) -> tuple[np.ndarray, ...]:
-    """(start, number of strings, hash of the anchor, hash of the region) of the runs of strings within ``spans`` that
+    """(start, number of strings, hash of the anchor, hash of the region, anchor after the start) of the runs of strings within ``spans`` that
     share one anchor; with ``limit``, of strings that start before it."""
     spans = [(a, b) for a, b in spans if b - a >= length]
     if not spans:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, U64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64)
     n, w = len(data), length - gram + 1
     prefix = prefix_hash(data)
     h = (prefix[gram:] - prefix[:-gram]) * powers(n + 1)[1][: n - gram + 1]
@@ -58,11 +66,11 @@ def anchored_runs(data: np.ndarray, spans: list[tuple[int, int]], length: int =
     if limit is not None:
         keep = start < limit
         start, count = start[keep], np.minimum(count[keep], limit - start[keep])
-    return start, count, h[at[start]], range_hash(prefix, start, start + count + length - 1)
+    return start, count, h[at[start]], range_hash(prefix, start, start + count + length - 1), at[start] - start
 
 
 def _runs(texts: list[bytes], length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(text number, start in it, strings, anchor, region) of all runs, piece by piece; texts longer than a piece overlap."""
+    """(text number, start in it, strings, anchor, region, anchor after the start) of all runs, piece by piece; texts longer than a piece overlap."""
     most = (1 << PIECE_BITS) - 1
     for a, b in batches(texts, min(1 << 19, most)):
         if len(texts[a]) > most:  # alone in its range
@@ -84,16 +92,16 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def repeated_anchors(rows: DataFrame, length: int, gram: int, buckets: int) -> DataFrame:
-    """Runs (key, start, n, anchor, kind) whose anchor occurs at least twice: 0 repeats whole; of regions that differ, one
-    place each is to be sorted, for itself (1) or for the others' sake (2)."""
+    """Runs (key, start, n, anchor, offset, kind, hot) whose anchor occurs at least twice: 0 repeats whole; of regions that
+    differ, one place each is to be sorted, for itself (1) or for the others' sake (2). ``hot``: the anchor has many."""
 
     def deal(frames):
         held, keys = [], []
 
         def flush():
-            doc, start, n, h, r = (np.concatenate(x) for x in zip(*held))
+            doc, start, n, h, r, off = (np.concatenate(x) for x in zip(*held))
             order = np.lexsort((r, h))
-            doc, start, n, h, r = doc[order], start[order], n[order], h[order], r[order]
+            doc, start, n, h, r, off = doc[order], start[order], n[order], h[order], r[order], off[order]
             new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (r[1:] != r[:-1]))))
             size = np.diff(np.append(new, len(h)))
             twice = np.flatnonzero(np.repeat(size > 1, size))
@@ -107,8 +115,8 @@ def repeated_anchors(rows: DataFrame, length: int, gram: int, buckets: int) -> D
             for b in np.flatnonzero(np.diff(cuts)):
                 i = at[order[cuts[b] : cuts[b + 1]]]
                 used, place = np.unique(doc[i], return_inverse=True)
-                out.append((int(b), h[i].tobytes(), r[i].tobytes(), place.astype("<u2").tobytes(), start[i].astype("<u4").tobytes(), n[i].astype("u1").tobytes(), flag[order[cuts[b] : cuts[b + 1]]].tobytes(), own[used].tobytes()))
-            return pd.DataFrame(out, columns=["bucket", "anchor", "region", "place", "start", "n", "flag", "keys"])
+                out.append((int(b), h[i].tobytes(), r[i].tobytes(), place.astype("<u2").tobytes(), start[i].astype("<u4").tobytes(), n[i].astype("u1").tobytes(), off[i].astype("u1").tobytes(), flag[order[cuts[b] : cuts[b + 1]]].tobytes(), own[used].tobytes()))
+            return pd.DataFrame(out, columns=["bucket", "anchor", "region", "place", "start", "n", "off", "flag", "keys"])
 
         count = 0
         for frame in frames:
@@ -128,7 +136,7 @@ def repeated_anchors(rows: DataFrame, length: int, gram: int, buckets: int) -> D
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
         cat = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in frame[c]])
-        h, r, start, n, flag = cat("anchor", "<u8"), cat("region", "<u8"), cat("start", "<u4").astype(np.int64), cat("n", "u1").astype(np.int64), cat("flag", "u1")
+        h, r, start, n, off, flag = cat("anchor", "<u8"), cat("region", "<u8"), cat("start", "<u4").astype(np.int64), cat("n", "u1").astype(np.int64), cat("off", "u1"), cat("flag", "u1")
         key = np.concatenate([np.frombuffer(k, "<i8")[np.frombuffer(p, "<u2")] for k, p in zip(frame["keys"], frame["place"])])
         i = np.flatnonzero(flag < 2)
         i = i[np.lexsort((r[i], h[i]))]
@@ -140,13 +148,32 @@ def repeated_anchors(rows: DataFrame, length: int, gram: int, buckets: int) -> D
         often = times[group] > 1
         parts = [(np.flatnonzero(flag == 2), 0), (i[often], 0), (i[~often & (different > 1)], 1), (i[often & new & (different > 1)], 2)]
         at = np.concatenate([x for x, _ in parts])
-        return pd.DataFrame({"key": key[at], "start": start[at], "n": n[at], "anchor": h[at].view(np.int64), "kind": np.repeat([k for _, k in parts], [len(x) for x, _ in parts]).astype(np.int32)})
+        hot = np.zeros(len(h), bool)
+        hot[i] = different > HOT_REGIONS
+        kind = np.repeat([k for _, k in parts], [len(x) for x, _ in parts]).astype(np.int32)
+        return pd.DataFrame({"key": key[at], "start": start[at], "n": n[at], "anchor": h[at].view(np.int64), "offset": off[at].astype(np.int32), "kind": kind, "hot": hot[at]})
 
-    dealt = rows.mapInPandas(deal, "bucket int, anchor binary, region binary, place binary, start binary, n binary, flag binary, keys binary")
-    return dealt.groupBy("bucket").applyInPandas(join, "key bigint, start bigint, n bigint, anchor bigint, kind int")
+    dealt = map_slices(rows, deal, "bucket int, anchor binary, region binary, place binary, start binary, n binary, off binary, flag binary, keys binary")
+    return dealt.groupBy("bucket").applyInPandas(freed(join), "key bigint, start bigint, n bigint, anchor bigint, offset int, kind int, hot boolean")
 
 
-def _regions(rows: DataFrame, runs: DataFrame, length: int, shards: int) -> DataFrame:
+def _parts(raw: bytes, start: int, n: int, offset: int, anchor: int, length: int, gram: int) -> Iterator[tuple[int, int, int]]:
+    """(start, strings, number that stands for the shared bytes) of the parts of a region of a frequent anchor.
+
+    The anchor lies ``offset`` bytes into the first string, one less into the next, and so on. Strings of a part have it
+    at one of ``PART`` offsets, so all of them hold the same bytes beside it, and equal strings lie in parts of one number.
+    """
+    at, i = start + offset, 0
+    while i < n:
+        j = (offset - i) // PART
+        end = min(n, offset - j * PART + 1)
+        last = min(length - gram, j * PART + PART - 1)
+        shared = raw[at - j * PART : at + length - last]
+        yield start + i, end - i, int.from_bytes(blake2b(shared, digest_size=8, salt=j.to_bytes(2), key=anchor.to_bytes(8, signed=True)).digest(), signed=True)
+        i = end
+
+
+def _regions(rows: DataFrame, runs: DataFrame, length: int, gram: int, shards: int) -> DataFrame:
     """Texts of the regions to be sorted, packed by shard."""
 
     def deal(frames):
@@ -164,53 +191,56 @@ def _regions(rows: DataFrame, runs: DataFrame, length: int, shards: int) -> Data
             for key, text, runs_ in zip(frame["key"].tolist(), frame["text"], frame["runs"]):
                 raw = text.encode("utf-8", "surrogatepass")
                 for r in runs_:
-                    start, n = r["start"], r["n"]
-                    held.append((raw[start : start + n + length - 1], r["anchor"], n, key, start, r["kind"]))
-                    size += n + length + 150
+                    own = [(r["start"], r["n"], r["anchor"])]
+                    for start, n, anchor in _parts(raw, *own[0][:2], r["offset"], r["anchor"], length, gram) if r["hot"] else own:
+                        held.append((raw[start : start + n + length - 1], anchor, n, key, start, r["kind"]))
+                        size += n + length + 150
                 if size >= HELD_BYTES:
                     yield pack()
                     held, size = [], 0
         if held:
             yield pack()
 
-    by_text = runs.where("kind > 0").groupBy("key").agg(F.collect_list(F.struct("start", "n", "anchor", "kind")).alias("runs"))
+    by_text = runs.where("kind > 0").groupBy("key").agg(F.collect_list(F.struct("start", "n", "anchor", "offset", "kind", "hot")).alias("runs"))
     joined = rows.join(by_text.hint("merge"), "key")  # places grow with the corpus
-    return joined.mapInPandas(deal, "shard bigint, texts binary, lengths binary, places binary")
+    return map_slices(joined, deal, "shard bigint, texts binary, lengths binary, places binary")
 
 
 def _sorted_shard(length: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with tempfile.TemporaryDirectory() as folder:
-            sizes, places = [], []
-            with open(f"{folder}/symbols", "wb") as out:
-                for frame in frames:
-                    for raw, lengths, place in zip(frame["texts"], frame["lengths"], frame["places"]):
-                        lengths = np.frombuffer(lengths, "<u4").astype(np.int64)
-                        text = np.ones(len(raw) + len(lengths), "<u2")  # each region ends with a 1, bytes are 2 and more
-                        at = np.arange(len(raw)) + np.repeat(np.arange(len(lengths)), lengths)
-                        text[at] = np.frombuffer(raw, np.uint8).astype(np.uint16) + 2
-                        out.write(text.tobytes())
-                        sizes.append(lengths)
-                        places.append(np.frombuffer(place, "<i8").reshape(-1, 3))
-                out.write(b"\0\0")
-            if not sizes:
+        folder = local_dir()
+        scratch, total = Scratch(folder), 0
+        with tempfile.TemporaryFile(dir=folder) as symbols, tempfile.TemporaryFile(dir=folder) as about:
+            for frame in frames:
+                for raw, lengths, place in zip(frame["texts"], frame["lengths"], frame["places"]):
+                    lengths = np.frombuffer(lengths, "<u4").astype(np.int64)
+                    text = np.ones(len(raw) + len(lengths), "<u2")  # each region ends with a 1, bytes are 2 and more
+                    at = np.arange(len(raw)) + np.repeat(np.arange(len(lengths)), lengths)
+                    text[at] = np.frombuffer(raw, np.uint8).astype(np.uint16) + 2
+                    symbols.write(text.tobytes())
+                    about.write(np.column_stack((total + np.cumsum(lengths + 1) - lengths - 1, lengths, np.frombuffer(place, "<i8").reshape(-1, 3))).tobytes())
+                    total += len(text)
+            if not total:
                 return
-            sizes, places = np.concatenate(sizes), np.concatenate(places)
-            text = np.memmap(f"{folder}/symbols", "<u2", "r")
-            flags = repeated_starts(text, length, folder)
-            begin = np.cumsum(sizes + 1) - sizes - 1
-            within = np.zeros(len(flags) + 1, np.int8)  # not over a region's end
-            within[begin] += 1
-            within[begin + sizes - length + 1] -= 1
-            hit = (flags & (np.cumsum(within[:-1]) > 0)).astype(np.int8)
-            edge = np.flatnonzero(np.diff(np.concatenate(([0], hit, [0]))))
-            first, last = edge[::2], edge[1::2]
-            region = np.searchsorted(begin, first, "right") - 1
-            key, start, kind = places[region].T
-            rows = np.column_stack((key, start + first - begin[region], last - first))[kind == 1]
-            for a in range(0, len(rows), 100_000):
-                yield pd.DataFrame(rows[a : a + 100_000], columns=["key", "start", "n"])
-            del text
+            symbols.write(b"\0\0")
+            for f in (symbols, about):
+                f.flush()
+            regions = np.memmap(about, "<i8", "r").reshape(-1, 5)  # where a region begins in the shard, its length and its place
+            flags = repeated_starts(np.memmap(symbols, "<u2", "r"), length, scratch)
+            for a, b in spans(len(regions)):
+                begin, size, key, start, kind = np.array(regions[a:b]).T
+                hit = np.concatenate((np.asarray(flags[begin[0] : begin[-1] + size[-1]]), [False])).astype(np.int8)
+                begin = begin - begin[0]
+                within = np.zeros(len(hit) + 1, np.int8)  # not over a region's end
+                within[begin] += 1
+                within[begin + size - length + 1] -= 1
+                hit &= np.cumsum(within[:-1], dtype=np.int8)
+                edge = np.flatnonzero(np.diff(np.concatenate(([0], hit, [0]))))
+                first, last = edge[::2], edge[1::2]
+                region = np.searchsorted(begin, first, "right") - 1
+                rows = np.column_stack((key[region], start[region] + first - begin[region], last - first))[kind[region] == KINDS["sorted"]]
+                if len(rows):
+                    yield pd.DataFrame(rows, columns=["key", "start", "n"])
 
     return run
 
@@ -224,40 +254,54 @@ def covered(starts: np.ndarray, counts: np.ndarray, length: int) -> list[tuple[i
     return list(zip(begin[new].tolist(), reach[np.append(new[1:], True)].tolist()))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep: tuple[str, ...] = ()) -> DataFrame:
+def whole_characters(raw: bytes, begin: int, end: int) -> tuple[int, int]:
+    """The span without the parts of UTF-8 characters that it cuts."""
+    while begin < end and raw[begin] & 0xC0 == 0x80:
+        begin += 1
+    while end > begin and end < len(raw) and raw[end] & 0xC0 == 0x80:
+        end -= 1
+    return begin, end
+
+
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep: tuple[str, ...] = (), characters: bool = False
+) -> DataFrame:
     """One row per input row: id, ``keep`` columns, n_bytes, spans (array of begin, end), kept (binary: the other bytes).
 
     Every byte under a string of ``length`` bytes that also starts elsewhere, in the same text or another, is removed; all
-    copies go. Strings are judged on the input. A null text is empty; texts shorter than ``length`` lose nothing; rows that
-    repeat a text repeat its strings. Null ids stay null. An empty table gives an empty result. Rows are told apart by a
-    64-bit hash of id and text.
+    copies go. Strings are judged on the input. With ``characters`` a character that a span cuts stays whole, and ``kept``
+    is a string. A null text is empty; texts shorter than ``length`` lose nothing; rows that repeat a text repeat its
+    strings. Null ids stay null. An empty table gives an empty result. Rows are told apart by a 64-bit hash of id and text.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.xxhash64(F.col(id_col), text).alias("key"), F.col(id_col).alias("id"), text.alias("text"), *[F.col(c).alias(f"_{c}") for c in keep])
-    parts = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    runs = stored(repeated_anchors(rows.select("key", "text"), length, gram, parts), "anchor-runs")
-    shards = _regions(rows, runs, length, parts).repartition(parts, "shard")
-    found = shards.mapInPandas(_sorted_shard(length), "key bigint, start bigint, n bigint").unionByName(runs.where("kind = 0").select("key", "start", "n"))
+    runs = stored(repeated_anchors(rows.select("key", "text"), length, gram, partitions_for(docs, BUCKET_BYTES)), "anchor-runs")
+    symbols = runs.where("kind > 0").agg(F.sum((F.col("n") + length) * F.when(F.col("hot"), length // PART).otherwise(1))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, -(-symbols // SHARD_SYMBOLS)))
+    shards = _regions(rows, runs, length, gram, parts).repartition(parts, "shard")
+    sorted_ = map_slices(shards, _sorted_shard(length), "key bigint, start bigint, n bigint", 16)
+    found = sorted_.unionByName(runs.where("kind = 0").select("key", "start", "n"))
     by_row = found.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("found"))
     joined = rows.join(by_row.hint("merge"), "key", "left")  # both tables of places grow with the corpus
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            n_bytes, spans, kept = [], [], []
+            n_bytes, removed, kept = [], [], []
             for t, found_ in zip(frame["text"], frame["found"]):
                 raw = t.encode("utf-8", "surrogatepass")
                 hit = [] if found_ is None or not len(found_) else covered(np.array([x["start"] for x in found_]), np.array([x["n"] for x in found_]), length)
+                hit = [whole_characters(raw, a, b) for a, b in hit] if characters else hit
                 edges = [0, *(x for s in hit for x in s), len(raw)]
                 n_bytes.append(len(raw))
-                spans.append([{"begin": a, "end": b} for a, b in hit])
-                kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])))
-            out = frame.drop(columns=["key", "text", "found"]).assign(n_bytes=n_bytes, spans=spans, kept=kept)
-            yield out
+                removed.append([{"begin": a, "end": b} for a, b in hit])
+                left = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
+                kept.append(left.decode("utf-8", "surrogatepass") if characters else left)
+            yield frame.drop(columns=["key", "text", "found"]).assign(n_bytes=n_bytes, spans=removed, kept=kept)
 
     fields = {f.name: f.dataType.simpleString() for f in joined.schema}
-    schema = ", ".join([f"`{c}` {fields[c]}" for c in joined.columns if c not in ("key", "text", "found")] + ["n_bytes bigint", "spans array<struct<begin:bigint,end:bigint>>", "kept binary"])
-    out = joined.mapInPandas(cut, schema)
+    schema = ", ".join([f"`{c}` {fields[c]}" for c in joined.columns if c not in ("key", "text", "found")] + ["n_bytes bigint", "spans array<struct<begin:bigint,end:bigint>>", f"kept {'string' if characters else 'binary'}"])
+    out = map_slices(joined, cut, schema)
     return out.select(F.col("id").alias(id_col), *[F.col(f"_{c}").alias(c) for c in keep], "n_bytes", "spans", "kept")
 
 

@@ -164,7 +164,7 @@ def test_long_text_is_read_in_pieces(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE_BITS", 11)
     rng = random.Random(1)
     text = "".join(rng.choice("abc") for _ in range(9000)).encode()
-    runs = [(int(s) + k, int(h)) for _, start, n, h, _ in suffix_dedup._runs([text], 200, 40) for s, m, h in zip(start, n, h) for k in range(m)]
+    runs = [(int(s) + k, int(h)) for _, start, n, h, *_ in suffix_dedup._runs([text], 200, 40) for s, m, h in zip(start, n, h) for k in range(m)]
     assert [p for p, _ in sorted(runs)] == list(range(9000 - 199))
 
 
@@ -181,24 +181,49 @@ def test_long_text_after_short_ones(spark, monkeypatch):
     assert got == {0: [], 1: [(at, at + 230)], 2: [(1, 231)]}
     monkeypatch.setattr(suffix_dedup, "PIECE_BITS", 11)
     texts = [bytes(rng.choices(b"abc", k=k)) for k in (100, 1500, 900, 5000, 300)]
-    places = lambda texts: sorted((int(d), int(s) + k, int(h)) for doc, start, n, h, _ in suffix_dedup._runs(texts, 200, 40) for d, s, m, h in zip(doc, start, n, h) for k in range(m))
+    places = lambda texts: sorted((int(d), int(s) + k, int(h)) for doc, start, n, h, *_ in suffix_dedup._runs(texts, 200, 40) for d, s, m, h in zip(doc, start, n, h) for k in range(m))
     assert places(texts) == [(d, p, h) for d, t in enumerate(texts) for _, p, h in places([t])]
 
 
+def test_frequent_anchors_are_parted(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_REGIONS", 3)
+    rng = random.Random(8)
+    text = lambda k: "".join(rng.choices("abcdefghij ", k=k))
+    passage, other = text(500), text(30)
+    texts = [text(rng.randint(0, 90)) + passage[rng.randint(0, 30) :] + text(rng.randint(0, 90)) for _ in range(25)]
+    texts += [texts[0][:320] + text(50), other + texts[1], other + texts[1][10:] + "x", passage * 3, "ab" * 400, "ab" * 333 + "c"]
+    want = dict(enumerate(brute_repeats(texts)))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    runs = suffix_dedup.repeated_anchors(rows.withColumnRenamed("doc_id", "key"), 200, 40, 4)
+    assert runs.where("hot and kind > 0").count() > 20
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeat_report(rows).collect()} == want
+
+
+def test_cut_characters_stay_whole(spark):
+    passage = "é€" * 60
+    texts = ["è" + passage + "₭", "ê" + passage + "₮"]  # neighbours that begin or end with equal bytes
+    rows = suffix_dedup.remove_repeats(corpus(spark, texts), characters=True).orderBy("doc_id").collect()
+    assert [r.kept for r in rows] == ["è₭", "ê₮"]
+    assert [r.kept.decode("utf-8", "ignore") for r in suffix_dedup.remove_repeats(corpus(spark, texts)).orderBy("doc_id").collect()] != [r.kept for r in rows]
+
+
 @pytest.mark.parametrize("in_memory", [1 << 20, 2])
-def test_induced_sort(tmp_path, in_memory):
+@pytest.mark.parametrize("block", [1 << 17, 5])
+def test_induced_sort(tmp_path, monkeypatch, in_memory, block):
+    monkeypatch.setattr(induced_sort, "BLOCK", block)
     rng = random.Random(5)
+    scratch = induced_sort.Scratch(str(tmp_path), held=64 if block == 5 else 1 << 20)
     for _ in range(60):
         t = [rng.randint(1, rng.choice([1, 2, 3, 10])) for _ in range(rng.randint(1, 100))]
         if rng.random() < 0.3:
             t = t[:5] * rng.randint(1, 40)
         t.append(0)
         text = np.array(t, "<u2")
-        seeds = induced_sort.sorted_seeds(text, str(tmp_path), in_memory)
+        seeds = induced_sort.sorted_seeds(text, scratch, in_memory)
         lcp = np.zeros(len(seeds), np.uint8)
         lcp[1:] = induced_sort.common_prefix(text, seeds[:-1], seeds[1:])
         pos, common = [], []
-        induced_sort.induce(text, seeds, lcp, str(tmp_path), lambda p, c: (pos.extend(p.tolist()), common.extend(c.tolist())))
+        induced_sort.induce(text, seeds, lcp, scratch, lambda p, c, _: (pos.extend(p.tolist()), common.extend(c.tolist())))
         order = sorted(range(len(t)), key=lambda i: t[i:])
         assert pos[::-1] == order
 
@@ -208,16 +233,27 @@ def test_induced_sort(tmp_path, in_memory):
                 k += 1
             return k
 
-        assert common == [0, *(shared(order[i], order[i - 1]) for i in range(len(order) - 1, 0, -1))]
+        assert common == [0, *(min(255, shared(order[i], order[i - 1])) for i in range(len(order) - 1, 0, -1))]
+
+
+def test_recursion_on_files(tmp_path):
+    """A string whose names do not fit the sort in memory, with arrays and queues in files."""
+    base = np.random.default_rng(0).integers(2, 258, 150_000).astype("<u2")
+    text = np.concatenate((base, base[:70_000], base[50_000:], [0])).astype("<u2")
+    got = induced_sort.repeated_starts(text, 200, induced_sort.Scratch(str(tmp_path), held=1 << 16), 1000)
+    seen = collections.Counter(text[i : i + 200].tobytes() for i in range(len(text) - 199))
+    assert got[: len(text) - 199].tolist() == [seen[text[i : i + 200].tobytes()] > 1 for i in range(len(text) - 199)]
 
 
 def test_queue_spills(tmp_path):
-    q = induced_sort.SymbolQueue(str(tmp_path), buffer=100)
+    q = induced_sort.SpillQueue(str(tmp_path), buffer=100)
     for k in range(50):
         rows = np.zeros(3, induced_sort.TUPLE)
         rows["pos"] = k
         q.push(k % 2, rows)
-    assert q.spilled and q.pop(1)["pos"].tolist() == [k for k in range(1, 50, 2) for _ in range(3)]
+    want = [k for k in range(1, 50, 2) for _ in range(3)]
+    assert q.file is not None and q.take(1, 4)["pos"].tolist() == want[:4] and q.take(1, 5, last=True)["pos"].tolist() == want[-5:]
+    assert q.take(1)["pos"].tolist() == want[4:-5] and not len(q.take(1))
     q.close()
 
 
