@@ -6,13 +6,12 @@ quality classifier, exact dedup, n-gram Jaccard join, suffix-array dedup, packin
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.functions import pandas_udf
 
 from stratus.llm import exact_dedup, jaccard, packing, quality, suffix_dedup
 from stratus.llm.queries import tokenizer_file
 from stratus.llm.shared import fresh_path
 
-#: Texts in which the removal of repeats cut a UTF-8 character lose its bytes; no stage has an SQL form as a whole.
+#: No stage but the second has an SQL form.
 ORACLE_SQL = None
 
 
@@ -29,15 +28,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their repeated strings cut out; ``n_chars`` follows. Texts of which nothing is left go."""
-
-    @pandas_udf("string")
-    def as_text(kept):
-        return kept.map(lambda b: b.decode("utf-8", "ignore"))
-
-    cut = suffix_dedup.remove_repeats(docs, keep=("lang", "source"))
+    """Documents with their repeated strings cut out, but for characters that a cut would part; ``n_chars`` follows.
+    Texts of which nothing is left go. Columns stay as they are."""
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    cut = suffix_dedup.remove_repeats(docs, keep=others, characters=True)
     cut = cut.where((F.length("kept") > 0) | (F.size("spans") == 0))
-    return cut.select("doc_id", as_text("kept").alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("bigint")).select("doc_id", "text", "lang", "source", "n_chars")
+    cut = cut.withColumnRenamed("kept", "text").withColumn("n_chars", F.length("text").cast("bigint"))
+    return cut.select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
