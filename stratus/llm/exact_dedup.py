@@ -74,15 +74,16 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Of kept rows that repeat both id and text, or have null ids, the one whose columns hash least stays.
     """
     copies = exact_groups(docs, id_col, text_col).where("group_size > 1")
-    copies = copies.groupBy(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")).agg(F.max("kept").alias("__kept"), F.count("*").alias("n"))
+    copies = copies.groupBy(F.col(id_col).alias("id"), F.col("text_sha256").alias("sha")).agg(F.max("kept").alias("stays"), F.count("*").alias("n"))
     # of a copy that goes all rows go, and of one that stays more than once all but one
-    copies = stored(copies.where("not __kept or n > 1").drop("n"), "radix-copies")
-    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (sha == F.col("__sha"))
-    alone = docs.join(copies, same, "left_anti").select(*docs.columns)
-    repeated = copies.where("__kept")
+    copies = stored(copies.where("not stays or n > 1").drop("n"), "radix-copies")
+    rows = docs.select(F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("sha"), F.struct("*").alias("row"))
+    which = copies.select(F.col("id").alias("i"), F.col("sha").alias("s"))
+    same = F.col("id").eqNullSafe(F.col("i")) & (F.col("sha") == F.col("s"))
+    alone = rows.join(which, same, "left_anti").select("row.*")
+    repeated = copies.where("stays").select(F.col("id").alias("i"), F.col("sha").alias("s"))
     if repeated.isEmpty():
         return alone
-    order = F.xxhash64(*[F.col(c).cast("string") for c in docs.columns])
-    one = docs.join(repeated, same).groupBy("__id", "__sha").agg(F.min_by(F.struct(*docs.columns), order).alias("__row"))
-    return alone.unionByName(one.select("__row.*"))
+    order = F.xxhash64(*[F.col("row").getField(c).cast("string") for c in docs.columns])
+    one = rows.join(repeated, same).groupBy("i", "s").agg(F.min_by("row", order).alias("row"))
+    return alone.unionByName(one.select("row.*"))

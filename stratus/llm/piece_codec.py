@@ -9,6 +9,7 @@ the one piece that is stable after the last piece of the prefix before it; that
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from functools import lru_cache
@@ -17,6 +18,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from .shared import map_slices
+
 MARK = "▁"
 #: Words, and pairs of pieces, that a worker remembers.
 MEMO = 300_000
@@ -50,14 +53,22 @@ class PieceCodec:
 
     def merge(self, text: str) -> list[str]:
         """Pieces by repeated merging of the best pair, the first of equal ones."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = max(((self.scores[a + b], -i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.scores), default=None)
-            if best is None:
-                break
-            i = -best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+        parts: list[str | None] = list(text)
+        before, after = list(range(-1, len(parts) - 1)), [*range(1, len(parts)), -1]
+        queue = [(-self.scores[a + b], i, a + b) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.scores]
+        heapq.heapify(queue)
+        while queue:
+            _, i, joined = heapq.heappop(queue)
+            j = after[i]
+            if parts[i] is None or j < 0 or parts[i] + parts[j] != joined:
+                continue  # one of the two was merged meanwhile
+            parts[i], parts[j], after[i] = joined, None, after[j]
+            if after[j] >= 0:
+                before[after[j]] = i
+            for k in (before[i], i):
+                if k >= 0 and after[k] >= 0 and (pair := parts[k] + parts[after[k]]) in self.scores:
+                    heapq.heappush(queue, (-self.scores[pair], k, pair))
+        return [p for p in parts if p is not None]
 
     def follows(self, last: str, piece: str) -> bool:
         pair = (last, piece)
@@ -148,15 +159,13 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     def run(frames):
         codec = piece_codec(model)
         for frame in frames:
-            for i in range(0, len(frame), 512):
-                part = frame.iloc[i : i + 512]
-                ids = codec.encode(part["text"].tolist())
-                out = pd.DataFrame({id_col: part["id"].tolist(), "ids": ids, "ids_crc32": [zlib.crc32(x) for x in ids]})
-                yield out.assign(decoded=[codec.decode(x) for x in ids]) if decode else out
+            ids = codec.encode(frame["text"].tolist())
+            out = pd.DataFrame({id_col: frame["id"].tolist(), "ids": ids, "ids_crc32": [zlib.crc32(x) for x in ids]}, columns=[id_col, "ids", "ids_crc32"])
+            yield out.assign(decoded=[codec.decode(x) for x in ids]) if decode else out
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, f"`{id_col}` {kind}, ids binary, ids_crc32 bigint" + ", decoded string" * decode)
+    return map_slices(rows, run, f"`{id_col}` {kind}, ids binary, ids_crc32 bigint" + ", decoded string" * decode)
 
 
 def decode_pieces(encoded: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:

@@ -8,9 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import chroma, exact_dedup, jaccard, packing, piece_codec, quality, suffix_dedup, token_files, url_filter, warc
 
-TOKENIZERS = "/opt/tokenizers"
-
-
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
@@ -71,6 +68,16 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
             FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+        "op2_warc": """
+            WITH of AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+            dig AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS hex FROM of),
+            five AS (SELECT page_id, n, hex, unnest(range(8)) AS k FROM dig),  -- 20 bits, four base32 letters
+            num AS (SELECT page_id, n, hex, k, ('0x' || substr(hex, 5 * k::INT + 1, 5))::BIGINT AS v FROM five),
+            word AS (SELECT page_id, n, hex, string_agg(list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v >> s & 31)::INT + 1, 1) for s in [15, 10, 5, 0]], 'string_agg', ''), '' ORDER BY k) AS digest
+                     FROM num GROUP BY page_id, n, hex)
+            SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = min(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
+                   CASE WHEN page_id <> min(page_id) OVER w THEN min(page_id) OVER w END AS refers_to
+            FROM word WINDOW w AS (PARTITION BY hex, n)""",
         "op4_url_filter": """
             WITH parts AS (
                 SELECT page_id,

@@ -99,10 +99,13 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def rule_keys(host: Column, path: Column, path_lengths: list[int]) -> Column:
-    """All keys under which a rule for the url could be listed: every parent domain with every path prefix of a listed length."""
-    labels = F.split(host, r"\.", -1)
+def rule_keys(host: Column, path: Column, path_lengths: list[int], most_labels: int) -> Column:
+    """All keys under which a rule for the url could be listed: every parent domain of at most as many labels as a rule
+    has, with every path prefix of a listed length."""
+    end = F.substring_index(host, ".", -(most_labels + 1))  # a longer host fits no rule as a whole
+    labels = F.split(end, r"\.", -1)
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    hosts = F.filter(hosts, lambda h: F.length(h) - F.length(F.replace(h, F.lit("."), F.lit(""))) < most_labels)
     lengths = F.filter(F.array(*[F.lit(x) for x in path_lengths]), lambda n: n <= F.length(path))
     return F.flatten(F.transform(hosts, lambda h: F.transform(lengths, lambda n: F.concat(h, F.substring(path, F.lit(1), n)))))
 
@@ -117,7 +120,8 @@ def judge_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
     named = {h + p: v for v, h, p in rules}
     lengths = sorted({len(p) for _, _, p in rules})
     parts = pages.select(F.col(id_col).alias(id_col), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
-    keyed = parts.withColumn("keys", rule_keys(F.col("host"), F.col("path"), lengths))
+    most_labels = max((h.count(".") + 1 for _, h, _ in rules), default=1)
+    keyed = parts.withColumn("keys", rule_keys(F.col("host"), F.col("path"), lengths, most_labels))
     universe = keyed.select(F.explode("keys").alias("key"))
     cascades = {v: build_cascade(universe, [k for k, x in named.items() if x == v]) for v in ("block", "allow")}
     hits = F.transform(

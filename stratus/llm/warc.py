@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import file_system, fresh_path, stored
+from .shared import file_system, fresh_path, map_slices, stored
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -121,7 +121,7 @@ def write_archives(pages: DataFrame, where: str, min_revisit_bytes: int = 0, rol
         if done:
             yield pd.DataFrame(done, columns=["path", "n_records", "n_bytes"])
 
-    return stored(marked.mapInPandas(write, "path string, n_records bigint, n_bytes bigint"), "archives")
+    return stored(map_slices(marked, write, "path string, n_records bigint, n_bytes bigint"), "archives")
 
 
 def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
@@ -130,22 +130,24 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for path in frame["path"]:
+            for path, want in zip(frame["path"], frame["n_records"]):
                 fs, local = file_system(path)
-                rows, held = [], 0
+                rows, held, count = [], 0, 0
                 with fs.open_input_stream(local, compression=None) as stream:
                     for raw in members(stream):
                         record = parse_record(raw)
                         rows.append([record[k] for k in names])
-                        held += len(raw)
+                        held, count = held + len(raw), count + 1
                         if held > 8 << 20:
                             yield _frame(rows, names)
                             rows, held = [], 0
                 if rows:
                     yield _frame(rows, names)
+                if count != want:
+                    raise ValueError(f"{path} holds {count} records where {want} were written")
 
     schema = "page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint" + ", payload binary" * with_payload
-    return archives.select("path").repartition(max(1, archives.count())).mapInPandas(read, schema)
+    return map_slices(archives.select("path", "n_records").repartition(max(1, archives.count())), read, schema)
 
 
 def _frame(rows: list[list], names: list[str]) -> pd.DataFrame:
