@@ -23,13 +23,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stratus.operators.graph import connected_components
 
-from .shared import stored
+from .shared import Tables, freed, map_slices, partitions_for, stored
 from .shingles import U64, batches, mix, shingle_sets
 
 #: Empty blocks are allowed for by this share more blocks.
 SLACK = 0.12
 #: Keys that a task holds before it hands them on, members in a row of a key's group, and members compared at once.
-HELD_KEYS, ROW_MEMBERS, BLOCK_MEMBERS = 2_000_000, 16_384, 1_024
+HELD_KEYS, ROW_MEMBERS, BLOCK_MEMBERS = 1_000_000, 16_384, 512
+#: Bytes of input whose keys meet in one bucket; members of open keys with one lead that do, and of all such keys.
+BUCKET_BYTES, SHARE_MEMBERS, BUCKET_MEMBERS = 2 << 20, 8_192, 4_096
 
 
 def bands(percent: int, largest: int) -> np.ndarray:
@@ -115,7 +117,7 @@ def shingle_info(docs: DataFrame, width: int) -> DataFrame:
             digest = [(int(np.add.reduce(mix(h ^ U64(1)))) << 64 | int(np.bitwise_xor.reduce(mix(h)))).to_bytes(16, "little") if len(h) else b"" for h in sets]
             yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n_shingles": [len(h) for h in sets], "digest": digest, "sketch": [sketch(h) for h in sets]})
 
-    return docs.mapInPandas(run, "doc_id bigint, n_shingles bigint, digest binary, sketch binary")
+    return map_slices(docs, run, "doc_id bigint, n_shingles bigint, digest binary, sketch binary")
 
 
 def key_groups(docs: DataFrame, width: int, percent: int, largest: int, buckets: int) -> DataFrame:
@@ -191,8 +193,8 @@ def key_groups(docs: DataFrame, width: int, percent: int, largest: int, buckets:
         out["members"] = pd.Series([None if isinstance(m, float) else m for m in out["members"]], dtype=object)
         return out.astype({"lead": "Int64", "member": "Int64", "n": "Int64", "grp": "Int64"})[names]
 
-    dealt = docs.where("doc_id is not null").mapInPandas(keys, "bucket int, keys binary, place binary, docs binary")
-    return dealt.groupBy("bucket").applyInPandas(groups, "lead bigint, member bigint, n bigint, grp bigint, members array<bigint>")
+    dealt = map_slices(docs.where("doc_id is not null"), keys, "bucket int, keys binary, place binary, docs binary")
+    return dealt.groupBy("bucket").applyInPandas(freed(groups), "lead bigint, member bigint, n bigint, grp bigint, members array<bigint>")
 
 
 def _close(percent: int):
@@ -208,17 +210,9 @@ def _close(percent: int):
     return close
 
 
-def _linked(percent: int):
-    @F.pandas_udf("boolean")
-    def linked(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(x, y):
-            a, b = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            out.append(100 * both >= percent * (len(a) + len(b) - both))
-        return pd.Series(out)
-
-    return linked
+def _linked(a: Column, b: Column, percent: int) -> Column:
+    both = F.size(F.array_intersect(a, b))
+    return 100 * both >= percent * (F.size(a) + F.size(b) - both)
 
 
 def _two(a: Column, b: Column) -> list[Column]:
@@ -233,8 +227,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     node. An empty table gives an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
+    tables = Tables(spark)
+    stored = tables.stored
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    buckets = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
     info = stored(shingle_info(rows, width), "shingle-info")
     known = info.where("doc_id is not null and n_shingles > 0")
     largest = known.agg(F.max("n_shingles")).first()[0] or 1
@@ -242,7 +237,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = stored(known.select("doc_id", "digest").join(classes, "digest").where("doc_id <> rep").select("doc_id", "rep").distinct(), "shingle-copies")
     of = lambda df, c: df.join(copies.select(F.col("doc_id").alias(c), F.col("rep").alias("__rep")), c, "left").withColumn(c, F.coalesce("__rep", c)).drop("__rep")
 
-    found = stored(key_groups(rows, width, percent, largest, buckets), "shingle-groups")
+    found = stored(key_groups(rows, width, percent, largest, partitions_for(docs, BUCKET_BYTES)), "shingle-groups")
     ties = found.where("member is not null").groupBy("lead", "member").agg(F.sum("n").alias("n"))
     ties = of(of(ties, "lead"), "member").where("lead <> member").select(*_two(F.col("lead"), F.col("member")), "n")
     about = known.select("doc_id", F.col("n_shingles").alias("size"), "sketch").dropDuplicates(["doc_id"])
@@ -261,30 +256,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sets, wanted = sets.unionByName(stored(_set_table(rows, missing, width), "shingle-sets")), wanted.unionByName(missing)
     tried = tried.unionByName(stored(_verified(more, sets, percent), "shingle-tried"))
     links = tried.where("linked").select("a", "b")
-    parts = stored(connected_components(links, cut=lambda df: stored(df, "shingle-star")), "shingle-parts")
+    parts = stored(_components(links, tables), "shingle-parts")
 
     whole = lambda df, c: df.join(parts.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}")), c, "left").withColumn(f"part_{c}", F.coalesce(f"part_{c}", c))
     apart = whole(whole(ties.unionByName(pivots).select("a", "b"), "a"), "b").where("part_a <> part_b").select("a", "b")
-    again = apart.unionByName(_across(found, of, whole, about, percent, buckets)).distinct()
+    again = apart.unionByName(_across(found, of, whole, about, percent, stored)).distinct()
     again = stored(again.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "shingle-again")
     if not again.isEmpty():
         missing = stored(again.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(wanted, "doc_id", "left_anti"), "shingle-missing")
         if not missing.isEmpty():
             sets = sets.unionByName(_set_table(rows, missing, width))
         more = stored(_verified(again, sets, percent).where("linked").select("a", "b"), "shingle-more")
-        links = links.unionByName(more)
-        parts = stored(connected_components(links, cut=lambda df: stored(df, "shingle-star")), "shingle-parts")
+        parts = stored(_components(links.unionByName(more), tables), "shingle-parts")
+    tables.drop(keep=(info, copies, parts))
     out = of(info.select("doc_id", "n_shingles").withColumn("rep", F.col("doc_id")), "rep")
     out = out.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 
+def _components(links: DataFrame, tables: Tables) -> DataFrame:
+    return connected_components(links, cut=lambda df: tables.stored(df, "shingle-star"))
+
+
 def _set_table(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     def run(frames):
         for ids, sets in _sets(frames, width):
-            yield pd.DataFrame({"doc_id": ids, "hashes": [h.tobytes() for h in sets]})
+            yield pd.DataFrame({"doc_id": ids, "hashes": [h.view(np.int64) for h in sets]})
 
-    return rows.join(wanted, "doc_id", "left_semi").mapInPandas(run, "doc_id bigint, hashes binary")
+    return map_slices(rows.join(wanted, "doc_id", "left_semi"), run, "doc_id bigint, hashes array<bigint>")
 
 
 def _best(ties: DataFrame) -> DataFrame:
@@ -306,14 +305,14 @@ def _pivot_ties(found: DataFrame, of) -> DataFrame:
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     one = sets.dropDuplicates(["doc_id"])
     side = lambda c: one.select(F.col("doc_id").alias(c), F.col("hashes").alias(f"hashes_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", _linked(percent)("hashes_a", "hashes_b").alias("linked"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", _linked(F.col("hashes_a"), F.col("hashes_b"), percent).alias("linked"))
 
 
-def _across(found: DataFrame, of, whole, about: DataFrame, percent: int, buckets: int) -> DataFrame:
+def _across(found: DataFrame, of, whole, about: DataFrame, percent: int, stored) -> DataFrame:
     """Pairs of one key whose documents are in different components and whose sketches allow a link.
 
-    A key's members are dealt into numbered blocks and every two blocks meet once. Keys with one smallest document, no more
-    than it has keys, meet in one bucket, which gets each sketch once.
+    A key's members are dealt into numbered blocks and every two blocks meet once. Keys with one smallest document meet in
+    one bucket, which gets each sketch once, or in as many as their members fill.
     """
     members = of(found.where("grp is not null").select("grp", "lead", F.explode("members").alias("doc")), "doc").distinct()
     members = whole(members, "doc")
@@ -322,7 +321,14 @@ def _across(found: DataFrame, of, whole, about: DataFrame, percent: int, buckets
     n_blocks = F.ceil(F.col("n") / BLOCK_MEMBERS)
     open_ = open_.withColumn("own", F.pmod(F.xxhash64("doc"), n_blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), n_blocks - 1)))
     open_ = open_.select("grp", "lead", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", F.col("doc").alias("doc_id"), F.col("part_doc").alias("part"))
-    open_ = stored(open_.withColumn("bucket", F.pmod(F.xxhash64("lead", "x", "y"), F.lit(buckets))), "shingle-open")
+    open_ = stored(open_, "shingle-open")
+    total = open_.count()
+    load = open_.groupBy("lead").agg(F.ceil(F.count("*") / SHARE_MEMBERS).alias("shares")).where("shares > 1")
+    if total // SHARE_MEMBERS < 1_000_000:  # no more leads than that have so many members
+        load = F.broadcast(load)
+    open_ = open_.join(load, "lead", "left").withColumn("share", F.pmod(F.xxhash64("grp", "x", "y"), F.coalesce("shares", F.lit(1).cast("bigint"))))
+    buckets = max(1, total // BUCKET_MEMBERS)
+    open_ = stored(open_.withColumn("bucket", F.pmod(F.xxhash64("lead", "share"), F.lit(buckets))).drop("shares", "share"), "shingle-dealt")
     sketches = open_.select(F.col("bucket").alias("b"), F.col("doc_id").alias("d")).distinct()
     sketches = sketches.join(about.select(F.col("doc_id").alias("d"), "size", "sketch"), "d").withColumnRenamed("d", "doc_id")
 
