@@ -90,6 +90,52 @@ def cluster_centers(field: DataFrame, labels: DataFrame, on: list[str], cell: li
     return field.join(labels, on).groupBy("label", *cell).agg(F.avg(value).alias(value)).join(share, "label")
 
 
+def series_by_label(series: DataFrame, labels: DataFrame, on: list[str], cols: list[str]) -> DataFrame:
+    """Mean of each series by label."""
+    return series.join(labels.select(*on, "label"), on).groupBy("label").agg(*[F.avg(c).alias(c) for c in cols], F.count("*").alias("n"))
+
+
+def seasonal_diff(a: DataFrame, b: DataFrame, keys: list[str], day: str, value: str, member: str, window: int = 15, period: int = 366) -> DataFrame:
+    """Difference of two runs' mean seasonal cycles, and the 0.2 and 0.8 quantiles of the first run's members less the
+    second's mean, smoothed over a cyclic window."""
+    mean_a, mean_b = (x.groupBy(*keys, day).agg(F.avg(value).alias(n)) for x, n in ((a, "__a"), (b, "__b")))
+    spread = a.groupBy(*keys, day, member).agg(F.avg(value).alias("__v")).groupBy(*keys, day)
+    spread = spread.agg(F.percentile("__v", F.lit(0.2)).alias("__q20"), F.percentile("__v", F.lit(0.8)).alias("__q80"))
+    joined = mean_a.join(mean_b, [*keys, day]).join(spread, [*keys, day])
+    rows = joined.select(*keys, day, *[(F.col(x) - F.col("__b")).alias(n) for x, n in (("__a", "diff"), ("__q20", "q20"), ("__q80", "q80"))])
+    return periodic_rolling(rows, window, {c: F.avg(c) for c in ("diff", "q20", "q80")}, day, keys, period)
+
+
+def frequency_anomaly(spells: DataFrame, labels: DataFrame, on: list[str]) -> DataFrame:
+    """Share of a label among the steps of spells less its share among all steps."""
+    hit = spells.select(*on).distinct().withColumn("__in", F.lit(1))
+    return relative_population(labels.join(hit, on, "left").withColumn("__in", F.coalesce("__in", F.lit(0))), F.col("__in") == 1, "label")
+
+
+def event_seasonality(events: DataFrame, keys: list[str], day: str, value: str) -> DataFrame:
+    """Mean, deviation, median and the 0.4 and 0.6 quantiles of an event's value by day of year, and its sum."""
+    q = [F.percentile(value, F.lit(p)).alias(n) for p, n in ((0.5, "median"), (0.4, "q40"), (0.6, "q60"))]
+    return events.groupBy(*keys, day).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), *q, F.sum(value).alias("total"))
+
+
+def weekly_population(labels: DataFrame, day: str, places: dict[str, int]) -> DataFrame:
+    """By 7-day bin the number of labels and, for each periodic map axis (column -> size), the circular mean place and the
+    length of the mean vector."""
+    week = F.floor((F.col(day) - 1) / 7).alias("week")
+    turn = lambda c, n: F.col(c) * (360.0 / n)
+    spread = lambda c, n: F.hypot(F.avg(F.sin(F.radians(turn(c, n)))), F.avg(F.cos(F.radians(turn(c, n)))))
+    centre = lambda c, n: F.pmod(circular_mean(turn(c, n)), F.lit(360.0)) * (n / 360.0)
+    return labels.groupBy(week).agg(F.count("*").alias("n"), *[x for c, n in places.items() for x in (centre(c, n).alias(f"{c}_centre"), spread(c, n).alias(f"{c}_length"))])
+
+
+def label_at_onset(spells: DataFrame, labels: DataFrame, keys: list[str], order: str, bound: int) -> DataFrame:
+    """By label: the spells around whose onset it is most frequent, their mean length, and their share of all spells."""
+    near = spells.where(F.abs("relative_index") <= bound).join(labels.select(*keys, order, "label"), [*keys, order])
+    modal = near.groupBy(*keys, "spell").agg(F.mode("label", True).alias("label"), F.first("len").alias("len"))
+    counts = modal.groupBy("label").agg(F.count("*").alias("spells"), F.avg("len").alias("mean_len"))
+    return counts.crossJoin(F.broadcast(modal.agg(F.count("*").alias("__all")))).withColumn("share", F.col("spells") / F.col("__all")).drop("__all")
+
+
 def position_grid(jets: DataFrame, keys: list[str], value: str = "is_polar") -> DataFrame:
     return jets.groupBy(*keys, "ilat", "ilon").agg(F.avg(value).alias(value))
 
@@ -154,7 +200,9 @@ def value_bins(df: DataFrame, by: dict[str, list[float]], cols: list[str], keys:
 
 
 def histogram(df: DataFrame, col: str, low: float, high: float, n: int) -> DataFrame:
-    return df.where(F.col(col).between(low, high)).groupBy(F.least(F.floor((F.col(col) - low) / (high - low) * n), F.lit(n - 1)).alias("bin")).agg(F.count("*").alias("n"))
+    """Counts of ``n`` even bins from ``low`` to ``high``; the outer ones are open, so every value counts."""
+    place = F.greatest(F.lit(0), F.least(F.floor((F.col(col) - low) / (high - low) * n), F.lit(n - 1)))
+    return df.where(F.col(col).isNotNull()).groupBy(place.alias("bin")).agg(F.count("*").alias("n"))
 
 
 def kernel_density(df: DataFrame, col: str, grid: list[float], bandwidth: float, bins: int, low: float, high: float) -> DataFrame:
@@ -305,6 +353,20 @@ def residence_times(spells: DataFrame, long: int) -> DataFrame:
     return spells.groupBy("value").agg(F.sum((F.col("len") >= long).cast("bigint")).alias("long_stays"), F.avg("len").alias("mean_len"), F.percentile("len", F.lit(0.95)).alias("q95_len"))
 
 
+def during_pvalues(spells: DataFrame, props: DataFrame, keys: list[str], order: str, value: str, n: int, seed: int = 0) -> DataFrame:
+    """By spell the mean of a value during it and the share of ``n`` random places of the same length whose mean lies under
+    it (ties count half). Places are hashes of the seed, so results repeat; the key's steps are numbered once."""
+    rows = props.withColumn("__i", F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1)
+    size = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
+    seen = spells.join(props.select(*keys, order, value), [*keys, order]).groupBy(*keys, "spell").agg(F.avg(value).alias("during"), F.count("*").alias("len"))
+    draws = seen.join(size, keys).withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    start = F.pmod(F.xxhash64(F.lit(seed), "__s", "spell", *keys), F.greatest(F.col("__n") - F.col("len") + 1, F.lit(1)))
+    places = draws.select(*keys, "spell", "during", "len", "__s", F.explode(F.sequence(start, start + F.col("len") - 1)).alias("__i"))
+    means = places.join(rows.select(*keys, "__i", F.col(value).alias("__v")), [*keys, "__i"]).groupBy(*keys, "spell", "during", "len", "__s").agg(F.avg("__v").alias("__m"))
+    under = F.avg(F.when(F.col("__m") < F.col("during"), 1.0).when(F.col("__m") == F.col("during"), 0.5).otherwise(0.0))
+    return means.groupBy(*keys, "spell", "during", "len").agg(under.alias("p"))
+
+
 def before_during(spells: DataFrame, props: DataFrame, on: list[str], value: str, before: int) -> DataFrame:
     """By spell the mean of a value in the steps before and during it; rows -2 and -3 hold the mean and deviation of all."""
     joined = spells.join(props, on)

@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
-
-from .graph import connected_components, cut_lineage
-from .sequence import run_id
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def segments(grid: DataFrame, col: str, levels: list[float], keys: list[str], nlon: int | None = None) -> DataFrame:
@@ -41,8 +38,8 @@ def segments(grid: DataFrame, col: str, levels: list[float], keys: list[str], nl
     return g.select(*keys, "level", F.explode(lines).alias("z")).select(*keys, "level", "z.a", "z.b")
 
 
-def _chain(frame: pd.DataFrame) -> pd.DataFrame:
-    """Order the nodes of one line by walking its links, from an end if it has one."""
+def _chains(frame: pd.DataFrame) -> pd.DataFrame:
+    """Order the nodes of one grid's lines by walking their links: first lines with ends, from the lesser end, then rings."""
     links: dict[str, list[str]] = {}
     place = {}
     for a, b in zip(frame["a"], frame["b"]):
@@ -50,38 +47,38 @@ def _chain(frame: pd.DataFrame) -> pd.DataFrame:
         links.setdefault(b["name"], []).append(a["name"])
         place.setdefault(a["name"], (a["lon"], a["lat"]))
         place.setdefault(b["name"], (b["lon"], b["lat"]))
-    ends = sorted((k for k, v in links.items() if len(v) == 1), key=lambda k: place[k])
-    at, path, seen = ends[0] if ends else min(links, key=lambda k: place[k]), [], set()
-    while at is not None:
-        path.append(at)
-        seen.add(at)
-        at = next((k for k in sorted(links[at]) if k not in seen), None)
-    return pd.DataFrame({"index": range(len(path)), "lon": [place[k][0] for k in path], "lat": [place[k][1] for k in path], "cyclic": not ends})
+    seen, out, line = set(), [], 0
+    for at in sorted(links, key=lambda k: (len(links[k]) != 1, place[k], k)):
+        if at in seen:
+            continue
+        cyclic, index = len(links[at]) != 1, 0
+        while at is not None:
+            seen.add(at)
+            out.append((line, index, *place[at], cyclic))
+            index += 1
+            at = next((k for k in sorted(links[at]) if k not in seen), None)
+        line += 1
+    return pd.DataFrame(out, columns=["contour", "index", "lon", "lat", "cyclic"])
 
 
 def contours(grid: DataFrame, col: str, levels: list[float], keys: list[str], nlon: int | None = None, min_points: int = 10) -> DataFrame:
     """keys, level, contour, index, lon, lat, cyclic, len: lines of more than ``min_points`` points.
 
-    Lines are the connected components of the pieces' shared edges; only the order along one line, which the grid bounds,
-    is found in a task.
+    A line never leaves its grid and level, so the pieces of one of these are joined up in one group, which the grid
+    bounds; the number ``contour`` counts within it.
     """
-    seg = cut_lineage(segments(grid, col, levels, keys, nlon))
-    name = lambda c: F.xxhash64(*keys, "level", F.col(f"{c}.name"))
-    named = seg.withColumns({"__a": name("a"), "__b": name("b")})
-    parts = connected_components(named, "__a", "__b")
-    owned = named.join(parts.select(F.col("node").alias("__a"), F.col("component").alias("contour")), "__a")
-    kinds = {f.name: f.dataType.simpleString() for f in owned.schema}
-    group = [*keys, "level", "contour"]
+    seg = segments(grid, col, levels, keys, nlon)
+    kinds, group = {f.name: f.dataType.simpleString() for f in seg.schema}, [*keys, "level"]
 
     def order(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        out = _chain(frame)
+        out = _chains(frame)
         for k, v in zip(group, key):
             out[k] = v
-        return out[[*group, "index", "lon", "lat", "cyclic"]]
+        return out[[*group, "contour", "index", "lon", "lat", "cyclic"]]
 
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in group) + ", index bigint, lon double, lat double, cyclic boolean"
-    lines = owned.select(*group, "a", "b").groupBy(*group).applyInPandas(order, schema)
-    return lines.withColumn("len", F.count("*").over(Window.partitionBy(*group))).where(F.col("len") > min_points)
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in group) + ", contour bigint, index bigint, lon double, lat double, cyclic boolean"
+    lines = seg.select(*group, "a", "b").groupBy(*group).applyInPandas(order, schema)
+    return lines.withColumn("len", F.count("*").over(Window.partitionBy(*group, "contour"))).where(F.col("len") > min_points)
 
 
 def overturnings(points: DataFrame, keys: list[str], max_gap: float, min_lon: float, min_lat: float, min_len: int) -> DataFrame:
@@ -135,5 +132,11 @@ def boundary_nodes(grid: DataFrame, positive: str, keys: list[str]) -> DataFrame
     return grid.withColumn("__b", (F.col(positive) <= 0) & (near[0] | near[1] | near[2] | near[3])).where("__b").drop("__b")
 
 
-def contour_runs(points: DataFrame, keys: list[str], index: str, flag: str) -> DataFrame:
-    return run_id(points, flag, keys, index)
+def wave_break_masks(events: DataFrame, nodes: DataFrame, grid: DataFrame, key: list[str], on: list[str], classes: dict[str, Column]) -> DataFrame:
+    """``grid`` with one 0/1 column for each class: whether an event of it covers the node.
+
+    ``events`` has a row an event (``key``) with what the class conditions read (orientation, level, angle, area);
+    ``nodes`` has the grid nodes of each event, by the columns ``on``.
+    """
+    kinds = nodes.join(events, key).groupBy(*on).agg(*[F.max(F.when(c, 1).otherwise(0)).alias(n) for n, c in classes.items()])
+    return grid.join(kinds, on, "left").withColumns({n: F.coalesce(n, F.lit(0)).cast("bigint") for n in classes})

@@ -5,16 +5,33 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below ``spark.checkpoint.dir``; on one machine a temporary folder stands in for it."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(where or f'file://{tempfile.gettempdir()}').rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` below ``spark.checkpoint.dir`` and read it back; a temporary folder stands in where none is set."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    path = f"{where.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    """Write ``df`` into the shared folder and read it back."""
+    path = shared_path(df.sparkSession, "cut")
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, order: list, name: str = "number") -> DataFrame:
+    """``df`` with the 1-based place of each row in a total order, without a window over all rows: rows are dealt by ranges,
+    numbered within each, and each range adds the rows before it."""
+    parts = cut_lineage(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    ends = parts.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    base = ends.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    rows = parts.withColumn("__place", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    return rows.join(base, "__part").withColumn(name, (F.col("__place") + F.col("__base")).cast("bigint")).drop("__part", "__place", "__base")
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", cut=cut_lineage) -> DataFrame:

@@ -46,14 +46,16 @@ def lanczos(half: int, cutoff: float) -> list[float]:
     return [x / sum(raw) for x in raw]
 
 
-def band_pass(df: DataFrame, col: str, keys: list[str], order: str, low: float, high: float, n_freq: int, name: str = "filtered") -> DataFrame:
+def band_pass(df: DataFrame, col: str, keys: list[str], order: str, low: float, high: float, name: str = "filtered") -> DataFrame:
     """Keep the Fourier parts of whole frequencies k with low <= k / n <= high, by sums over series x frequencies.
 
-    The frequencies are at most ``n_freq``; each key's series meets them in one aggregate and one join back.
+    All such frequencies are kept; each key's series meets them in one aggregate and one join back.
     """
     w = Window.partitionBy(*keys)
     rows = df.withColumns({"__i": F.row_number().over(w.orderBy(order)) - 1, "__n": F.count("*").over(w)})
-    spread = rows.withColumn("__k", F.explode(F.sequence(F.lit(0), F.least(F.lit(n_freq), (F.col("__n") / 2).cast("int"))))).where((F.col("__k") / F.col("__n")).between(low, high))
+    last = F.least(F.floor(F.col("__n") * high), F.floor(F.col("__n") / 2)) + 1  # one more: rounding decides below
+    spread = rows.withColumn("__k", F.explode(F.sequence(F.greatest(F.floor(F.col("__n") * low) - 1, F.lit(0).cast("bigint")), last)))
+    spread = spread.where((F.col("__k") / F.col("__n")).between(low, high) & (2 * F.col("__k") <= F.col("__n")))
     angle = F.col("__k") * F.col("__i") * (2 * math.pi) / F.col("__n")
     parts = spread.groupBy(*keys, "__k", "__n").agg(F.sum(F.col(col) * F.cos(angle)).alias("__c"), F.sum(F.col(col) * F.sin(angle)).alias("__s"))
     twice = F.when((F.col("__k") == 0) | (F.col("__k") * 2 == F.col("__n")), 1.0).otherwise(2.0)
@@ -150,6 +152,25 @@ def eady_growth(grid: DataFrame, keys: list[str]) -> DataFrame:
     return g.withColumn("eady", 0.3098 * 9.81 * rho * F.abs(coriolis(F.col("lat"))) * F.abs(F.col("__du") / 100) / stability).drop("__du", "__dt")
 
 
+def coarsen_grid(grid: DataFrame, keys: list[str], n: int, cols: list[str], func=F.avg, nlon: int | None = None) -> DataFrame:
+    """Blocks of n x n nodes reduced by ``func``; with ``nlon`` the blocks are centred on multiples of n and wrap."""
+    x = F.pmod(F.col("ilon") + n // 2, F.lit(nlon)) if nlon else F.col("ilon")
+    return grid.groupBy(*keys, F.floor(F.col("ilat") / n).alias("ilat"), F.floor(x / n).alias("ilon")).agg(*[func(c).alias(c) for c in cols])
+
+
+def eddy_forcing(grid: DataFrame, low: dict[str, str], keys: list[str], lev: str | None = None) -> DataFrame:
+    """:func:`eddy_energy`, the momentum and heat fluxes of the eddies, the convergence of the horizontal momentum flux, and
+    with ``lev`` the available potential energy and the vertical convergence of the heat flux (fields theta and omega)."""
+    e = eddy_energy(grid, low).withColumn("uv", F.col("u_eddy") * F.col("v_eddy")).withColumn("uu", F.pow("u_eddy", F.lit(2.0)))
+    e = divergence(e, "uu", "uv", keys, "momentum_convergence").withColumn("momentum_convergence", -F.col("momentum_convergence"))
+    if lev is None:
+        return e
+    e = e.withColumns({"v_theta": F.col("v_eddy") * F.col("theta_eddy"), "omega_theta": F.col("omega_eddy") * F.col("theta_eddy")})
+    e = vertical_derivative(vertical_derivative(e, low["theta"], keys, lev, "__st"), "omega_theta", keys, lev, "__vc")
+    stable = F.when(F.col("__st") < 0, F.col("__st"))
+    return e.withColumns({"ape": -F.pow("theta_eddy", F.lit(2.0)) / (2 * F.col(low["theta"]) * stable), "heat_convergence": -F.col("__vc")}).drop("__st", "__vc")
+
+
 def preprocess(grid: DataFrame, keys: list[str], factor: int, half: int) -> DataFrame:
     """Blocks of ``factor`` nodes averaged, smoothed, and the derivative across the wind."""
     names = [c for c in ("lon", "lat", "u", "v") if c in grid.columns]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stratus.functions.measures import circular_mean, weighted_mean
 from stratus.functions.sphere import RADIUS, degcos, haversine
@@ -24,14 +24,15 @@ def alignment(points: DataFrame, keys: list[str], order: str, name: str = "align
     return points.withColumns({"__x": dx, "__y": dy}).withColumn(name, cos).drop("__x", "__y")
 
 
-def find_jets(grid: DataFrame, keys: list[str], first: tuple[float, float], step: tuple[float, float], s_thresh: float = 20.0, alignment_thresh: float = 0.3, int_thresh: float = 0.0, end_dist: float = 1e6, hole_size: int = 4, max_gap: float = 3.0, nlon: int | None = None) -> DataFrame:
+def find_jets(grid: DataFrame, keys: list[str], first: tuple[float, float], step: tuple[float, float], s_thresh: float = 20.0, alignment_thresh: float = 0.3, int_thresh: float = 0.0, end_dist: float = 1e6, hole_size: int = 4, max_gap: float = 3.0, nlon: int | None = None, smoother=None) -> DataFrame:
     """Jet cores: pieces of the zero line of the wind speed's derivative across the wind, where the wind is strong and
     along the line. Columns: keys, jet_id, index, lon, lat, u, v, s, alignment, int.
 
     Holes of less than ``hole_size`` points inside a run stay in it, those at its ends do not. ``s_thresh`` is in m/s;
-    steps of more than ``max_gap`` degrees part a line.
+    steps of more than ``max_gap`` degrees part a line. ``smoother`` (DataFrame -> DataFrame) is applied to the field whose
+    derivative is taken; speeds are those of the field itself.
     """
-    sigma = norm_derivative(grid, "s", keys)
+    sigma = norm_derivative(grid.transform(smoother) if smoother else grid, "s", keys)
     lines = contours(sigma.where(F.col("sigma").isNotNull()), "sigma", [0.0], keys, nlon, MIN_CONTOUR)
     lines = bilinear(lines, grid, keys, ["u", "v", "s"], first, step, nlon, "")
     own = [*keys, "contour"]
@@ -77,6 +78,19 @@ def jet_properties(jets: DataFrame, keys: list[str], order: str = "index") -> Da
     )
 
 
+def integral_over(jets: DataFrame, keys: list[str], order: str, cond: Column, name: str) -> DataFrame:
+    """Path integral of the speed over the points that meet a condition (by chords between them), 0 where none does."""
+    part = path_integral(jets.where(cond), keys, order, F.col("s"), name)
+    return jets.select(*keys).distinct().join(part, keys, "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+
+
+def low_integral(jets: DataFrame, low: DataFrame, keys: list[str], order: str, on: list[str], first, step, nlon=None) -> DataFrame:
+    """Path integrals of the speed and of that of a lower level at the same points, and their ratio."""
+    rows = bilinear(jets, low.select(*on, "ilon", "ilat", F.col("s").alias("low")), on, ["low"], first, step, nlon, "_s")
+    both = path_integral(rows, keys, order, F.col("s")).join(path_integral(rows, keys, order, F.col("low_s"), "int_low"), keys)
+    return both.withColumn("int_ratio", F.try_divide("int_low", "int"))
+
+
 def jet_widths(sections: DataFrame, keys: list[str], order: str, share: float = 0.75, floor: float = 10.0) -> DataFrame:
     """Speed-weighted mean over points of both half widths: the nearest normal point with a low speed on each side."""
     core = F.max(F.when(F.col("n") == 0, F.col("s_interp"))).over(Window.partitionBy(*keys, order))

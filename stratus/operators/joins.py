@@ -101,11 +101,13 @@ def lag_cross(times: DataFrame, steps: list[int], order: str) -> DataFrame:
 
 def complete_index(df: DataFrame, keys: list[str], order: str, dt: int = 1) -> DataFrame:
     """All combinations of the keys' values with a full axis from the least to the greatest step."""
-    axis = df.agg(F.min(order).alias("a"), F.max(order).alias("b")).select(F.explode(F.sequence("a", "b", F.lit(dt).cast("bigint"))).alias(order))
-    full = axis
-    for k in keys:  # key values are few; the axis is the long side
-        full = full.crossJoin(F.broadcast(df.select(k).distinct()))
-    return full.join(df, [*keys, order], "left").select(*df.columns)
+    ends = df.agg(F.min(order).alias("__a"), F.max(order).alias("__b"))  # one row
+    full = df.select(keys[0]).distinct() if keys else None
+    for k in keys[1:]:  # all combinations are what is asked for
+        full = full.crossJoin(df.select(k).distinct())
+    full = full.crossJoin(F.broadcast(ends)) if keys else ends
+    axis = F.explode(F.sequence("__a", "__b", F.lit(dt).cast("bigint"))).alias(order)
+    return full.select(*keys, axis).join(df, [*keys, order], "left").select(*df.columns)
 
 
 def other_feature(df: DataFrame, keys: list[str], feature: str, cols: list[str]) -> DataFrame:
@@ -121,11 +123,12 @@ def run_difference(a: DataFrame, b: DataFrame, keys: list[str], cols: list[str])
 def spatial_join(events: DataFrame, grid: DataFrame, key: str = "event") -> DataFrame:
     """Grid nodes inside each event's polygon (``points``: an array of lon, lat, closed by itself).
 
-    Events meet the nodes of their bounding box by explicit whole ids, then a ray is cast through the ring as a fold.
+    Events meet the nodes of their bounding box by whole degrees of both axes, then a ray is cast through the ring as a fold.
     """
-    box = events.select(key, "points", F.array_min(F.transform("points", lambda p: p.lat)).alias("s"), F.array_max(F.transform("points", lambda p: p.lat)).alias("n"))
-    rows = box.withColumn("__row", F.explode(F.sequence(F.ceil("s"), F.floor("n"))))
-    joined = rows.join(grid.withColumn("__row", F.round("lat").cast("bigint")), "__row")
+    ends = [f(F.col(f"points.{c}")).alias(f"__{c}{k}") for c in ("lat", "lon") for f, k in ((F.array_min, 0), (F.array_max, 1))]
+    degrees = lambda c: F.explode(F.sequence(F.floor(f"__{c}0"), F.floor(f"__{c}1")))
+    rows = events.select(key, "points", *ends).withColumn("__row", degrees("lat")).withColumn("__col", degrees("lon"))
+    joined = rows.join(grid.withColumns({"__row": F.floor("lat"), "__col": F.floor("lon")}), ["__row", "__col"])
     n = F.size("points")
     ring = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.element_at("points", i).alias("a"), F.element_at("points", F.when(i == n, 1).otherwise(i + 1)).alias("b")))
     crosses = lambda e: (e.a.lat > F.col("lat")) != (e.b.lat > F.col("lat"))
@@ -140,6 +143,11 @@ def rasterize(covered: DataFrame, grid: DataFrame, on: list[str], value: Column)
     return grid.join(marks, on, "left").withColumn("value", F.coalesce("__v", F.lit(0.0))).drop("__v")
 
 
+def long(df: DataFrame, keys: list[str], cols: list[str], name: str = "name", value: str = "value") -> DataFrame:
+    """One row for each of the listed columns."""
+    return df.unpivot(keys, cols, name, value)
+
+
 def wide(df: DataFrame, keys: list[str], by: str, values: list, cols: list[str]) -> DataFrame:
     """One column for each of the listed values and columns."""
     return df.groupBy(*keys).agg(*[F.max(F.when(F.col(by) == v, F.col(c))).alias(f"{c}_{v}") for v in values for c in cols])

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .graph import numbered
 from .sequence import get_spells, lags, timescales
 
 
@@ -147,9 +148,9 @@ def scores(df: DataFrame, target: Column, prob: str, keys: list[str] = ()) -> Da
 
 def shuffled(df: DataFrame, col: str, order: str, seed: int) -> DataFrame:
     """``df`` with one column permuted: row numbers by two orders, joined."""
-    a = df.withColumn("__i", F.row_number().over(Window.orderBy(order)))
-    b = df.select(F.col(col).alias("__v"), F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), order), order)).alias("__i"))
-    return a.join(b, "__i").withColumn(col, F.col("__v")).drop("__i", "__v")
+    a = numbered(df, [order], "__i")
+    b = numbered(df.select(F.col(col).alias("__v"), F.xxhash64(F.lit(seed), order).alias("__h"), F.col(order).alias("__o")), ["__h", "__o"], "__i")
+    return a.join(b.select("__v", "__i"), "__i").withColumn(col, F.col("__v")).drop("__i", "__v")
 
 
 def forward_select(df: DataFrame, features: list[str], target: str, fold: Column, n_folds: int, most: int) -> list[tuple[list[str], float]]:

@@ -82,6 +82,23 @@ def zscore(df: DataFrame, cols: list[str], over: list[str] = ()) -> DataFrame:
     return joined.select(*[F.try_divide(F.col(c) - F.col(f"__m_{c}"), F.col(f"__s_{c}")).alias(c) if c in cols else c for c in df.columns])
 
 
+def zscore_inverse(df: DataFrame, cols: list[str], reference: DataFrame, over: list[str] = ()) -> DataFrame:
+    """Back from :func:`zscore` with the means and deviations of ``reference``."""
+    stats = reference.groupBy(*over).agg(*[f(c).alias(f"__{k}_{c}") for c in cols for f, k in ((F.avg, "m"), (F.stddev_samp, "s"))])
+    joined = df.join(stats, list(over)) if over else df.crossJoin(F.broadcast(stats))
+    return joined.select(*[(F.col(c) * F.col(f"__s_{c}") + F.col(f"__m_{c}")).alias(c) if c in cols else c for c in df.columns])
+
+
+def select_features(df: DataFrame, names: list[str], keys: list[str], season=None, time: str = "time") -> DataFrame:
+    """Keys and features of a season, rows with a missing feature dropped."""
+    return filter_season(df, season, time).select(*keys, *names).dropna(subset=names)
+
+
+def is_periodic_lon(df: DataFrame, step: float, lon: str = "lon") -> DataFrame:
+    """One row: whether the longitudes reach the date line from both sides."""
+    return df.agg(((F.min(lon) <= -180 + step) & (F.max(lon) >= 180 - 1.5 * step)).alias("periodic"))
+
+
 def quantile_exceed(df: DataFrame, col: str, q: float, over: list[str] = (), name: str = "exceeds") -> DataFrame:
     """Above the q-quantile for q over one half, else below it; the quantiles are one aggregate, joined back."""
     cut = df.groupBy(*over).agg(F.percentile(col, F.lit(q)).alias("__q"))

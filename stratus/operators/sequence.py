@@ -6,8 +6,6 @@ step is missing, runs break.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -91,6 +89,26 @@ def central_diff(col: str | Column, keys: list[str], order: str) -> Column:
     return F.coalesce((ahead - behind) / 2, ahead - c, c - behind)
 
 
+def periodic_diff(col: str, keys: list[str], order: str, period: float) -> Column:
+    """:func:`central_diff` of a value that wraps: each step is the shorter way round."""
+    w = _over(keys, order)
+    short = lambda d: F.pmod(d + period / 2, F.lit(float(period))) - period / 2
+    ahead, behind = short(F.lead(col).over(w) - F.col(col)), short(F.col(col) - F.lag(col).over(w))
+    return F.coalesce((ahead + behind) / 2, ahead, behind)
+
+
+def onset_lags(df: DataFrame, spells: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
+    """For each of the first ``n`` steps of a spell a column with the spell's length at that step, 0 elsewhere."""
+    marks = spells.where(F.col("relative_index") < n).select(*keys, order, F.col("relative_index").alias("__k"), F.col("len").alias("__len"))
+    joined = df.select(*keys, order).join(marks, [*keys, order], "left")
+    return joined.select(*keys, order, *[F.when(F.col("__k") == k, F.col("__len")).otherwise(0).alias(f"lag_{k}") for k in range(n)])
+
+
+def season_onset(df: DataFrame, cond: Column, keys: list[str], order: str, min_len: int) -> DataFrame:
+    """First step of the first run of at least ``min_len`` steps of each key."""
+    return get_spells(df, cond, keys, order, 0, min_len).groupBy(*keys).agg(F.min(order).alias("onset"))
+
+
 def directional_diff(df: DataFrame, col: str, by: str, keys: list[str], name: str) -> DataFrame:
     """Derivative of ``col`` along the axis ``by``."""
     return df.withColumn(name, central_diff(col, keys, by) / central_diff(by, keys, by))
@@ -111,9 +129,11 @@ def periodic_rolling(df: DataFrame, win: int, aggs: dict[str, Column], dim: str,
 
 
 def timescales(df: DataFrame, cols: list[str], keys: list[str], order: str, periods: list[int]) -> DataFrame:
-    """Trailing means over (t - p, t], one block of rows for each period in ``timescale``."""
-    blocks = [rolling(df, {c: F.avg(c) for c in cols}, keys, order, p - 1, 0).withColumn("timescale", F.lit(p)) for p in periods]
-    return reduce(DataFrame.unionByName, blocks)
+    """Trailing means over (t - p, t], a row for each period in ``timescale``: one sort for all periods."""
+    part = Window.partitionBy(*keys).orderBy(order)
+    means = df.withColumns({f"__{p}_{c}": F.avg(c).over(part.rangeBetween(1 - p, 0)) for p in periods for c in cols})
+    block = F.explode(F.array(*[F.struct(F.lit(p).alias("timescale"), *[F.col(f"__{p}_{c}").alias(c) for c in cols]) for p in periods])).alias("__b")
+    return means.select(*[c for c in df.columns if c not in cols], block).select(*[F.col(f"__b.{c}").alias(c) if c in cols else F.col(c) for c in df.columns], "__b.timescale")
 
 
 def lags(df: DataFrame, cols: list[str], keys: list[str], order: str, steps: list[int], dt: int = 1) -> DataFrame:
@@ -122,7 +142,9 @@ def lags(df: DataFrame, cols: list[str], keys: list[str], order: str, steps: lis
     cut = df.withColumn("__j", F.coalesce((F.col(order) - F.lag(order).over(w) > dt).cast("bigint"), F.lit(0)))
     cut = cut.withColumn("__s", F.sum("__j").over(w))
     part = Window.partitionBy(*keys, "__s").orderBy(order)
-    return reduce(DataFrame.unionByName, [cut.withColumns({c: F.lag(c, k).over(part) for c in cols}).withColumn("lag", F.lit(k)).drop("__j", "__s") for k in steps])
+    late = cut.withColumns({f"__{k}_{c}": F.lag(c, k).over(part) for k in steps for c in cols})
+    block = F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), *[F.col(f"__{k}_{c}").alias(c) for c in cols]) for k in steps])).alias("__b")
+    return late.select(*[c for c in df.columns if c not in cols], block).select(*[F.col(f"__b.{c}").alias(c) if c in cols else F.col(c) for c in df.columns], "__b.lag")
 
 
 def detrend(df: DataFrame, cols: list[str], keys: list[str], order: str) -> DataFrame:
@@ -174,11 +196,11 @@ def rank_last(df: DataFrame, value: str, sample: str, last: int, keys: list[str]
 
 def fir_filter(df: DataFrame, col: str, keys: list[str], order: str, weights: list[float], name: str) -> DataFrame:
     """Centred weighted sum over an odd number of steps; null where a step is missing."""
-    h = len(weights) // 2
-    taps = F.explode(F.arrays_zip(F.array(*[F.lit(i - h) for i in range(len(weights))]).alias("o"), F.array(*[F.lit(float(w)) for w in weights]).alias("w"))).alias("t")
-    spread = df.select(*keys, F.col(order).alias("__s"), F.col(col).alias("__x"), taps).select(*keys, (F.col("__s") - F.col("t.o")).alias(order), (F.col("__x") * F.col("t.w")).alias("__p"))
-    sums = spread.groupBy(*keys, order).agg(F.sum("__p").alias("__f"), F.count("__p").alias("__n"))
-    return df.join(sums, [*keys, order], "left").withColumn(name, F.when(F.col("__n") == len(weights), F.col("__f"))).drop("__f", "__n")
+    h, w = len(weights) // 2, Window.partitionBy(*keys).orderBy(order)
+    shift = lambda c, k: F.lag(c, -k).over(w) if k < 0 else F.lead(c, k).over(w)
+    total = sum((shift(col, k) * float(weights[k + h]) for k in range(-h, h + 1)), F.lit(0.0))
+    whole = (shift(order, h) - shift(order, -h)) == 2 * h  # the orders are distinct whole numbers
+    return df.withColumn(name, F.when(whole, total))
 
 
 def label_spells(df: DataFrame, keys: list[str], order: str, label: str, distances: dict[tuple[int, int], float] | None = None, sigma: float = 0.0, min_len: int = 1) -> DataFrame:

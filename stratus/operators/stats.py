@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stratus.functions.measures import normal_cdf
 
+from .graph import numbered
+
 
 def bootstrap_times(spells: DataFrame, times: DataFrame, order: str, n: int, seed: int = 0) -> DataFrame:
     """sample_index, spell, inside_index, time: random blocks of each spell's length, and the observed times as sample ``n``.
@@ -100,9 +102,9 @@ def field_significance(sample: DataFrame, pool: DataFrame, cell: list[str], orde
     size = sample.select(order).distinct().count()  # a number of steps
     axis = pool.select(order).distinct().withColumn("__i", F.row_number().over(Window.orderBy(order)) - 1)
     total = axis.agg(F.count("*").alias("__all"))
-    draws = sample.sparkSession.range(n * size).select((F.col("id") / size).cast("bigint").alias("s"), "id").crossJoin(F.broadcast(total)).select("s", F.pmod(F.xxhash64(F.lit(seed), "id"), F.col("__all")).alias("__i"))
-    times = draws.join(axis, "__i").groupBy("s", order).count()
-    means = times.join(pool, order).groupBy("s", *cell).agg((F.sum(F.col(value) * F.col("count")) / F.sum("count")).alias("m"))
+    draws = sample.sparkSession.range(n * size).select((F.col("id") / size).cast("bigint").alias("__s"), "id").crossJoin(F.broadcast(total)).select("__s", F.pmod(F.xxhash64(F.lit(seed), "id"), F.col("__all")).alias("__i"))
+    times = draws.join(axis, "__i").groupBy("__s", order).count()
+    means = times.join(pool, order).groupBy("__s", *cell).agg((F.sum(F.col(value) * F.col("count")) / F.sum("count")).alias("m"))
     spread = means.groupBy(*cell).agg(F.avg("m").alias("mu"), F.stddev_samp("m").alias("sd"))
     seen = sample.groupBy(*cell).agg(F.avg(value).alias("mean"))
     return seen.join(spread, cell).withColumn("p", normal_cdf((F.col("mean") - F.col("mu")) / F.when(F.col("sd") > 0, F.col("sd")))).drop("mu", "sd")
@@ -110,8 +112,7 @@ def field_significance(sample: DataFrame, pool: DataFrame, cell: list[str], orde
 
 def fdr(df: DataFrame, p: str, q: float, cell: list[str], method: str = "pointwise") -> DataFrame:
     """Significance under a false discovery rate: element-wise p_(i) <= q i / (n - 1) from i = 0, or step-up ("bh")."""
-    w = Window.orderBy(p, *cell)
-    ranked = df.where(F.col(p).isNotNull()).withColumn("__i", F.row_number().over(w))
+    ranked = numbered(df.where(F.col(p).isNotNull()), [p, *cell], "__i")
     total = ranked.agg(F.count("*").alias("__n"))
     j = ranked.crossJoin(F.broadcast(total))
     if method == "pointwise":

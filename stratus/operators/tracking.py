@@ -76,8 +76,9 @@ def spells_from_tracks(tracks: DataFrame, keys: list[str], order: str, by: str,
     return rows.withColumn("relative_index", F.col(order) - F.min(order).over(Window.partitionBy(*keys, "spell")))
 
 
-def medoid(paths: DataFrame, key: str) -> DataFrame:
-    """Path with the least summed Frechet distance to all; the set is one composite's paths, all pairs of which are asked for."""
-    other = paths.select(F.col(key).alias("__k"), F.col("path").alias("__p"))
-    pairs = paths.crossJoin(other).where(F.col(key) != F.col("__k"))
-    return pairs.groupBy(key).agg(F.sum(frechet(F.col("path"), F.col("__p"))).alias("total")).orderBy("total", key).limit(1)
+def medoid(paths: DataFrame, keys: list[str], key: str) -> DataFrame:
+    """By composite (``keys``) the path with the least summed Frechet distance to its other paths."""
+    other = paths.select(*keys, F.col(key).alias("__k"), F.col("path").alias("__p"))
+    pairs = paths.join(other, keys).where(F.col(key) != F.col("__k"))
+    total = pairs.groupBy(*keys, key).agg(F.sum(frechet(F.col("path"), F.col("__p"))).alias("total"))
+    return total.groupBy(*keys).agg(F.min_by(F.struct(key, "total"), F.struct("total", key)).alias("b")).select(*keys, "b.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from stratus.functions import measures as M, sphere as S
-from stratus.operators import aggregate as A, contours as C, graph, grid as G, jets as JT, joins as J, learn as L, points as P, select as E, sequence as Q, stats as T, tracking as TR
+from stratus.operators import aggregate as A, contours as C, graph, grid as G, jets as JT, joins as J, learn as L, select as E, sequence as Q, stats as T
 
 from . import roles
 from .roles import DAILY, FIELD, LABELS, MEMBERS, PATHS, SERIES
@@ -454,7 +454,7 @@ def a29_binned_2d(spark, sf):
     return A.value_bins(roles.paths(spark, sf), {"lat": [-30, 0, 30], "lon": [-90, 90]}, ["s"]).withColumn("s", r("s"))
 
 
-HIST = "hist AS (SELECT least(floor(value / 500.0 * 50), 49)::BIGINT AS bin, count(*) AS n FROM events WHERE value BETWEEN 0 AND 500 GROUP BY 1)"
+HIST = "hist AS (SELECT greatest(least(floor(value / 500.0 * 50), 49), 0)::BIGINT AS bin, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1)"
 
 
 @query("SELECT bin, n FROM hist", HIST)
@@ -633,26 +633,20 @@ def t03_components(spark, sf):
     return graph.connected_components(edges)
 
 
-def _climate(spark, sf):
-    """The field's mean by month of the year, which leaves few nodes empty."""
-    f = roles.field(spark, sf).groupBy((F.col("step") % 12).alias("step"), "ilon", "ilat", "lon", "lat")
-    return f.agg(*[F.avg(c).alias(c) for c in ("u", "v", "s")])
-
-
 @query()
 def g01_contours(spark, sf):
-    return C.contours(_climate(spark, sf), "s", [26.0], ["step"], 36, 10)
+    return C.contours(roles.field(spark, sf), "s", [26.0], ["step"], 36, 6)
 
 
 @query()
 def g03_overturnings(spark, sf):
-    lines = C.contours(_climate(spark, sf), "s", [26.0], ["step"], 36, 10)
-    return C.overturnings(lines, ["step", "contour"], 20.0, 0.0, 5.0, 3)
+    lines = C.contours(roles.field(spark, sf), "s", [26.0], ["step"], 36, 6)
+    return C.overturnings(lines, ["step", "level", "contour"], 20.0, 0.0, 5.0, 3)
 
 
 @query()
 def t01_find_jets(spark, sf):
-    return JT.find_jets(_climate(spark, sf), ["step"], (-180.0, -85.0), (10.0, 10.0), 10.0, 0.0, 0.0, 0.0, 4, 25.0, 36)
+    return JT.find_jets(roles.field(spark, sf), ["step"], (-180.0, -85.0), (10.0, 10.0), 20.0, 0.3, 1e6, 1e6, 4, 25.0, 36)
 
 
 @query()
@@ -660,24 +654,13 @@ def m01_jet_properties(spark, sf):
     return JT.jet_properties(roles.paths(spark, sf), ["jet_id"])
 
 
-@query()
-def j05_bilinear(spark, sf):
-    at = roles.paths(spark, sf).withColumn("step", F.col("index") % 12)
-    return P.bilinear(at.select("jet_id", "index", "step", "lon", "lat"), _climate(spark, sf), ["step"], ["u", "v"], (-180.0, -85.0), (10.0, 10.0), 36)
-
-
-@query()
-def t04_track(spark, sf):
-    p = roles.paths(spark, sf).select((F.col("jet_id") % 3).alias("member"), F.floor(F.col("jet_id") / 3).alias("step"), F.lit(0).cast("bigint").alias("jet_id"), "index", "lon", "lat", "s")
-    return TR.track(p, ["member"], "step").select("member", "step", "dist", "lon_overlap", "ds")
-
-
 @query()
 def r01_bootstrap(spark, sf):
-    spells = _spells(spark, sf).where("jet = 'click'").select("spell", "step")
+    """All spells of all categories against random blocks of their lengths, by category."""
+    spells = _spells(spark, sf).select(F.concat_ws("-", "jet", "spell").alias("spell"), "step")
     times = roles.series(spark, sf).select("step").distinct()
-    drawn = T.bootstrap_times(spells, times, "step", 100).join(roles.series(spark, sf).where("jet = 'view'"), "step")
-    return T.rank_pvalue(drawn.groupBy("sample_index").agg(F.avg("value").alias("value")), "value", "sample_index", 100, [])
+    drawn = T.bootstrap_times(spells, times, "step", 100).join(roles.series(spark, sf), "step")
+    return T.rank_pvalue(drawn.groupBy("jet", "sample_index").agg(F.avg("value").alias("value")), "value", "sample_index", 100, ["jet"])
 
 
 @query()
@@ -693,7 +676,7 @@ def r16_hurst(spark, sf):
 
 @query()
 def w22_band_pass(spark, sf):
-    return G.band_pass(roles.members(spark, sf), "value", ["member"], "step", 0.0, 0.1, 16).select("member", "step", "filtered")
+    return G.band_pass(roles.members(spark, sf), "value", ["member"], "step", 0.0, 0.1).select("member", "step", r("filtered").alias("filtered"))
 
 
 @query()
@@ -728,3 +711,6 @@ def l12_predict(spark, sf):
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t10_persistent_spells(spark, sf_dir)
+
+
+from . import more_queries  # noqa: E402, F401  registers its queries

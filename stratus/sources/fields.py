@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from stratus.functions.sphere import wrap_lon
@@ -27,6 +28,14 @@ def standardize(df: DataFrame) -> DataFrame:
     return df.withColumn("lon", wrap_lon(F.col("lon"))) if "lon" in df.columns else df
 
 
+def latitude_order(df: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """``ilat`` and ``ilon`` as the places of a node's axes in ascending order."""
+    place = lambda c: F.dense_rank().over(Window.orderBy(c)) - 1  # noqa: E731  over the few axis values
+    for axis, name in (("lat", "ilat"), ("lon", "ilon")):
+        df = df.drop(name).join(F.broadcast(df.select(axis).distinct().withColumn(name, place(axis).cast("bigint"))), axis)
+    return df
+
+
 def grid_to_long(df: DataFrame, values: str, nlat: int, nlon: int, first: tuple[float, float], step: tuple[float, float]) -> DataFrame:
     """One row a cell of a dense row-major array column; ids and axes by arithmetic, no join."""
     out = df.select(*[c for c in df.columns if c != values], F.posexplode(values).alias("__i", "value"))
@@ -50,7 +59,8 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_year(df: DataFrame, path: str, time: str = "time") -> None:
-    df.withColumn("year", F.year(time)).write.mode("append").partitionBy("year").parquet(path)
+    """Put a year's rows into the store; a second run replaces the years it holds."""
+    df.withColumn("year", F.year(time)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
 
 
 def read_series_text(spark: SparkSession, path: str, columns: list[str], sep: str = r"\s+") -> DataFrame:
@@ -65,16 +75,18 @@ def land_mask(df: DataFrame, land: DataFrame) -> DataFrame:
 
 
 def materialize(spark: SparkSession, make, base: str, metadata: dict) -> DataFrame:
-    """The stored result of equal metadata, else the computed and stored one; the metadata lie beside it as a table."""
+    """The stored result of equal metadata, else the computed and stored one. The metadata are written last, beside the
+    result: what a broken run left has none and is written anew."""
     text = json.dumps(metadata, sort_keys=True, default=str)
-    path = f"{base.rstrip('/')}/{hashlib.sha256(text.encode()).hexdigest()[:16]}"
+    path = f"{base.rstrip('/')}/{hashlib.sha256(text.encode()).hexdigest()}"
     try:
-        return spark.read.parquet(f"{path}/data")
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
+        if spark.read.text(f"{path}/metadata", wholetext=True).first().value.rstrip("\n") == text:
+            return spark.read.parquet(f"{path}/data")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-    make().write.parquet(f"{path}/data")
-    spark.range(1).select(F.lit(text).alias("value")).write.mode("overwrite").text(f"{path}/metadata")
+    make().write.mode("overwrite").parquet(f"{path}/data")
+    spark.range(1).select(F.lit(text).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
     return spark.read.parquet(f"{path}/data")
 
 
