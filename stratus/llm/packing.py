@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import stored
+from .shared import map_slices, stored
 
 BUCKETS, DIMS, BITS, SEED = 4096, 4, 15, 20240101
 
@@ -85,11 +85,12 @@ def pieces(first: int, n: int, cuts: list[int], length: int) -> Iterator[tuple[i
         at += size
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> DataFrame:
     """One row per piece: id, start, length, ids (binary), width, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its ids and the end id, so null and empty texts have one id. Documents of one key are ordered by id,
-    then by the place of their row in the input. Repeated rows are packed each; an empty table gives no pieces.
+    then by the place of their row in the input. Repeated rows are packed each; an empty table gives no pieces. A special
+    token's string in a text gives that token, as in the library, or with ``special_as_text`` ordinary ids.
     """
     spark = docs.sparkSession
 
@@ -98,17 +99,15 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, i
 
         directions = _directions()
         for frame in frames:
-            encoder = word_encoder(tokenizer)
+            encoder = word_encoder(tokenizer, special_as_text)
             width = encoder.dtype.itemsize
             end = np.array([end_id], encoder.dtype).tobytes()
-            for i in range(0, len(frame), 512):
-                part = frame.iloc[i : i + 512]
-                ids = [x + end for x in encoder.encode(part["text"].tolist())]
-                at = [project(np.frombuffer(x, encoder.dtype)[:-1], directions).tolist() for x in ids]
-                yield pd.DataFrame({"id": part["id"], "row": part["row"], "n": [len(x) // width for x in ids], "at": at, "ids": ids, "width": np.int32(width)})
+            ids = [x + end for x in encoder.encode(frame["text"].tolist())]
+            at = [project(np.frombuffer(x, encoder.dtype)[:-1], directions) for x in ids]
+            yield pd.DataFrame({"id": frame["id"], "row": frame["row"], "n": [len(x) // width for x in ids], "at": at, "ids": ids, "width": np.int32(width)})
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    table = stored(rows.mapInPandas(tokens, "id bigint, row bigint, n bigint, at array<float>, ids binary, width int"), "pack-ids")
+    table = stored(map_slices(rows, tokens, "id bigint, row bigint, n bigint, at array<float>, ids binary, width int", 1024), "pack-ids")
 
     spread = table.agg(*[f(F.col("at")[d]).alias(f"{k}{d}") for d in range(DIMS) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     middle = [spread[f"m{d}"] or 0.0 for d in range(DIMS)]
@@ -134,8 +133,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, i
     sums = sorted((r.part, r.n) for r in placed.groupBy("part").agg(F.sum("n").alias("n")).collect())  # one row a partition
     bases = dict(zip([p for p, _ in sums], accumulate([0, *(n for _, n in sums)])))
     cuts = tail_cuts(sum(n for _, n in sums), length)
-    base = F.create_map(*[F.lit(x) for p, b in bases.items() for x in (p, b)])[F.col("part")] if bases else F.lit(0)
-    placed = placed.select("row", (F.col("first") + base.cast("bigint")).alias("first"))
+    base = spark.createDataFrame([*bases.items()], "part int, base bigint")
+    placed = placed.join(base, "part").select("row", (F.col("first") + F.col("base")).alias("first"))
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -144,11 +143,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, i
                 for s, k, seq, off in pieces(int(first), int(n), cuts, length):
                     piece = ids[s * w : (s + k) * w]
                     out.append((doc, s, k, piece, w, zlib.crc32(np.frombuffer(piece, f"<u{w}").astype("<u4")), n, seq, off))
-            done = pd.DataFrame(out, columns=["id", "start", "length", "ids", "width", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-            yield done.astype({"id": "Int64"})
+            yield pd.DataFrame(out, columns=["id", "start", "length", "ids", "width", "ids_crc32", "doc_tokens", "sequence_id", "offset"]).astype({"id": "Int64"})
 
     whole = table.select("id", "row", "n", "ids", "width").join(placed.hint("merge"), "row")  # places grow with the corpus
-    packed = whole.mapInPandas(cut, "id bigint, start bigint, length bigint, ids binary, width int, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
+    packed = map_slices(whole, cut, "id bigint, start bigint, length bigint, ids binary, width int, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
     return packed.withColumnRenamed("id", id_col)
 
 

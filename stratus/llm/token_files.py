@@ -1,6 +1,6 @@
 """Token ids in flat binary files with 64-bit document offsets.
 
-Documents are range-partitioned and sorted by id. Every task writes three files: ``.ids`` (unsigned integers, 16 or 32
+Documents are encoded where they lie; their ids are range-partitioned and sorted by document id. Every task writes three files: ``.ids`` (unsigned integers, 16 or 32
 bits wide by the size of the vocabulary), ``.off`` (int64 offsets of the documents, one more than there are documents)
 and ``.doc`` (int64 document ids). A table of the finished files, one row a partition, gives the partitions' bases as
 prefix sums; files of lost or repeated attempts are in no table and are never read.
@@ -16,60 +16,57 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import file_system, fresh_path, stored
+from .shared import file_system, fresh_path, map_slices, stored
 
 NO_ID = np.iinfo(np.int64).min
 
 
-def _lists(frames: Iterator[pd.DataFrame], step_chars: int = 4 << 20) -> Iterator[tuple[list, list[str]]]:
-    for frame in frames:
-        ids, texts = [None if pd.isna(x) else int(x) for x in frame["id"]], frame["text"].tolist()
-        start, held = 0, 0
-        for i, t in enumerate(texts):
-            held += len(t)
-            if held >= step_chars or i + 1 == len(texts):
-                yield ids[start : i + 1], texts[start : i + 1]
-                start, held = i + 1, 0
-
-
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, where: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, where: str, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> DataFrame:
     """Write the files below ``where``; one row per file: part, path, width, n_docs, n_tokens.
 
-    Null texts are empty (their only id is the end id); rows with a null id come first; of rows with one id the order
-    is that of their texts. An empty table gives no files.
+    Null texts are empty (their only id is the end id); rows with a null id come first; rows of one id are in the order of
+    their ids' bytes. A special token's string in a text gives that token, as in the library, or with ``special_as_text``
+    ordinary ids. An empty table gives no files.
     """
 
+    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from .word_encoder import word_encoder
+
+        for frame in frames:
+            encoder = word_encoder(tokenizer, special_as_text)
+            end = np.array([end_id], encoder.dtype).tobytes()
+            yield pd.DataFrame({"id": frame["id"], "ids": [x + end for x in encoder.encode(frame["text"].tolist())], "width": np.int32(encoder.dtype.itemsize)})
+
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import uuid
 
         from pyspark import TaskContext
 
-        from .word_encoder import word_encoder
-
-        part, out, encoder = TaskContext.get().partitionId(), None, None
-        offsets, doc_ids = [0], []
-        for ids, texts in _lists(frames):
+        out, offsets, doc_ids = None, [0], []
+        for frame in frames:
+            width = int(frame["width"].iloc[0])
             if out is None:
-                encoder = word_encoder(tokenizer)
-                end = np.array([end_id], encoder.dtype).tobytes()
+                part = TaskContext.get().partitionId()
                 path = f"{where}/part-{part:06d}-{uuid.uuid4().hex}"
                 fs, local = file_system(path)
                 fs.create_dir(local.rpartition("/")[0], recursive=True)
                 out = fs.open_output_stream(local + ".ids")
-            for x in encoder.encode(texts):
-                out.write(x + end)
-                offsets.append(offsets[-1] + len(x) // encoder.dtype.itemsize + 1)
-            doc_ids += [NO_ID if x is None else x for x in ids]
+            for x in frame["ids"]:
+                out.write(x)
+                offsets.append(offsets[-1] + len(x) // width)
+            doc_ids += [NO_ID if pd.isna(x) else int(x) for x in frame["id"]]
         if out is not None:
             out.close()
             for name, values in ((".off", offsets), (".doc", doc_ids)):
                 with fs.open_output_stream(local + name) as f:
                     f.write(np.array(values, "<i8").tobytes())
-            yield pd.DataFrame({"part": [part], "path": [path], "width": [encoder.dtype.itemsize], "n_docs": [len(doc_ids)], "n_tokens": [offsets[-1]]})
+            yield pd.DataFrame({"part": [part], "path": [path], "width": [width], "n_docs": [len(doc_ids)], "n_tokens": [offsets[-1]]})
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
-    return stored(rows.mapInPandas(write, "part int, path string, width int, n_docs bigint, n_tokens bigint"), "token-files")
+    # stored: the range bounds are a job of their own, which would encode once more
+    encoded = stored(map_slices(rows, encode, "id bigint, ids binary, width int", 1024), "encoded")
+    ordered = encoded.repartitionByRange("id").sortWithinPartitions("id", "ids")
+    return stored(map_slices(ordered, write, "part int, path string, width int, n_docs bigint, n_tokens bigint", 2048), "token-files")
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
@@ -109,7 +106,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
                     i = j
 
     listed = spark.createDataFrame([(r.path, r.width, b) for r, b in zip(rows, bases)], "path string, width int, base bigint").repartition(max(1, len(rows)))
-    return listed.mapInPandas(read, "id bigint, start bigint, n_tokens bigint, ids binary, ids_crc32 bigint, width int")
+    return map_slices(listed, read, "id bigint, start bigint, n_tokens bigint, ids binary, ids_crc32 bigint, width int")
 
 
 def token_file_documents(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:

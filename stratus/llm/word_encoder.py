@@ -1,7 +1,8 @@
 """Whole-text encoding with the tokenizers library, one call per distinct word of a task.
 
 A text is cut only where the tokenizer's own pre-tokenizer always cuts, so the ids of the parts, joined, are the ids
-of the whole. A text that offers no such certainty goes to the library whole.
+of the whole. A text that offers no such certainty goes to the library whole, as does one that holds a special token's
+string, unless these are to count as ordinary text.
 """
 
 from __future__ import annotations
@@ -17,18 +18,42 @@ PUNCTUATION = "!#$%&()*+,-./:;<=>?@[]^`{|}~\"\\"
 TAIL = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-^`{-~]+)")
 SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 ODD_SPACE = re.compile("[\x1c-\x1f]")
+OTHER_SPACE = re.compile(r"[^\S \n]")
+#: Characters of texts that are looked up together, and words that are learned in one line.
+TOGETHER, LINE = 1 << 22, 128
+
+
+class Memo(dict):
+    """The ids of words in use: what was not asked for since the last turn is forgotten at the next."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.old = limit, {}
+
+    def __missing__(self, word: str) -> bytes | None:
+        ids = self[word] = self.old[word]
+        return ids
+
+    def turn(self) -> None:
+        if 2 * len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
 
 
 class WordEncoder:
-    """ids of whole texts as little-endian bytes of ``dtype``; holds at most ``memo_limit`` words."""
+    """ids of whole texts as little-endian bytes of ``dtype``; holds about ``memo_limit`` words, those in use.
+
+    As in the library, a special token's string in a text gives that token, or with ``special_as_text`` ordinary ids.
+    """
 
-    def __init__(self, path: str, memo_limit: int = 400_000):
+    def __init__(self, path: str, special_as_text: bool = False, memo_limit: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = special_as_text
         spec = json.loads(self.tok.to_str())
+        self.special = () if special_as_text else tuple(x["content"] for x in spec.get("added_tokens") or ())
         size = self.tok.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
@@ -37,8 +62,10 @@ class WordEncoder:
         self.kind = "spaced" if spaced else "ended" if ended else ""
         names = [self.tok.id_to_token(i) or "" for i in range(size)]
         self.edge = np.array([x.startswith("Ġ") if spaced else x.endswith(spec["model"].get("end_of_word_suffix") or "\0") for x in names])
-        self.memo: dict[str, bytes | None] = {}
-        self.limit = memo_limit
+        self.line = np.zeros(size, bool)
+        if len(ids := self.tok.encode("\n", add_special_tokens=False).ids) == 1:
+            self.line[ids] = True
+        self.memo = Memo(memo_limit)
 
     def _bytes(self, ids) -> bytes:
         return np.array(ids, self.dtype).tobytes()
@@ -47,72 +74,105 @@ class WordEncoder:
         return [self._bytes(e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def _learn_plain(self, cores: list[str]) -> None:
-        """Letters only, after a space: a line of them holds one edge id a word."""
+        """Letters only: a line of them holds one id that ends a word for each."""
         size = self.dtype.itemsize
-        for i in range(0, len(cores), 8192):
-            blocks = [cores[j : j + 64] for j in range(i, min(i + 8192, len(cores)), 64)]
-            for block, e in zip(blocks, self.tok.encode_batch_fast([" " + " ".join(b) for b in blocks], add_special_tokens=False)):
+        for i in range(0, len(cores), 64 * LINE):
+            blocks = [cores[j : j + LINE] for j in range(i, min(i + 64 * LINE, len(cores)), LINE)]
+            for block, e in zip(blocks, self.tok.encode_batch_fast([" ".join(b) for b in blocks], add_special_tokens=False)):
                 ids = np.array(e.ids, self.dtype)
-                at = np.flatnonzero(self.edge[ids]) + (self.kind == "ended")
-                if len(at) != len(block):
-                    self.memo.update(zip(block, self._whole([" " + c for c in block])))
+                stops = (np.flatnonzero(self.edge[ids]) + 1) * size
+                if len(stops) != len(block):
+                    self.memo.update(zip(block, self._whole(block)))
                     continue
-                cuts = [*(at * size).tolist(), len(ids) * size] if self.kind == "spaced" else [0, *(at * size).tolist()]
                 raw = ids.tobytes()
-                self.memo.update(zip(block, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
+                self.memo.update(zip(block, [raw[a:b] for a, b in zip([0, *stops.tolist()], stops.tolist())]))
 
-    def _learn(self, words: list[str]) -> None:
-        memo, rest, lower = self.memo, [], []
-        ended = self.kind == "ended"
+    def _learn_lines(self, words: list[str], between: str, first: str, ends: np.ndarray) -> None:
+        """Words without white space, joined to lines whose ids ``ends`` parts."""
+        size = self.dtype.itemsize
+        for i in range(0, len(words), 64 * LINE):
+            blocks = [words[j : j + LINE] for j in range(i, min(i + 64 * LINE, len(words)), LINE)]
+            lines = [first + between.join([w.removeprefix("\0") for w in b]) for b in blocks]
+            for block, e in zip(blocks, self.tok.encode_batch_fast(lines, add_special_tokens=False)):
+                ids = np.array(e.ids, self.dtype)
+                at, skip = np.flatnonzero(ends[ids]), 0 if first else 1
+                starts, stops = (at, np.append(at[1:], len(ids))) if first else (np.append(0, at + 1), np.append(at, len(ids)))
+                if len(starts) != len(block) or skip and (stops <= starts).any():
+                    self.memo.update(zip(block, self._whole([first + w.removeprefix("\0") for w in block])))
+                    continue
+                raw = ids.tobytes()
+                self.memo.update(zip(block, [raw[a:b] for a, b in zip((starts * size).tolist(), (stops * size).tolist())]))
+
+    def _learn(self, words: list[str], other_space: bool) -> None:
+        """Words between spaces; a first ``\\0`` marks the start of a text or line. ``other_space``: one may hold some."""
+        if self.kind == "ended":
+            return self._learn_ended(words)
+        rest, words = [w for w in words if w in ("", "\0", "\n")], [w for w in words if w not in ("", "\0", "\n")]
+        if other_space:
+            rest += [w for w in words if OTHER_SPACE.search(w)]
+            words = list({*words}.difference(rest))
+        begin = [w for w in words if w[0] == "\0"]
+        after = list({*words}.difference(begin)) if begin else words
+        unsure = [w for w in rest if w in ("", "\0") or w != "\n" and (w[-1].isspace() or w[w[0] == "\0"].isspace())]
+        self.memo.update(dict.fromkeys(unsure))
+        rest = list({*rest}.difference(unsure))
+        self._learn_lines(after, " ", " ", self.edge)
+        self._learn_lines(begin, "\n", "", self.line)
+        self.memo.update(zip(rest, self._whole([w[1:] if w[0] == "\0" else w if w == "\n" else " " + w for w in rest])))
+        return None
+
+    def _learn_ended(self, words: list[str]) -> None:
+        memo, rest = self.memo, []
         plain = [w for w in words if w.isalpha()]
         others = set(words).difference(plain)
-        if ended:
-            lower = [(w, w.lower(), "") for w in plain if w.isascii() and not w.islower()]
-            plain = list({*plain}.difference(w for w, _, _ in lower))
+        lower = [(w, w.lower(), "") for w in plain if w.isascii() and not w.islower()]
+        plain = list({*plain}.difference(w for w, _, _ in lower))
         tailed = [(w, c, w[-1]) for w in others if (c := w[:-1]).isalpha() and w[-1] in PUNCTUATION and "İ" not in c]
         for w in others.difference([w for w, _, _ in tailed]):
-            if w in ("", "\0") or w != "\n" and (w[-1].isspace() or w[w[0] == "\0"].isspace()):
-                memo[w] = None
-            elif (m := TAIL.fullmatch(w)) and m[1].isalpha() and "İ" not in w:
+            if (m := TAIL.fullmatch(w)) and m[1].isalpha() and "İ" not in w:
                 tailed.append((w, m[1], m[2]))
             else:
                 rest.append(w)
-        if ended:
-            tailed = [(w, c.lower() if c.isascii() else c, t) for w, c, t in tailed] + lower
+        tailed = [(w, c.lower() if c.isascii() else c, t) for w, c, t in tailed] + lower
         self._learn_plain(list({*plain, *(c for _, c, _ in tailed if c not in memo)}))
         tails = list({t for _, _, t in tailed} - {""})
         of = dict(zip(tails, self._whole(tails))) | {"": b""}
         memo.update([(w, memo[c] + of[t]) for w, c, t in tailed])
-        say = (lambda w: w[1:] if w[0] == "\0" else w if w == "\n" else " " + w) if not ended else str
-        memo.update(zip(rest, self._whole([say(w) for w in rest])))
-
-    def _words(self, t: str) -> list[str]:
+        memo.update(zip(rest, self._whole(rest)))
+
+    def _words(self, t: str) -> list[str] | None:
+        """The words of a text; None if it is to go to the library whole."""
+        if not t:
+            return []
+        if not self.kind or "\0" in t:
+            return None
         if self.kind == "ended":
-            return (t.lower() if t.isascii() else t).split()
-        words = t.replace("\n", " \n \0").split(" ")
-        words[0] = "\0" + words[0]
-        return words
+            low = t.lower() if t.isascii() else t
+            return None if ODD_SPACE.search(t) or any(x in low for x in self.special) else low.split()
+        return None if any(x in t for x in self.special) else ("\0" + t.replace("\n", " \n \0")).split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; an empty text has none."""
-        easy = [bool(self.kind) and "\0" not in t and not (self.kind == "ended" and ODD_SPACE.search(t)) for t in texts]
-        words = [self._words(t) if ok and t else [] for t, ok in zip(texts, easy)]
-        if new := set().union(*words) - self.memo.keys():
-            if len(self.memo) + len(new) > self.limit:
-                self.memo.clear()
-                new = set().union(*words)
-            self._learn(list(new))
-        out: list[bytes | None] = []
-        hard = []
-        for i, (w, ok) in enumerate(zip(words, easy)):
+        out: list[bytes] = []
+        start = held = 0
+        for i, t in enumerate(texts):
+            held += len(t)
+            if held >= TOGETHER or i + 1 == len(texts):
+                out += self._encode(texts[start : i + 1])
+                start, held = i + 1, 0
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        words = [self._words(t) for t in texts]
+        self.memo.turn()
+        if new := set().union(*filter(None, words)) - self.memo.keys() - self.memo.old.keys():
+            self._learn(list(new), self.kind == "spaced" and any(map(OTHER_SPACE.search, texts)))
+        out = []
+        for t, w in zip(texts, words):
             try:
-                out.append(b"".join(map(self.memo.__getitem__, w)) if ok else None)
+                out.append(self._hard(t, False) if w is None else b"".join(map(self.memo.__getitem__, w)))
             except TypeError:
-                out.append(None)
-            if out[-1] is None:
-                hard.append(i)
-        for i in hard:
-            out[i] = self._hard(texts[i], easy[i])
+                out.append(self._hard(t, True))
         return out
 
     def _hard(self, t: str, ok: bool) -> bytes:
@@ -123,6 +183,6 @@ class WordEncoder:
 
 
 @lru_cache(1)
-def word_encoder(path: str) -> WordEncoder:
+def word_encoder(path: str, special_as_text: bool = False) -> WordEncoder:
     """The encoder of a Python worker; later tasks of the worker know the words of earlier ones."""
-    return WordEncoder(path)
+    return WordEncoder(path, special_as_text)

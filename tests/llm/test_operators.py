@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratus.llm import chroma, exact_dedup, induced_sort, jaccard, packing, piece_codec, quality, queries, shingles, suffix_dedup, token_files, url_filter, warc
+from stratus.llm import chroma, exact_dedup, induced_sort, jaccard, packing, piece_codec, quality, queries, shingles, suffix_dedup, token_files, url_filter, warc, word_encoder
 
 SF = "/root/testdata/sf0.001"
 WORDS = ["alpha", "Beta", "gamma", "delta", "épsilon", "zeta", "eta", "theta", "iota", "kappa", "lambda", "mu"]
@@ -54,6 +54,8 @@ def test_exact_groups(spark):
         assert (r.keep_id, r.group_size, r.kept) == (keep, len(members), r.doc_id == keep)
     assert exact_dedup.exact_groups(corpus(spark, EMPTY)).count() == 0
     kept = exact_dedup.drop_exact_copies(corpus(spark, texts, range(len(texts))))
+    odd = spark.createDataFrame([(1, "a", "p", 1.0), (2, "a", "q", 2.0), (2, "a", "r", 3.0)], "doc_id bigint, text string, __id string, row double")
+    assert [(r.doc_id, r.text) for r in exact_dedup.drop_exact_copies(odd).collect()] == [(2, "a")]
     assert kept.count() == len(groups) and kept.columns == [c.split()[0] for c in SCHEMA.split(", ")]
 
 
@@ -109,7 +111,7 @@ def test_slices_of_a_key_meet(spark, monkeypatch):
     found = jaccard.key_groups(rows, 5, 75, 100, 8).cache()
     ties = {(r.lead, r.member) for r in found.where("member is not null").collect()}
     apart = lambda df, c: df.withColumn(f"part_{c}", F.col(c))
-    tried = {(r.a, r.b) for r in jaccard._across(found, lambda df, c: df, apart, about, 75, 8).collect()}
+    tried = {(r.a, r.b) for r in jaccard._across(found, lambda df, c: df, apart, about, 75, lambda df, _: df).collect()}
     assert len(links - ties) > 100 and links <= tried | ties
     want = brute_components(list(enumerate(texts)))
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(corpus(spark, texts)).collect()} == want
@@ -260,9 +262,26 @@ def test_queue_spills(tmp_path):
 def tokenizer(name):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(queries.tokenizer_file(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(queries.tokenizer_file(name))
+
+
+def test_special_tokens_in_texts():
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        tok = tokenizer(name)
+        texts = ["a <|endoftext|> b", "x<|endoftext|>", "É <|ENDOFTEXT|> ok", "<|ENDOFTEXT|>", "<|startoftext|>", "<|endoftext|", "plain words, here", "", " "]
+        for as_text in (False, True):
+            tok.encode_special_tokens = as_text
+            encoder = word_encoder.WordEncoder(queries.tokenizer_file(name), as_text)
+            assert encoder.encode(texts) == [np.array(tok.encode(t, add_special_tokens=False).ids, encoder.dtype).tobytes() for t in texts]
+
+
+def test_words_that_are_forgotten(monkeypatch):
+    tok, rng = tokenizer("byte_bpe_50k.json"), random.Random(3)
+    encoder = word_encoder.WordEncoder(queries.tokenizer_file("byte_bpe_50k.json"), memo_limit=40)
+    for _ in range(30):
+        texts = ["".join(rng.choice("ab cD\n'.,!é1 \t") for _ in range(rng.randint(0, 60))) for _ in range(5)]
+        assert encoder.encode(texts) == [np.array(tok.encode(t, add_special_tokens=False).ids, encoder.dtype).tobytes() for t in texts]
+    assert len(encoder.memo.old) < 200
 
 
 def test_token_files(spark):
@@ -320,6 +339,35 @@ def test_warc(spark):
     assert warc.archive_round_trip(pages.where("false")).count() == 0
 
 
+def test_lost_records_are_noticed(spark):
+    pages = spark.createDataFrame([(i, "u", f"page {i}") for i in range(20)], "page_id bigint, url string, html string").coalesce(1)
+    archives = warc.write_archives(pages, warc.fresh_path(spark, "warc"))
+    path = archives.first().path.removeprefix("file:").replace("///", "/")
+    raw = open(path, "rb").read()
+    open(path, "wb").write(raw[: raw.rindex(b"\x1f\x8b\x08")])  # cut at a member's end
+    with pytest.raises(Exception, match="19 records where 20 were written"):
+        warc.read_archives(archives).collect()
+
+
+def brute_warc(rows):
+    first = {}
+    for i, html in rows:
+        first[html or ""] = min(i, first.get(html or "", i))
+    out = set()
+    for i, html in rows:
+        raw, lead = (html or "").encode(), first[html or ""]
+        out.add((i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if i == lead else "revisit", None if i == lead else lead))
+    return out
+
+
+def test_warc_against_brute_force(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    rows = [(r.page_id, r.html) for r in pages.collect()]
+    assert {tuple(r) for r in warc.archive_round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()} == brute_warc(rows)
+    odd = spark.createDataFrame([(i, "u", t, "x") for i, t in enumerate(["a", None, "", "a", "é", "a", "é"])], "page_id bigint, url string, html string, digest string")
+    assert {tuple(r) for r in warc.archive_round_trip(odd).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()} == brute_warc([(r.page_id, r.html) for r in odd.collect()])
+
+
 def test_damaged_records_are_refused():
     raw = warc.record_bytes(1, "u", b"payload", None)
     body = zlib.decompress(raw, 31)
@@ -345,6 +393,8 @@ def test_url_filter(spark):
     for r in got:
         assert (r.host, r.path, r.rule, r.verdict) == judge(urls[r.page_id])
     assert url_filter.judge_urls(pages.where("false")).count() == 0
+    long_ = spark.createDataFrame([(1, "http://" + "a." * 20_000 + "example.com/en/x"), (2, "http://" + "a." * 20_000 + "net/fr/"), (3, "http://" + "net." * 3000 + "x/es/")], "page_id bigint, url string")
+    assert {r.page_id: r.rule for r in url_filter.judge_urls(long_).collect()} == {1: "example.com/en/", 2: "net/fr/", 3: None}
 
 
 def test_cascade_is_exact(spark):
@@ -399,7 +449,7 @@ def test_sparse_sites_shrink(spark):
 
 def test_pieces(spark):
     model = queries.tokenizer_file("piece_bpe_32k.model")
-    texts = odd_texts() + ["  two", "end  ", "a\n\nb\t c", "日本 語", "<s> <0x0A>", "😀"]
+    texts = odd_texts() + ["  two", "end  ", "a\n\nb\t c", "日本 語", "<s> <0x0A>", "😀", " " * 30_000, "a" + " " * 9_999 + "b", "x" * 4_000]
     codec = piece_codec.PieceCodec(model)
     want = [np.array(x, "<u4").tobytes() for x in codec.sp.encode([t or "" for t in texts])]
     assert codec.encode([t or "" for t in texts]) == want
