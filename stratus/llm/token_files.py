@@ -1,6 +1,7 @@
 """Token ids in flat binary files with 64-bit document offsets.
 
-Documents are encoded where they lie; their ids are range-partitioned and sorted by document id. Every task writes three files: ``.ids`` (unsigned integers, 16 or 32
+Documents are encoded where they lie and dealt by ranges of their ids, whose bounds are quantiles of the ids. Every range is
+written as three files: ``.ids`` (unsigned integers, 16 or 32
 bits wide by the size of the vocabulary), ``.off`` (int64 offsets of the documents, one more than there are documents)
 and ``.doc`` (int64 document ids). A table of the finished files, one row a partition, gives the partitions' bases as
 prefix sums; files of lost or repeated attempts are in no table and are never read.
@@ -16,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import file_system, fresh_path, map_slices, stored
+from .shared import file_system, fresh_path, map_slices, partitions_for, stored
 
 NO_ID = np.iinfo(np.int64).min
 
@@ -35,37 +36,44 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, where: str,
         for frame in frames:
             encoder = word_encoder(tokenizer, special_as_text)
             end = np.array([end_id], encoder.dtype).tobytes()
-            yield pd.DataFrame({"id": frame["id"], "ids": [x + end for x in encoder.encode(frame["text"].tolist())], "width": np.int32(encoder.dtype.itemsize)})
+            part = [0 if pd.isna(x) else 1 + int(np.searchsorted(bounds, x)) for x in frame["id"]]
+            yield pd.DataFrame({"part": part, "id": frame["id"], "ids": [x + end for x in encoder.encode(frame["text"].tolist())], "width": np.int32(encoder.dtype.itemsize)})
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import uuid
 
-        from pyspark import TaskContext
+        part, out = None, None
 
-        out, offsets, doc_ids = None, [0], []
-        for frame in frames:
-            width = int(frame["width"].iloc[0])
-            if out is None:
-                part = TaskContext.get().partitionId()
-                path = f"{where}/part-{part:06d}-{uuid.uuid4().hex}"
-                fs, local = file_system(path)
-                fs.create_dir(local.rpartition("/")[0], recursive=True)
-                out = fs.open_output_stream(local + ".ids")
-            for x in frame["ids"]:
-                out.write(x)
-                offsets.append(offsets[-1] + len(x) // width)
-            doc_ids += [NO_ID if pd.isna(x) else int(x) for x in frame["id"]]
-        if out is not None:
+        def finished() -> pd.DataFrame:
             out.close()
             for name, values in ((".off", offsets), (".doc", doc_ids)):
                 with fs.open_output_stream(local + name) as f:
                     f.write(np.array(values, "<i8").tobytes())
-            yield pd.DataFrame({"part": [part], "path": [path], "width": [width], "n_docs": [len(doc_ids)], "n_tokens": [offsets[-1]]})
+            return pd.DataFrame({"part": [part], "path": [path], "width": [width], "n_docs": [len(doc_ids)], "n_tokens": [offsets[-1]]})
+
+        for frame in frames:
+            for p, rows in frame.groupby("part"):  # rows come sorted by it
+                if p != part:
+                    if out is not None:
+                        yield finished()
+                    part, width, offsets, doc_ids = int(p), int(rows["width"].iloc[0]), [0], []
+                    path = f"{where}/part-{part:06d}-{uuid.uuid4().hex}"
+                    fs, local = file_system(path)
+                    fs.create_dir(local.rpartition("/")[0], recursive=True)
+                    out = fs.open_output_stream(local + ".ids")
+                for x in rows["ids"]:
+                    out.write(x)
+                    offsets.append(offsets[-1] + len(x) // width)
+                doc_ids += [NO_ID if pd.isna(x) else int(x) for x in rows["id"]]
+        if out is not None:
+            yield finished()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # stored: the range bounds are a job of their own, which would encode once more
-    encoded = stored(map_slices(rows, encode, "id bigint, ids binary, width int", 1024), "encoded")
-    ordered = encoded.repartitionByRange("id").sortWithinPartitions("id", "ids")
+    parts = partitions_for(docs, 16 << 20)
+    ask = F.percentile_approx("id", F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(10 * parts)) if parts > 1 else F.lit(None)
+    bounds = np.array(rows.agg(ask.alias("b")).first().b or [], np.int64)
+    encoded = map_slices(rows, encode, "part int, id bigint, ids binary, width int", 1024)
+    ordered = encoded.repartition(parts, "part").sortWithinPartitions("part", "id", "ids")
     return stored(map_slices(ordered, write, "part int, path string, width int, n_docs bigint, n_tokens bigint", 2048), "token-files")
 
 
