@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import small_batches, stored
+from .shared import map_slices, small_batches, stored
 
 RATE, FRAME, HOP, WINDOW = 2000, 1024, 256, 16
 SMOOTH = np.array([0.25, 0.75, 1.0, 0.75, 0.25])
@@ -91,7 +91,7 @@ def fingerprints(media: DataFrame, id_col: str, audio_col: str) -> DataFrame:
         for frame in frames:
             yield pd.DataFrame({"id": frame["id"], "print": [b"" if a is None else fingerprint(np.frombuffer(a[: len(a) // 2 * 2], "<i2")).tobytes() for a in frame["audio"]]})
 
-    return media.select(F.col(id_col).cast("bigint").alias("id"), F.col(audio_col).alias("audio")).mapInPandas(run, "id bigint, print binary")
+    return media.select(F.col(id_col).cast("bigint").alias("id"), F.col(audio_col).alias("audio")).transform(map_slices, run, "id bigint, print binary", 64)
 
 
 def align(media: DataFrame, id_col: str = "id", audio_col: str = "audio", every: int = 20) -> DataFrame:
@@ -148,4 +148,4 @@ def recordings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
                 audio.append(sounds[np.floor(angle / (2 * np.pi) * 12).astype(int) % 12][first : first + HEARD].tobytes())
             yield pd.DataFrame({"id": frame["id"], "audio": audio})
 
-    return vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("vector")).mapInPandas(run, "id bigint, audio binary")
+    return vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("vector")).transform(map_slices, run, "id bigint, audio binary", 64)

@@ -4,7 +4,7 @@ The classifier is a logistic regression on shares of byte classes and of neighbo
 sample of labelled documents. Each document's evidence (its label, or else the classifier's probability) is summed by
 host and path. Host rates are shrunk towards the global rate and path rates towards their host's, with prior strengths
 estimated from the spread between the groups beyond sampling noise, so that sparse sites say little. A document's score
-adds its path's shift against the global rate to its own log odds.
+adds its path's shift against the global rate to its own log odds; its own evidence is left out of its host's and path's.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import stored
+from .shared import map_slices, stored
 
 #: Labelled documents that the classifier is fitted on, those with the least hashes of their ids.
 FIT_ROWS = 20_000
@@ -84,12 +84,12 @@ def score_quality(
 
     def run(frames):
         for frame in frames:
-            yield frame.drop(columns="text").assign(x=[features(t).tolist() for t in frame["text"]])
+            yield frame.drop(columns="text").assign(x=[features(t) for t in frame["text"]])
 
     as_col = lambda c: F.col(c) if isinstance(c, str) else c
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(as_col(host).cast("string"), F.lit("")).alias("host"), F.coalesce(as_col(path).cast("string"), F.lit("")).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("bigint").alias("id")).agg(F.avg(label_col).alias("label"))
-    table = stored(rows.mapInPandas(run, "id bigint, host string, path string, x array<double>").join(marks, "id", "left"), "quality-features")
+    table = stored(map_slices(rows, run, "id bigint, host string, path string, x array<double>").join(marks, "id", "left"), "quality-features")
     sample = table.where("label is not null").select("x", "label", F.xxhash64("id").alias("h")).orderBy("h").limit(fit_rows).toPandas()
     x = np.array(sample["x"].tolist()) if len(sample) else np.zeros((0, len(NAMES)))
     weights, bias = fit(x, (sample["label"] >= 0.5).to_numpy(float))
@@ -101,11 +101,13 @@ def score_quality(
     total = hosts.agg(F.sum("good").alias("good"), F.sum("n").alias("n")).first()
     rate = (total.good / total.n) if total.n else 0.5
     strength = prior_strength(hosts, F.lit(rate))
-    hosts = hosts.select("host", ((F.col("good") + strength * rate) / (F.col("n") + strength)).alias("host_rate"))
-    under = paths.join(hosts, "host")
-    strength = prior_strength(under, F.col("host_rate"))
-    under = stored(under.select("host", "path", "host_rate", ((F.col("good") + strength * F.col("host_rate")) / (F.col("n") + strength)).alias("path_rate")), "quality-rates")
-    out = scored.join(under, ["host", "path"]).withColumn("score", 1 / (1 + F.exp(-(F.col("doc_logit") + _logit(F.col("path_rate")) - _logit(F.lit(rate))))))
+    hosts = hosts.select("host", F.col("good").alias("host_good"), F.col("n").alias("host_n"), ((F.col("good") + strength * rate) / (F.col("n") + strength)).alias("host_rate"))
+    under = stored(paths.join(hosts, "host"), "quality-rates")
+    inner = prior_strength(under, F.col("host_rate"))
+    rest = lambda good, n, k, prior: (F.col(good) - evidence + k * prior) / (F.col(n) - 1 + k)  # noqa: E731  without the document itself
+    out = scored.join(under.drop("host_rate"), ["host", "path"]).withColumn("host_rate", rest("host_good", "host_n", strength, F.lit(rate)))
+    out = out.withColumn("path_rate", rest("good", "n", inner, F.col("host_rate")))
+    out = out.withColumn("score", 1 / (1 + F.exp(-(F.col("doc_logit") + _logit(F.col("path_rate")) - _logit(F.lit(rate))))))
     return out.select(F.col("id").alias(id_col), "doc_logit", "host_rate", "path_rate", "score", (F.col("score") >= threshold).alias("keep"))
 
 

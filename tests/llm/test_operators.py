@@ -437,6 +437,39 @@ def test_quality_on_held_out_labels(spark):
     assert right >= 0.93 and sum(r.keep for r in clean) >= 0.97 * len(clean)
 
 
+def test_posteriors_against_brute_force(spark):
+    """The formulas over the logits that come out: every document against the evidence of the others of its site."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.score_quality(docs, labels).join(docs.select("doc_id", "source", "lang"), "doc_id").join(labels.select("doc_id", "quality"), "doc_id", "left").collect()
+    e = [r.quality if r.quality is not None else 1 / (1 + np.exp(-r.doc_logit)) for r in rows]
+    rate = np.mean(e)
+
+    def sums(key):
+        out = collections.defaultdict(lambda: [0.0, 0])
+        for r, x in zip(rows, e):
+            out[key(r)][0] += x
+            out[key(r)][1] += 1
+        return out
+
+    def strength(groups, prior):
+        big = {k: v for k, v in groups.items() if v[1] > 1}
+        n = sum(v[1] for v in big.values())
+        spread = sum(v[1] * (v[0] / v[1] - prior[k]) ** 2 for k, v in big.items())
+        noise, scale = (sum(w * prior[k] * (1 - prior[k]) for k, w in x) for x in ([(k, 1) for k in big], [(k, v[1]) for k, v in big.items()]))
+        between = (spread - noise) / n
+        return min(1e6, max(1.0, scale / n / between - 1)) if between > 1e-12 else 1e6
+
+    hosts, paths = sums(lambda r: r.source), sums(lambda r: (r.source, r.lang))
+    outer = strength(hosts, dict.fromkeys(hosts, rate))
+    inner = strength(paths, {k: (hosts[k[0]][0] + outer * rate) / (hosts[k[0]][1] + outer) for k in paths})
+    logit = lambda p: np.log(p / (1 - p))
+    for r, x in zip(rows, e):
+        host = (hosts[r.source][0] - x + outer * rate) / (hosts[r.source][1] - 1 + outer)
+        path = (paths[r.source, r.lang][0] - x + inner * host) / (paths[r.source, r.lang][1] - 1 + inner)
+        score = 1 / (1 + np.exp(-(r.doc_logit + logit(path) - logit(rate))))
+        assert abs(r.host_rate - host) < 1e-9 and abs(r.path_rate - path) < 1e-9 and abs(r.score - score) < 1e-9 and r.keep == (r.score >= 0.5)
+
+
 def test_sparse_sites_shrink(spark):
     docs = spark.createDataFrame([(i, "plain text", "big" if i < 400 else "tiny", "p") for i in range(401)], "doc_id bigint, text string, source string, lang string")
     labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(400)] + [(400, 0), (None, 1)], "doc_id bigint, quality int")
