@@ -713,4 +713,4 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t10_persistent_spells(spark, sf_dir)
 
 
-from . import more_queries  # noqa: E402, F401  registers its queries
+from . import jobs, more_queries  # noqa: E402, F401  they register their queries
