@@ -1,4 +1,4 @@
-"""Whole-text encoding with the tokenizers library, one call per distinct word of a task.
+"""Whole-text encoding with the tokenizers library, each distinct word once.
 
 A text is cut only where the tokenizer's own pre-tokenizer always cuts, so the ids of the parts, joined, are the ids
 of the whole. A text that offers no such certainty goes to the library whole, as does one that holds a special token's
@@ -14,30 +14,78 @@ from functools import lru_cache
 
 import numpy as np
 
+from .shingles import LOWER, U64, mix, prefix_hash, range_hash
+
 PUNCTUATION = "!#$%&()*+,-./:;<=>?@[]^`{|}~\"\\"
 TAIL = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-^`{-~]+)")
 SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 OTHER_SPACE = re.compile(r"[^\S \n]")
-#: Characters of texts that are looked up together, and words that are learned in one line.
-TOGETHER, LINE = 1 << 22, 128
+#: Bytes of texts that are looked up together, words that are learned in one line, bytes of the longest word kept.
+TOGETHER, LINE, LONGEST = 1 << 20, 128, 64
+#: Kinds of words: after a space, at the start of a text or line, a line feed.
+AFTER, BEGIN, FEED = 0, 1, 2
+
+
+class WordTable:
+    """Ids of words by the words' hashes: open addressing over arrays, so that whole batches are looked up at once. Words
+    that no batch asked for since the last turn are forgotten at the next."""
 
+    def __init__(self, limit: int, dtype: np.dtype):
+        self.limit, self.dtype = limit, dtype
+        self.mask = U64((1 << int(2 * limit).bit_length()) - 1)
+        self._clear()
 
-class Memo(dict):
-    """The ids of words in use: what was not asked for since the last turn is forgotten at the next."""
+    def _clear(self) -> None:
+        self.keys, self.slots = np.zeros(int(self.mask) + 1, U64), np.zeros(int(self.mask) + 1, np.int32)
+        self.hashes, self.at, self.size = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.hard, self.used, self.ids = np.zeros(0, bool), np.zeros(0, bool), np.zeros(0, self.dtype)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of the words, -1 for those that are not there."""
+        place, out = hashes & self.mask, np.full(len(hashes), -1, np.int32)
+        live = np.arange(len(hashes))
+        while len(live):
+            key = self.keys[place[live]]
+            hit = key == hashes[live]
+            out[live[hit]] = self.slots[place[live[hit]]]
+            live = live[~hit & (key != 0)]
+            place[live] = (place[live] + U64(1)) & self.mask
+        return out
 
-    def __init__(self, limit: int):
-        super().__init__()
-        self.limit, self.old = limit, {}
+    def add(self, hashes: np.ndarray, ids: list[bytes | None]) -> None:
+        """New words; ``None`` marks one whose text is to go to the library whole."""
+        size = np.fromiter((len(x) if x else 0 for x in ids), np.int32, len(ids)) // self.dtype.itemsize
+        self._put(hashes, size, np.fromiter((x is None for x in ids), bool, len(ids)), np.frombuffer(b"".join([x or b"" for x in ids]), self.dtype))
 
-    def __missing__(self, word: str) -> bytes | None:
-        ids = self[word] = self.old[word]
-        return ids
+    def _put(self, hashes: np.ndarray, size: np.ndarray, hard: np.ndarray, ids: np.ndarray) -> None:
+        n = len(self.hashes)
+        self.at = np.concatenate((self.at, len(self.ids) + np.cumsum(size, dtype=np.int64) - size))
+        self.hashes, self.size, self.hard = np.concatenate((self.hashes, hashes)), np.concatenate((self.size, size)), np.concatenate((self.hard, hard))
+        self.used, self.ids = np.concatenate((self.used, np.ones(len(hashes), bool))), np.concatenate((self.ids, ids))
+        place, live = hashes & self.mask, np.arange(len(hashes))
+        while len(live):
+            free = live[self.keys[place[live]] == 0]
+            self.keys[place[free]] = hashes[free]  # of several that want one place the last gets it
+            won = free[self.keys[place[free]] == hashes[free]]
+            self.slots[place[won]] = (n + won).astype(np.int32)
+            live = np.setdiff1d(live, won, assume_unique=True)
+            place[live] = (place[live] + U64(1)) & self.mask
 
     def turn(self) -> None:
-        if 2 * len(self) > self.limit:
-            self.old = dict(self)
-            self.clear()
+        """Keep the words that were used since the last turn, as far as they fill half of the table."""
+        keep = np.flatnonzero(self.used)[-self.limit // 2 :]
+        hashes, size, hard = self.hashes[keep], self.size[keep], self.hard[keep]
+        ids = self.gather(keep)
+        self._clear()
+        self._put(hashes, size, hard, ids)
+        self.used[:] = False
+
+    def gather(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of words in a row."""
+        n = self.size[numbers].astype(np.int64)
+        ends = np.cumsum(n)
+        return self.ids[np.repeat(self.at[numbers] - ends + n, n) + np.arange(ends[-1] if len(n) else 0)]
 
 
 class WordEncoder:
@@ -46,7 +94,7 @@ class WordEncoder:
     As in the library, a special token's string in a text gives that token, or with ``special_as_text`` ordinary ids.
     """
 
-    def __init__(self, path: str, special_as_text: bool = False, memo_limit: int = 300_000):
+    def __init__(self, path: str, special_as_text: bool = False, memo_limit: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -65,7 +113,8 @@ class WordEncoder:
         self.line = np.zeros(size, bool)
         if len(ids := self.tok.encode("\n", add_special_tokens=False).ids) == 1:
             self.line[ids] = True
-        self.memo = Memo(memo_limit)
+        self.memo: dict[str, bytes | None] = {}
+        self.table = WordTable(memo_limit, self.dtype)
 
     def _bytes(self, ids) -> bytes:
         return np.array(ids, self.dtype).tobytes()
@@ -140,16 +189,12 @@ class WordEncoder:
         memo.update([(w, memo[c] + of[t]) for w, c, t in tailed])
         memo.update(zip(rest, self._whole(rest)))
 
-    def _words(self, t: str) -> list[str] | None:
-        """The words of a text; None if it is to go to the library whole."""
-        if not t:
-            return []
-        if not self.kind or "\0" in t:
-            return None
-        if self.kind == "ended":
-            low = t.lower() if t.isascii() else t
-            return None if ODD_SPACE.search(t) or any(x in low for x in self.special) else low.split()
-        return None if any(x in t for x in self.special) else ("\0" + t.replace("\n", " \n \0")).split(" ")
+    def _easy(self, t: str) -> bool:
+        """Whether the ids of the text's words, joined, are the text's ids, as far as single characters tell."""
+        if not self.kind or "\0" in t or self.kind == "ended" and ODD_SPACE.search(t):
+            return False
+        low = t.lower() if self.kind == "ended" and self.special else t
+        return not any(x in low for x in self.special)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; an empty text has none."""
@@ -163,17 +208,68 @@ class WordEncoder:
         return out
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        words = [self._words(t) for t in texts]
-        self.memo.turn()
-        if new := set().union(*filter(None, words)) - self.memo.keys() - self.memo.old.keys():
-            self._learn(list(new), self.kind == "spaced" and any(map(OTHER_SPACE.search, texts)))
-        out = []
-        for t, w in zip(texts, words):
-            try:
-                out.append(self._hard(t, False) if w is None else b"".join(map(self.memo.__getitem__, w)))
-            except TypeError:
-                out.append(self._hard(t, True))
-        return out
+        easy = [bool(t) and self._easy(t) for t in texts]
+        full = [i for i, ok in enumerate(easy) if ok]
+        out: list[bytes | None] = [b"" if not t else None for t in texts]
+        if full:
+            for i, ids in zip(full, self._joined([texts[i] for i in full])):
+                out[i] = self._hard(texts[i], True) if ids is None else ids
+        return [self._hard(t, False) if x is None else x for t, x in zip(texts, out)]
+
+    def _joined(self, texts: list[str]) -> list[bytes | None]:
+        """The ids of each text from those of its words; None where words do not tell."""
+        spaced = self.kind == "spaced"
+        raw = [t.encode() for t in texts]
+        data = np.frombuffer(b"\0" + b"\0".join(raw) + b"\0", np.uint8)
+        if not spaced and len(data) == sum(map(len, texts)) + len(texts) + 1:  # pure ASCII
+            data = LOWER[data]
+        elif not spaced:
+            data = np.frombuffer(b"\0" + b"\0".join([t.lower().encode() if t.isascii() else r for t, r in zip(texts, raw)]) + b"\0", np.uint8)
+        gap = (data == 32) | (data == 10) | (data == 0) if spaced else (data <= 32) & ((data == 32) | (data == 0) | ((data >= 9) & (data <= 13)))
+        first = np.flatnonzero(~gap[1:] & gap[:-1]) + 1
+        end = np.flatnonzero(gap[1:] & ~gap[:-1]) + 1
+        ends_of_texts = np.flatnonzero(data == 0)[1:]
+        unsure = np.zeros(len(texts), bool)
+        if spaced:  # two gaps in a row
+            two = np.flatnonzero(gap[1:] & gap[:-1])
+            unsure[np.searchsorted(ends_of_texts, np.where(data[two] == 0, two + 1, two))] = True
+        hashes = mix(range_hash(prefix_hash(data), first, end) + end.astype(U64) - first.astype(U64))
+        kind = np.where(data[first - 1] == 32, AFTER, BEGIN) if spaced else np.zeros(len(first), np.int64)
+        if spaced:
+            feeds = np.flatnonzero(data == 10)
+            order = np.argsort(np.concatenate((first, feeds)), kind="stable")
+            first, end, kind = (np.concatenate(x)[order] for x in ((first, feeds), (end, feeds + 1), (kind, np.full(len(feeds), FEED))))
+            hashes = np.concatenate((hashes, np.zeros(len(feeds), U64)))[order]
+        hashes = mix(hashes ^ (kind.astype(U64) * U64(0x9E3779B97F4A7C15))) | U64(1)
+        found = self.table.find(hashes)
+        long_ = end - first > LONGEST
+        missing = np.flatnonzero((found < 0) & ~long_)
+        if len(self.table.hashes) + len(missing) > self.table.limit and len(missing):
+            self.table.used[found[found >= 0]] = True
+            self.table.turn()
+            found = self.table.find(hashes)
+            missing = np.flatnonzero((found < 0) & ~long_)
+        if len(missing):
+            new, at = np.unique(hashes[missing], return_index=True)
+            self._add(data, new, first[missing[at]], end[missing[at]], kind[missing[at]])
+            found[missing] = self.table.find(hashes[missing])
+        once = np.flatnonzero(long_ & (found < 0))  # long words are not kept: the table's words are few and short
+        text_of = np.searchsorted(ends_of_texts, first)
+        unsure[text_of[once]] = True
+        known = np.maximum(found, 0)
+        self.table.used[known] = True
+        flat, items = self.table.gather(known), np.searchsorted(first, np.concatenate(([0], ends_of_texts)))
+        unsure |= np.diff(np.concatenate(([0], np.cumsum(self.table.hard[known])))[items]) > 0
+        cuts = np.concatenate(([0], np.cumsum(self.table.size[known], dtype=np.int64)))[items]
+        return [None if odd else flat[a:b].tobytes() for odd, a, b in zip(unsure.tolist(), cuts.tolist(), cuts[1:].tolist())]
+
+    def _add(self, data: np.ndarray, hashes: np.ndarray, first: np.ndarray, end: np.ndarray, kind: np.ndarray) -> None:
+        words = [data[a:b].tobytes().decode() for a, b in zip(first.tolist(), end.tolist())]
+        words = ["\0" + w if k == BEGIN and self.kind == "spaced" else w for w, k in zip(words, kind.tolist())]
+        self.memo = {}
+        self._learn(words, self.kind == "spaced" and bool(OTHER_SPACE.search("\n".join(words))))
+        self.table.add(hashes, [self.memo[w] for w in words])
+        self.memo = {}
 
     def _hard(self, t: str, ok: bool) -> bytes:
         if not ok or self.kind != "spaced":

@@ -275,13 +275,16 @@ def test_special_tokens_in_texts():
             assert encoder.encode(texts) == [np.array(tok.encode(t, add_special_tokens=False).ids, encoder.dtype).tobytes() for t in texts]
 
 
-def test_words_that_are_forgotten(monkeypatch):
-    tok, rng = tokenizer("byte_bpe_50k.json"), random.Random(3)
-    encoder = word_encoder.WordEncoder(queries.tokenizer_file("byte_bpe_50k.json"), memo_limit=40)
-    for _ in range(30):
-        texts = ["".join(rng.choice("ab cD\n'.,!é1 \t") for _ in range(rng.randint(0, 60))) for _ in range(5)]
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@pytest.mark.parametrize("limit", [40, 800_000])
+def test_odd_texts_and_forgotten_words(name, limit):
+    tok, rng = tokenizer(name), random.Random(3)
+    encoder = word_encoder.WordEncoder(queries.tokenizer_file(name), memo_limit=limit)
+    bits = ["a", "b", " ", " ", "c", "D", "\n", "'s", ".", ",", "!", "é", "1", "\t", "<|endoftext|>", "日本", "\u2003", "\x1c", "İ", "ﬁ", "x" * 70, "\r\n", "don't", "  "]
+    for _ in range(40):
+        texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(30)]
         assert encoder.encode(texts) == [np.array(tok.encode(t, add_special_tokens=False).ids, encoder.dtype).tobytes() for t in texts]
-    assert len(encoder.memo.old) < 200
+    assert limit > 40 or len(encoder.table.hashes) <= 500
 
 
 def test_token_files(spark):
