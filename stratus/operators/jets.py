@@ -20,7 +20,7 @@ MIN_CONTOUR, MIN_RUN, MIN_JET = 10, 5, 6
 def alignment(points: DataFrame, keys: list[str], order: str, name: str = "alignment") -> DataFrame:
     """Cosine between a line and the wind."""
     dx, dy = central_diff("lon", keys, order) * degcos(F.col("lat")), central_diff("lat", keys, order)
-    cos = (F.col("u") * F.col("__x") + F.col("v") * F.col("__y")) / (F.hypot("u", "v") * F.hypot("__x", "__y"))
+    cos = F.try_divide(F.col("u") * F.col("__x") + F.col("v") * F.col("__y"), F.hypot("u", "v") * F.hypot("__x", "__y"))
     return points.withColumns({"__x": dx, "__y": dy}).withColumn(name, cos).drop("__x", "__y")
 
 
