@@ -834,6 +834,44 @@ def g12_smooth_paths(spark, sf):
     return P.smooth_paths(roles.paths(spark, sf), ["jet_id"], "index", 2).select("jet_id", "index", r("lat").alias("lat"))
 
 
+@query(f"SELECT step, ilon, n, {R('avg(n) OVER (PARTITION BY step ORDER BY ilon RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING)')} AS bias FROM (SELECT step, ilon, arg_max(n, (s_interp, -abs(n), -n)) AS n FROM (SELECT step, ilon, n, s_interp + n * 1e-7 AS s_interp FROM sc) GROUP BY 1, 2)", FIELD, SECTION)
+def g10_bias_of_maximum(spark, sf):
+    x = _sections(spark, sf).withColumn("s_interp", F.col("s_interp") + F.col("n") * 1e-7)  # no ties
+    return P.bias_offset(x, ["step"], "ilon", "s_interp", 2).select("step", "ilon", "n", r("bias").alias("bias"))
+
+
+@query(f"SELECT jet_id, index, {R('sqrt(pow((((lon - lo + 180) % 360 + 360) % 360) - 180, 2) + pow(lat - la, 2))', 4)} AS d FROM (SELECT *, lag(lon) OVER w AS lo, lag(lat) OVER w AS la FROM paths WINDOW w AS (PARTITION BY jet_id ORDER BY index))", PATHS)
+def x01_flat_distance(spark, sf):
+    w = Window.partitionBy("jet_id").orderBy("index")
+    p = roles.paths(spark, sf).withColumns({"lo": F.lag("lon").over(w), "la": F.lag("lat").over(w)})
+    return p.select("jet_id", "index", r(S.flat_distance(F.col("lo"), F.col("la"), F.col("lon"), F.col("lat")), 4).alias("d"))
+
+
+@query("SELECT dt FROM (SELECT step - lag(step) OVER (ORDER BY step) AS dt FROM (SELECT DISTINCT step FROM series)) WHERE dt IS NOT NULL GROUP BY dt ORDER BY count(*) DESC, dt LIMIT 1", SERIES)
+def x04_time_step(spark, sf):
+    return fields.time_step(roles.series(spark, sf), "step")
+
+
+@query("SELECT year, doy, jet, price FROM daily WHERE year IN (1993, 1995, 1997)", DAILY)
+def f01_filter_period(spark, sf):
+    return E.filter_period(_dated(spark, sf), (1993, 1997, 2)).select("year", "doy", "jet", "price")
+
+
+@query()
+def l06_persistent_patterns(spark, sf):
+    """The members' pattern that persists longest, from their lagged covariances, as rows."""
+    m = roles.members(spark, sf)
+    patterns = L.persistent_patterns(T.lagged_covariance(m, "member", "step", "value", 4), 4, 4)
+    rows = [(k, i, abs(float(patterns[i, k]))) for k in range(patterns.shape[1]) for i in range(4)]
+    return spark.createDataFrame(rows, "pattern int, member int, weight double")
+
+
+@query()
+def l15_forward_select(spark, sf):
+    found = L.forward_select(_marked(spark, sf), ["size", "is_en", "is_fr"], "toxic", L.fold_of(F.col("doc_id"), 2), 2, 2)
+    return spark.createDataFrame([(len(names), ",".join(names), float(auc)) for names, auc in found], "n int, features string, auc double")
+
+
 # features through time --------------------------------------------------------------------------------------------------
 
 

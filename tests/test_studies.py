@@ -157,6 +157,39 @@ def test_two_zonal_jets_through_the_whole_job(spark):
     assert again.count() == jets.count()
 
 
+def test_components_give_the_data_back(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    x = np.random.default_rng(7).standard_normal((60, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>").withColumn("features", array_to_vector("v"))
+    out, model, scaler = L.pca(df, 4)
+    assert all(np.allclose(r.restored, x[r.id]) for r in L.pca_inverse(out, model, scaler).collect())
+
+
+def test_slow_pattern_comes_first(spark):
+    rng = np.random.default_rng(8)
+    slow, noise = np.cumsum(rng.standard_normal(400)) * 0.2, rng.standard_normal((400, 2))
+    data = np.column_stack((noise[:, 0], slow, noise[:, 1]))
+    from stratus.operators import stats as T
+
+    rows = spark.createDataFrame([(k, t, float(data[t, k])) for t in range(400) for k in range(3)], "k int, t bigint, x double")
+    first = np.abs(L.persistent_patterns(T.lagged_covariance(rows, "k", "t", "x", 5), 3, 5)[:, 0])
+    assert first.argmax() == 1
+
+
+def test_wind_on_the_axis(spark):
+    rows = [(0, i, float(n), 10.0 + i, 50.0, 3.0, 4.0) for i in range(6) for n in (-1, 0, 1)]
+    out = P.along_axis(spark.createDataFrame(rows, "k int, i bigint, n double, lon double, lat double, u double, v double"), ["k"], "i", "u", "v").collect()
+    assert len(out) == 18 and all(abs(r.u_along - 3) < 1e-9 and abs(r.v_left - 4) < 1e-9 for r in out)
+
+
+def test_selection_finds_the_cause(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((300, 2))
+    rows = spark.createDataFrame([(i, *map(float, v), int(v[1] > 0)) for i, v in enumerate(x)], "id bigint, a double, b double, y int")
+    assert L.forward_select(rows, ["a", "b"], "y", L.fold_of(F.col("id"), 2), 2, 1)[0][0] == ["b"]
+
+
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLE)))
 def test_queries_without_sql_run(spark, name):
     plans.QUERIES[name](spark, SF).collect()
