@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import stored
+from .shared import Tables
 
 FIRST_BLOCK, BLOCK_GROWTH, WIDEST_BLOCK = 64, 4, 1 << 20
 
@@ -21,7 +21,7 @@ def _blocks(width: int) -> list[Column]:
     return [F.substring("rest", 1, width).alias("block"), (F.length("rest") <= width).alias("ended")]
 
 
-def _split(rows: DataFrame, *more: str) -> DataFrame:
+def _split(rows: DataFrame, stored, *more: str) -> DataFrame:
     """``rows`` (id, sha, grp, block, ended) with the new group, and the size and largest id of the group; null if alone."""
     shared = rows.groupBy("grp", "block", "ended").agg(F.max("id").alias("keep_id"), F.count("*").alias("n")).where("n > 1")
     shared = stored(shared.withColumn("next", F.monotonically_increasing_id()), "radix-groups")
@@ -36,9 +36,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     null. A null text counts as empty; all empty texts form one group. Rows that repeat both id and text count each in
     ``group_size`` and share one verdict. An empty table gives an empty result. Other columns are ignored.
     """
+    return _groups(docs, id_col, text_col, Tables(docs.sparkSession).stored)
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, stored) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).alias("id"), F.sha2(text, 256).alias("sha"), text.alias("rest"), F.lit(-1).cast("bigint").alias("grp"))
-    split = stored(_split(rows.select("id", "sha", "grp", *_blocks(FIRST_BLOCK))), "radix-split")
+    split = stored(_split(rows.select("id", "sha", "grp", *_blocks(FIRST_BLOCK)), stored), "radix-split")
     closed = [split.where("not going")]
     going = split.where("going").select(F.col("id").alias("i"), F.col("sha").alias("s"), F.col("grp").alias("g")).distinct()
     if not going.isEmpty():
@@ -49,7 +53,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         while not state.isEmpty():
             width = min(width * BLOCK_GROWTH, WIDEST_BLOCK)
             later = F.expr(f"substring(rest, {width + 1})")
-            split = _split(state.select("id", "sha", "grp", *_blocks(width), later.alias("rest")), "rest")
+            split = _split(state.select("id", "sha", "grp", *_blocks(width), later.alias("rest")), stored, "rest")
             split = stored(split.withColumn("rest", F.when(F.col("going"), F.col("rest"))), "radix-split")
             closed.append(split.where("not going"))
             state = split.where("going").select("id", "sha", "grp", "rest")
@@ -73,10 +77,12 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Of kept rows that repeat both id and text, or have null ids, the one whose columns hash least stays.
     """
-    copies = exact_groups(docs, id_col, text_col).where("group_size > 1")
+    tables = Tables(docs.sparkSession)
+    copies = _groups(docs, id_col, text_col, tables.stored).where("group_size > 1")
     copies = copies.groupBy(F.col(id_col).alias("id"), F.col("text_sha256").alias("sha")).agg(F.max("kept").alias("stays"), F.count("*").alias("n"))
     # of a copy that goes all rows go, and of one that stays more than once all but one
-    copies = stored(copies.where("not stays or n > 1").drop("n"), "radix-copies")
+    copies = tables.stored(copies.where("not stays or n > 1").drop("n"), "radix-copies")
+    tables.drop(keep=(copies,))
     rows = docs.select(F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("sha"), F.struct("*").alias("row"))
     which = copies.select(F.col("id").alias("i"), F.col("sha").alias("s"))
     same = F.col("id").eqNullSafe(F.col("i")) & (F.col("sha") == F.col("s"))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stratus.operators.graph import connected_components
 
-from .shared import Tables, freed, map_slices, partitions_for, stored
+from .shared import Tables, freed, map_slices, partitions_for
 from .shingles import U64, batches, mix, shingle_sets
 
 #: Empty blocks are allowed for by this share more blocks.
@@ -226,8 +226,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text counts as empty. Rows with a null id are never linked and have a null component; rows that repeat an id are one
     node. An empty table gives an empty result. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    tables = Tables(spark)
+    return _near_duplicates(docs, id_col, text_col, width, percent, Tables(docs.sparkSession))
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, tables: Tables) -> DataFrame:
     stored = tables.stored
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     info = stored(shingle_info(rows, width), "shingle-info")
@@ -258,6 +260,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = tried.where("linked").select("a", "b")
     parts = stored(_components(links, tables), "shingle-parts")
 
+    tables.drop(classes)
     whole = lambda df, c: df.join(parts.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}")), c, "left").withColumn(f"part_{c}", F.coalesce(f"part_{c}", c))
     apart = whole(whole(ties.unionByName(pivots).select("a", "b"), "a"), "b").where("part_a <> part_b").select("a", "b")
     again = apart.unionByName(_across(found, of, whole, about, percent, stored)).distinct()
@@ -380,6 +383,8 @@ def _across(found: DataFrame, of, whole, about: DataFrame, percent: int, stored)
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component, that with the smallest id; rows without id stay."""
-    parts = near_duplicates(docs, id_col, text_col)
-    dropped = parts.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(stored(dropped, "shingle-dropped"), id_col, "left_anti").select(*docs.columns)
+    tables = Tables(docs.sparkSession)
+    parts = _near_duplicates(docs, id_col, text_col, 5, 75, tables)
+    dropped = tables.stored(parts.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "shingle-dropped")
+    tables.drop(keep=(dropped,))
+    return docs.join(dropped, id_col, "left_anti").select(*docs.columns)
