@@ -15,6 +15,7 @@ blocks, and verified. Nothing is left out.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,30 +102,32 @@ def _split(doc: np.ndarray, hashes: np.ndarray, n: int) -> list[np.ndarray]:
     return [hashes[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
-def _sets(frames: Iterator[pd.DataFrame], width: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+def _sets(frames: Iterator[pd.DataFrame], width: int, key: tuple[int, int]) -> Iterator[tuple[list, list[np.ndarray]]]:
     for frame in frames:
         texts = _texts(frame)
         ids = [None if pd.isna(x) else int(x) for x in frame["doc_id"]]
         for a, b in batches(texts):
-            yield ids[a:b], _split(*shingle_sets(texts[a:b], width), b - a)
+            yield ids[a:b], _split(*shingle_sets(texts[a:b], width, key), b - a)
 
 
-def shingle_info(docs: DataFrame, width: int) -> DataFrame:
+def shingle_info(docs: DataFrame, width: int, key: tuple[int, int]) -> DataFrame:
     """doc_id, n_shingles, digest of the set, sketch: one row per input row."""
 
     def run(frames):
-        for ids, sets in _sets(frames, width):
+        for ids, sets in _sets(frames, width, key):
             digest = [(int(np.add.reduce(mix(h ^ U64(1)))) << 64 | int(np.bitwise_xor.reduce(mix(h)))).to_bytes(16, "little") if len(h) else b"" for h in sets]
             yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n_shingles": [len(h) for h in sets], "digest": digest, "sketch": [sketch(h) for h in sets]})
 
     return map_slices(docs, run, "doc_id bigint, n_shingles bigint, digest binary, sketch binary")
 
 
-def key_groups(docs: DataFrame, width: int, percent: int, largest: int, buckets: int) -> DataFrame:
+def key_groups(docs: DataFrame, width: int, percent: int, largest: int, buckets: int, key: tuple[int, int]) -> DataFrame:
     """Ties ``(lead, member, n)`` and, for keys of three documents or more, ``(lead, grp, members)``, in as many rows as need be;
     ``lead`` is a key's smallest document."""
     lows = bands(percent, largest)
 
+    secret = key
+
     def keys(frames):
         held, count, known, ids = [], 0, set(), []
 
@@ -142,7 +145,7 @@ def key_groups(docs: DataFrame, width: int, percent: int, largest: int, buckets:
                 rows.append((int(b), key[a:z].astype("<u4").tobytes(), place.astype("<u2").tobytes(), own[used].astype("<i8").tobytes()))
             return pd.DataFrame(rows, columns=["bucket", "keys", "place", "docs"])
 
-        for some, sets in _sets(frames, width):
+        for some, sets in _sets(frames, width, secret):
             for doc_id, h in zip(some, sets):
                 if doc_id is None or not len(h):
                     continue
@@ -230,16 +233,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, tables: Tables) -> DataFrame:
-    stored = tables.stored
+    stored, key = tables.stored, (secrets.randbits(64), secrets.randbits(64))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    info = stored(shingle_info(rows, width), "shingle-info")
+    info = stored(shingle_info(rows, width, key), "shingle-info")
     known = info.where("doc_id is not null and n_shingles > 0")
     largest = known.agg(F.max("n_shingles")).first()[0] or 1
+    twice = stored(known.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("doc_id"), "shingle-twice")
+    if not twice.isEmpty():
+        return _with_repeated_ids(rows, twice, width, percent, tables).withColumnRenamed("doc_id", id_col)
     classes = stored(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c"), "shingle-classes")
     copies = stored(known.select("doc_id", "digest").join(classes, "digest").where("doc_id <> rep").select("doc_id", "rep").distinct(), "shingle-copies")
     of = lambda df, c: df.join(copies.select(F.col("doc_id").alias(c), F.col("rep").alias("__rep")), c, "left").withColumn(c, F.coalesce("__rep", c)).drop("__rep")
 
-    found = stored(key_groups(rows, width, percent, largest, partitions_for(docs, BUCKET_BYTES)), "shingle-groups")
+    found = stored(key_groups(rows, width, percent, largest, partitions_for(docs, BUCKET_BYTES), key), "shingle-groups")
     ties = found.where("member is not null").groupBy("lead", "member").agg(F.sum("n").alias("n"))
     ties = of(of(ties, "lead"), "member").where("lead <> member").select(*_two(F.col("lead"), F.col("member")), "n")
     about = known.select("doc_id", F.col("n_shingles").alias("size"), "sketch").dropDuplicates(["doc_id"])
@@ -249,13 +255,13 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, width: int, pe
     ties = stored(ties.where(close("size_a", "size_b", "sketch_a", "sketch_b")).select("a", "b", "n"), "shingle-ties")
 
     wanted = stored(ties.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "shingle-wanted")
-    sets = stored(_set_table(rows, wanted, width), "shingle-sets")
+    sets = stored(_set_table(rows, wanted, width, key), "shingle-sets")
     tried = stored(_verified(_best(ties), sets, percent), "shingle-tried")
     pivots = stored(_pivot_ties(found, of).join(side("a"), "a").join(side("b"), "b").where(close("size_a", "size_b", "sketch_a", "sketch_b")).select("a", "b", "n"), "shingle-pivots")
     more = _best(pivots).join(tried.select("a", "b"), ["a", "b"], "left_anti")
     missing = stored(more.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(wanted, "doc_id", "left_anti"), "shingle-missing")
     if not missing.isEmpty():
-        sets, wanted = sets.unionByName(stored(_set_table(rows, missing, width), "shingle-sets")), wanted.unionByName(missing)
+        sets, wanted = sets.unionByName(stored(_set_table(rows, missing, width, key), "shingle-sets")), wanted.unionByName(missing)
     tried = tried.unionByName(stored(_verified(more, sets, percent), "shingle-tried"))
     links = tried.where("linked").select("a", "b")
     parts = stored(_components(links, tables), "shingle-parts")
@@ -268,7 +274,7 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, width: int, pe
     if not again.isEmpty():
         missing = stored(again.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(wanted, "doc_id", "left_anti"), "shingle-missing")
         if not missing.isEmpty():
-            sets = sets.unionByName(_set_table(rows, missing, width))
+            sets = sets.unionByName(_set_table(rows, missing, width, key))
         more = stored(_verified(again, sets, percent).where("linked").select("a", "b"), "shingle-more")
         parts = stored(_components(links.unionByName(more), tables), "shingle-parts")
     tables.drop(keep=(info, copies, parts))
@@ -277,13 +283,31 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, width: int, pe
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 
+def _with_repeated_ids(rows: DataFrame, twice: DataFrame, width: int, percent: int, tables: Tables) -> DataFrame:
+    """The same where ids of ``twice`` have different texts: each of their texts is a node with a number of its own, from a
+    digest of both, and the nodes of one id are tied afterwards."""
+    own = F.conv(F.substring(F.sha2(F.concat_ws(":", F.col("doc_id"), F.col("text")), 256), 1, 15), 16, 10).cast("bigint")
+    split = rows.join(twice.withColumn("__twice", F.lit(True)), "doc_id", "left").withColumn("node", F.when(F.col("__twice"), own).otherwise(F.col("doc_id")))
+    nodes = tables.stored(split.where("__twice").select("doc_id", "node").distinct(), "shingle-nodes")
+    inner = Tables(rows.sparkSession)
+    apart = tables.stored(_near_duplicates(split.select("node", "text"), "node", "text", width, percent, inner), "shingle-apart")
+    inner.drop()
+    parts = nodes.join(apart.select("node", F.col("component_id").alias("part")).distinct(), "node")
+    ties = parts.join(parts.groupBy("doc_id").agg(F.min("part").alias("low")), "doc_id").where("part <> low").select(F.col("part").alias("a"), F.col("low").alias("b"))
+    joined = tables.stored(_components(ties, tables).select(F.col("node").alias("part"), F.col("component").alias("whole")), "shingle-joined")
+    named = apart.withColumnRenamed("component_id", "part").join(joined, "part", "left").withColumn("whole", F.coalesce("whole", "part"))
+    named = named.join(nodes, "node", "left").withColumn("doc_id", F.coalesce("doc_id", "node"))
+    least = named.groupBy("whole").agg(F.min("doc_id").alias("component_id"))
+    return named.join(least, "whole", "left").select("doc_id", "n_shingles", "component_id")
+
+
 def _components(links: DataFrame, tables: Tables) -> DataFrame:
     return connected_components(links, cut=lambda df: tables.stored(df, "shingle-star"))
 
 
-def _set_table(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+def _set_table(rows: DataFrame, wanted: DataFrame, width: int, key: tuple[int, int]) -> DataFrame:
     def run(frames):
-        for ids, sets in _sets(frames, width):
+        for ids, sets in _sets(frames, width, key):
             yield pd.DataFrame({"doc_id": ids, "hashes": [h.view(np.int64) for h in sets]})
 
     return map_slices(rows.join(wanted, "doc_id", "left_semi"), run, "doc_id bigint, hashes array<bigint>")

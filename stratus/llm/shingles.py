@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 
@@ -47,8 +48,42 @@ def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return (prefix[end] - prefix[start]) * powers(len(prefix))[1][start]
 
 
-def shingle_sets(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(document number, hash) of the distinct word shingles, sorted by both; at most 65,535 texts.
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+#: Steps of eight bytes after which a word is left to a digest.
+STEPS = 32
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on as one number; zeros follow the end."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def eight(view: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Up to eight bytes at ``at``, no more than are ``left``."""
+    return view[at] & MASKS[np.minimum(left, 8)]
+
+
+def keyed_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: tuple[int, int]) -> np.ndarray:
+    """Hashes of byte ranges, eight bytes a step with a non-linear mix. Who does not know ``key`` cannot make two ranges meet."""
+    size, view = end - start, eights(data)
+    first, add = (U64(k) for k in key)
+    h = mix(size.astype(U64) ^ first)
+    live = np.arange(len(size))
+    for k in range(STEPS):
+        live = live[size[live] > 8 * k]
+        if not len(live):
+            break
+        h[live] = mix((h[live] ^ eight(view, start[live] + 8 * k, size[live] - 8 * k)) + add)
+    secret = b"".join(k.to_bytes(8, "little") for k in key)
+    for i in np.flatnonzero(size > 8 * STEPS).tolist():
+        h[i] = int.from_bytes(blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, key=secret).digest(), "little")
+    return h
+
+
+def shingle_sets(texts: list[bytes], width: int = 5, key: tuple[int, int] = (1, 2)) -> tuple[np.ndarray, np.ndarray]:
+    """(document number, hash) of the distinct word shingles, sorted by both; at most 65,535 texts. ``key`` is a secret of the
+    job, so that no text can be written to share another's hashes.
 
     Words are runs of bytes other than space and 9 to 13, with A-Z in lower case. A text with fewer than ``width``
     words has one shingle, its whole sequence; a text without words has none.
@@ -59,7 +94,7 @@ def shingle_sets(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.nda
     if not len(start):
         return np.zeros(0, np.uint16), np.zeros(0, U64)
     end = np.flatnonzero(space & np.concatenate(([False], ~space[:-1])))
-    words = mix(range_hash(prefix_hash(data), start, end))
+    words = keyed_hash(data, start, end, key)
     begins = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
     doc = (np.searchsorted(begins, start, "right") - 1).astype(np.uint16)
     n = np.bincount(doc, minlength=len(texts))

@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from .shingles import LOWER, U64, mix, prefix_hash, range_hash
+from .shingles import LOWER, U64, eight, eights, mix, prefix_hash, range_hash
 
 PUNCTUATION = "!#$%&()*+,-./:;<=>?@[]^`{|}~\"\\"
 TAIL = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-^`{-~]+)")
@@ -28,8 +28,8 @@ AFTER, BEGIN, FEED = 0, 1, 2
 
 
 class WordTable:
-    """Ids of words by the words' hashes: open addressing over arrays, so that whole batches are looked up at once. Words
-    that no batch asked for since the last turn are forgotten at the next."""
+    """Ids of words by the words' hashes: open addressing over arrays, so that whole batches are looked up at once; a hit counts
+    only if the words' bytes are equal. Words that no batch asked for since the last turn are forgotten at the next."""
 
     def __init__(self, limit: int, dtype: np.dtype):
         self.limit, self.dtype = limit, dtype
@@ -40,6 +40,7 @@ class WordTable:
         self.keys, self.slots = np.zeros(int(self.mask) + 1, U64), np.zeros(int(self.mask) + 1, np.int32)
         self.hashes, self.at, self.size = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.hard, self.used, self.ids = np.zeros(0, bool), np.zeros(0, bool), np.zeros(0, self.dtype)
+        self.kind, self.length, self.letters = np.zeros(0, np.int8), np.zeros(0, np.int32), np.zeros((0, LONGEST // 8), U64)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Numbers of the words, -1 for those that are not there."""
@@ -53,11 +54,31 @@ class WordTable:
             place[live] = (place[live] + U64(1)) & self.mask
         return out
 
-    def add(self, hashes: np.ndarray, ids: list[bytes | None]) -> None:
-        """New words; ``None`` marks one whose text is to go to the library whole."""
+    def other(self, numbers: np.ndarray, view: np.ndarray, first: np.ndarray, end: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Which of the words found are not the words asked for, by their bytes and kinds."""
+        size = end - first
+        bad = (self.length[numbers] != size) | (self.kind[numbers] != kind)
+        live = np.flatnonzero(~bad)
+        for k in range(LONGEST // 8):
+            live = live[size[live] > 8 * k]
+            if not len(live):
+                break
+            bad[live] |= eight(view, first[live] + 8 * k, size[live] - 8 * k) != self.letters[numbers[live], k]
+        return bad
+
+    def add(self, hashes: np.ndarray, ids: list[bytes | None], view: np.ndarray, first: np.ndarray, end: np.ndarray, kind: np.ndarray) -> None:
+        """New words, of at most ``LONGEST`` bytes; ``None`` marks one whose text is to go to the library whole."""
+        letters = np.zeros((len(first), LONGEST // 8), U64)
+        for k in range(LONGEST // 8):
+            own = np.flatnonzero(end - first > 8 * k)
+            letters[own, k] = eight(view, first[own] + 8 * k, (end - first)[own] - 8 * k)
+        self._spell(letters, (end - first).astype(np.int32), kind.astype(np.int8))
         size = np.fromiter((len(x) if x else 0 for x in ids), np.int32, len(ids)) // self.dtype.itemsize
         self._put(hashes, size, np.fromiter((x is None for x in ids), bool, len(ids)), np.frombuffer(b"".join([x or b"" for x in ids]), self.dtype))
 
+    def _spell(self, letters: np.ndarray, length: np.ndarray, kind: np.ndarray) -> None:
+        self.letters, self.length, self.kind = np.concatenate((self.letters, letters)), np.concatenate((self.length, length)), np.concatenate((self.kind, kind))
+
     def _put(self, hashes: np.ndarray, size: np.ndarray, hard: np.ndarray, ids: np.ndarray) -> None:
         n = len(self.hashes)
         self.at = np.concatenate((self.at, len(self.ids) + np.cumsum(size, dtype=np.int64) - size))
@@ -76,8 +97,9 @@ class WordTable:
         """Keep the words that were used since the last turn, as far as they fill half of the table."""
         keep = np.flatnonzero(self.used)[-self.limit // 2 :]
         hashes, size, hard = self.hashes[keep], self.size[keep], self.hard[keep]
-        ids = self.gather(keep)
+        ids, spelled = self.gather(keep), (self.letters[keep], self.length[keep], self.kind[keep])
         self._clear()
+        self._spell(*spelled)
         self._put(hashes, size, hard, ids)
         self.used[:] = False
 
@@ -241,7 +263,7 @@ class WordEncoder:
             first, end, kind = (np.concatenate(x)[order] for x in ((first, feeds), (end, feeds + 1), (kind, np.full(len(feeds), FEED))))
             hashes = np.concatenate((hashes, np.zeros(len(feeds), U64)))[order]
         hashes = mix(hashes ^ (kind.astype(U64) * U64(0x9E3779B97F4A7C15))) | U64(1)
-        found = self.table.find(hashes)
+        found, view = self.table.find(hashes), eights(data)
         long_ = end - first > LONGEST
         missing = np.flatnonzero((found < 0) & ~long_)
         if len(self.table.hashes) + len(missing) > self.table.limit and len(missing):
@@ -251,11 +273,13 @@ class WordEncoder:
             missing = np.flatnonzero((found < 0) & ~long_)
         if len(missing):
             new, at = np.unique(hashes[missing], return_index=True)
-            self._add(data, new, first[missing[at]], end[missing[at]], kind[missing[at]])
+            self._add(data, new, view, first[missing[at]], end[missing[at]], kind[missing[at]])
             found[missing] = self.table.find(hashes[missing])
         once = np.flatnonzero(long_ & (found < 0))  # long words are not kept: the table's words are few and short
         text_of = np.searchsorted(ends_of_texts, first)
         unsure[text_of[once]] = True
+        hit = np.flatnonzero(found >= 0)
+        unsure[text_of[hit[self.table.other(found[hit], view, first[hit], end[hit], kind[hit])]]] = True  # another word of that hash
         known = np.maximum(found, 0)
         self.table.used[known] = True
         flat, items = self.table.gather(known), np.searchsorted(first, np.concatenate(([0], ends_of_texts)))
@@ -263,12 +287,12 @@ class WordEncoder:
         cuts = np.concatenate(([0], np.cumsum(self.table.size[known], dtype=np.int64)))[items]
         return [None if odd else flat[a:b].tobytes() for odd, a, b in zip(unsure.tolist(), cuts.tolist(), cuts[1:].tolist())]
 
-    def _add(self, data: np.ndarray, hashes: np.ndarray, first: np.ndarray, end: np.ndarray, kind: np.ndarray) -> None:
+    def _add(self, data: np.ndarray, hashes: np.ndarray, view: np.ndarray, first: np.ndarray, end: np.ndarray, kind: np.ndarray) -> None:
         words = [data[a:b].tobytes().decode() for a, b in zip(first.tolist(), end.tolist())]
         words = ["\0" + w if k == BEGIN and self.kind == "spaced" else w for w, k in zip(words, kind.tolist())]
         self.memo = {}
         self._learn(words, self.kind == "spaced" and bool(OTHER_SPACE.search("\n".join(words))))
-        self.table.add(hashes, [self.memo[w] for w in words])
+        self.table.add(hashes, [self.memo[w] for w in words], view, first, end, kind)
         self.memo = {}
 
     def _hard(self, t: str, ok: bool) -> bytes:
