@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .induced_sort import Scratch, repeated_starts, spans
 from .shared import freed, local_dir, map_slices, partitions_for, stored
-from .shingles import U64, batches, powers, prefix_hash, range_hash
+from .shingles import U64, batches, powers, prefix_hash
 
 LENGTH, GRAM = 200, 40
 #: Positions of a piece fit into the low bits of the compared numbers.
@@ -36,11 +36,11 @@ KINDS = {"whole": 0, "sorted": 1, "match": 2}
 
 
 def anchored_runs(data: np.ndarray, spans: list[tuple[int, int]], length: int = LENGTH, gram: int = GRAM, limit: int | None = None) -> tuple[np.ndarray, ...]:
-    """(start, number of strings, hash of the anchor, hash of the region, anchor after the start) of the runs of strings within ``spans`` that
+    """(start, number of strings, hash of the anchor, digest of the region (two columns), anchor after the start) of the runs of strings within ``spans`` that
     share one anchor; with ``limit``, of strings that start before it."""
     spans = [(a, b) for a, b in spans if b - a >= length]
     if not spans:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64), np.zeros((0, 2), U64), np.zeros(0, np.int64)
     n, w = len(data), length - gram + 1
     prefix = prefix_hash(data)
     h = (prefix[gram:] - prefix[:-gram]) * powers(n + 1)[1][: n - gram + 1]
@@ -66,7 +66,9 @@ def anchored_runs(data: np.ndarray, spans: list[tuple[int, int]], length: int =
     if limit is not None:
         keep = start < limit
         start, count = start[keep], np.minimum(count[keep], limit - start[keep])
-    return start, count, h[at[start]], range_hash(prefix, start, start + count + length - 1), at[start] - start
+    raw, last = data.tobytes(), (start + count + length - 1).tolist()
+    digests = b"".join([blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), last)])
+    return start, count, h[at[start]], np.frombuffer(digests, "<u8").reshape(-1, 2), at[start] - start
 
 
 def _runs(texts: list[bytes], length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -100,9 +102,9 @@ def repeated_anchors(rows: DataFrame, length: int, gram: int, buckets: int) -> D
 
         def flush():
             doc, start, n, h, r, off = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((r, h))
+            order = np.lexsort((r[:, 1], r[:, 0], h))
             doc, start, n, h, r, off = doc[order], start[order], n[order], h[order], r[order], off[order]
-            new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (r[1:] != r[:-1]))))
+            new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (r[1:] != r[:-1]).any(axis=1))))
             size = np.diff(np.append(new, len(h)))
             twice = np.flatnonzero(np.repeat(size > 1, size))
             # places of what repeats within the task, by document, and one of each region by anchor
@@ -136,12 +138,12 @@ def repeated_anchors(rows: DataFrame, length: int, gram: int, buckets: int) -> D
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
         cat = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in frame[c]])
-        h, r, start, n, off, flag = cat("anchor", "<u8"), cat("region", "<u8"), cat("start", "<u4").astype(np.int64), cat("n", "u1").astype(np.int64), cat("off", "u1"), cat("flag", "u1")
+        h, r, start, n, off, flag = cat("anchor", "<u8"), cat("region", "<u8").reshape(-1, 2), cat("start", "<u4").astype(np.int64), cat("n", "u1").astype(np.int64), cat("off", "u1"), cat("flag", "u1")
         key = np.concatenate([np.frombuffer(k, "<i8")[np.frombuffer(p, "<u2")] for k, p in zip(frame["keys"], frame["place"])])
         i = np.flatnonzero(flag < 2)
-        i = i[np.lexsort((r[i], h[i]))]
+        i = i[np.lexsort((r[i, 1], r[i, 0], h[i]))]
         new_h = np.concatenate(([True], h[i][1:] != h[i][:-1]))[: len(i)]
-        new = new_h | np.concatenate(([True], r[i][1:] != r[i][:-1]))[: len(i)]
+        new = new_h | np.concatenate(([True], (r[i][1:] != r[i][:-1]).any(axis=1)))[: len(i)]
         group, anchor = np.cumsum(new) - 1, np.cumsum(new_h) - 1
         times = np.bincount(group, weights=1 + flag[i]) if len(i) else np.zeros(0)
         different = np.bincount(anchor, weights=new)[anchor] if len(i) else np.zeros(0)
@@ -273,6 +275,8 @@ def remove_repeats(
     is a string. A null text is empty; texts shorter than ``length`` lose nothing; rows that repeat a text repeat its
     strings. Null ids stay null. An empty table gives an empty result. Rows are told apart by a 64-bit hash of id and text.
     """
+    if not gram < length <= 255:
+        raise ValueError("strings of more bytes than the gram and at most 255 are found")
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.xxhash64(F.col(id_col), text).alias("key"), F.col(id_col).alias("id"), text.alias("text"), *[F.col(c).alias(f"_{c}") for c in keep])
