@@ -143,7 +143,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, i
                 for s, k, seq, off in pieces(int(first), int(n), cuts, length):
                     piece = ids[s * w : (s + k) * w]
                     out.append((doc, s, k, piece, w, zlib.crc32(np.frombuffer(piece, f"<u{w}").astype("<u4")), n, seq, off))
-            yield pd.DataFrame(out, columns=["id", "start", "length", "ids", "width", "ids_crc32", "doc_tokens", "sequence_id", "offset"]).astype({"id": "Int64"})
+            names = ["id", "start", "length", "ids", "width", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+            ids_ = pd.array([None if pd.isna(r[0]) else int(r[0]) for r in out], "Int64")
+            yield pd.DataFrame([r[1:] for r in out], columns=names[1:]).assign(id=ids_)[names]
 
     whole = table.select("id", "row", "n", "ids", "width").join(placed.hint("merge"), "row")  # places grow with the corpus
     packed = map_slices(whole, cut, "id bigint, start bigint, length bigint, ids binary, width int, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")

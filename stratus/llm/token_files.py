@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .shared import file_system, fresh_path, map_slices, partitions_for, stored
 
-NO_ID = np.iinfo(np.int64).min
+#: The part of the rows without an id.
+NO_ID = 0
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, where: str, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> DataFrame:
@@ -36,7 +37,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, where: str,
         for frame in frames:
             encoder = word_encoder(tokenizer, special_as_text)
             end = np.array([end_id], encoder.dtype).tobytes()
-            part = [0 if pd.isna(x) else 1 + int(np.searchsorted(bounds, x)) for x in frame["id"]]
+            part = [NO_ID if pd.isna(x) else 1 + int(np.searchsorted(bounds, x)) for x in frame["id"]]
             yield pd.DataFrame({"part": part, "id": frame["id"], "ids": [x + end for x in encoder.encode(frame["text"].tolist())], "width": np.int32(encoder.dtype.itemsize)})
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -64,7 +65,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, where: str,
                 for x in rows["ids"]:
                     out.write(x)
                     offsets.append(offsets[-1] + len(x) // width)
-                doc_ids += [NO_ID if pd.isna(x) else int(x) for x in rows["id"]]
+                doc_ids += [0 if pd.isna(x) else int(x) for x in rows["id"]]
         if out is not None:
             yield finished()
 
@@ -86,7 +87,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for path, width, base in zip(frame["path"], frame["width"], frame["base"]):
+            for path, width, base, part in zip(frame["path"], frame["width"], frame["base"], frame["part"]):
                 fs, local = file_system(path)
                 with fs.open_input_file(local + ".off") as f:
                     off = np.frombuffer(f.read(), "<i8")
@@ -104,7 +105,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
                     j = min(j, len(doc))
                     block = get(off[i], off[j])
                     yield pd.DataFrame({
-                        "id": pd.array([None if x == NO_ID else int(x) for x in doc[i:j]], "Int64"),
+                        "id": pd.array([None] * (j - i) if part == NO_ID else doc[i:j], "Int64"),
                         "start": off[i:j] + base,
                         "n_tokens": np.diff(off[i : j + 1]),
                         "ids": [block[a:b].tobytes() for a, b in zip(off[i:j] - off[i], off[i + 1 : j + 1] - off[i])],
@@ -113,7 +114,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
                     })
                     i = j
 
-    listed = spark.createDataFrame([(r.path, r.width, b) for r, b in zip(rows, bases)], "path string, width int, base bigint").repartition(max(1, len(rows)))
+    listed = spark.createDataFrame([(r.path, r.width, b, r.part) for r, b in zip(rows, bases)], "path string, width int, base bigint, part int").repartition(max(1, len(rows)))
     return map_slices(listed, read, "id bigint, start bigint, n_tokens bigint, ids binary, ids_crc32 bigint, width int")
 
 
