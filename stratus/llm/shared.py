@@ -38,6 +38,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write a table into the shared folder and read it back: lineage ends here and no executor holds the only copy."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    _note(path)
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -50,6 +51,7 @@ class Tables:
 
     def stored(self, df: DataFrame, name: str) -> DataFrame:
         path = fresh_path(self.spark, name)
+        _note(path)
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[path] = out
@@ -59,11 +61,42 @@ class Tables:
         """Delete ``tables``, or all but ``keep``; nothing may read them later."""
         for path, df in list(self.paths.items()):
             if any(df is x for x in tables) if tables else not any(df is x for x in keep):
-                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+                delete(self.spark, path)
                 del self.paths[path]
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+_noted: list[list[str]] = []
+
+
+def _note(path: str) -> None:
+    for paths in _noted:
+        paths.append(path)
+
+
+class StageTables:
+    """Deletes the intermediate tables of a stage when the next one begins: its result is then written, and nothing reads
+    them any more."""
+
+    def __init__(self):
+        self.before: list[str] = []
+
+    @contextlib.contextmanager
+    def stage(self, spark: SparkSession):
+        for path in self.before:
+            delete(spark, path)
+        self.before = own = []
+        _noted.append(own)
+        try:
+            yield
+        finally:
+            _noted[:] = [x for x in _noted if x is not own]
+
+
 def file_system(uri: str):
     """(pyarrow file system, path) of a URI or of a plain local path."""
     from pyarrow import fs
