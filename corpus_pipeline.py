@@ -1,32 +1,51 @@
-"""A corpus in five stages, each over all that the stage before kept.
+"""A corpus in five stages, each over all that the stage before kept. A stage's intermediate tables are deleted when the
+next one begins, and its input when its result is written.
 
 quality classifier, exact dedup, n-gram Jaccard join, suffix-array dedup, packing.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stratus.llm import exact_dedup, jaccard, packing, quality, suffix_dedup
 from stratus.llm.queries import tokenizer_file
-from stratus.llm.shared import fresh_path
+from stratus.llm.shared import StageTables, delete, fresh_path
 
 #: No stage but the second has an SQL form.
 ORACLE_SQL = None
 
 
+_tables = StageTables()
+
+
+def stage(f):
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with _tables.stage(spark):
+            return f(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@stage
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@stage
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_exact_copies(docs)
 
 
+@stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard.keep_one_of_each(docs)
 
 
+@stage
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their repeated strings cut out, but for characters that a cut would part; ``n_chars`` follows.
     Texts of which nothing is left go. Columns stay as they are."""
@@ -37,6 +56,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cut.select(*docs.columns)
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed_pieces(docs, tokenizer_file("word_bpe_49k.json"))
 
@@ -51,9 +71,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, f in STAGES:
         path = fresh_path(spark, f"stage-{name.replace(' ', '-')}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        f(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
