@@ -2,7 +2,7 @@
 
 A string of ``length`` bytes belongs to the least hashed gram in it (the leftmost of equal ones), which is the same
 wherever the string occurs. Runs of strings with one such anchor form a region; an anchor seen once needs no sorting, and
-regions seen twice whole repeat whole. What is left are different regions of one anchor: one text of each goes to the
+regions seen twice whole, by a cryptographic hash of their bytes, repeat whole. What is left are different regions of one anchor: one text of each goes to the
 anchor's shard, and every shard is suffix-sorted on its own, as two equal strings always meet in one shard. The sort
 keeps text, arrays and queues of a large shard on disk. Regions that a task meets more than once go on as one, and their
 places travel apart from their anchor, so a frequent passage loads no shard with its occurrences. An anchor with many
@@ -32,11 +32,13 @@ HELD_ANCHORS, HELD_BYTES = 500_000, 8 << 20
 HOT_REGIONS, PART = 4096, 20
 #: Symbols of a shard, and bytes of input whose anchors meet in one bucket.
 SHARD_SYMBOLS, BUCKET_BYTES = 2 << 20, 8 << 20
+#: What tells the regions of one anchor apart: 80 bits of a cryptographic hash of their bytes.
+DIGEST = np.dtype([("a", "<u8"), ("b", "<u2")])
 KINDS = {"whole": 0, "sorted": 1, "match": 2}
 
 
 def anchored_runs(data: np.ndarray, spans: list[tuple[int, int]], length: int = LENGTH, gram: int = GRAM, limit: int | None = None) -> tuple[np.ndarray, ...]:
-    """(start, number of strings, hash of the anchor, digest of the region (two columns), anchor after the start) of the runs of strings within ``spans`` that
+    """(start, number of strings, hash of the anchor, digest of the region (in two columns), anchor after the start) of the runs of strings within ``spans`` that
     share one anchor; with ``limit``, of strings that start before it."""
     spans = [(a, b) for a, b in spans if b - a >= length]
     if not spans:
@@ -67,8 +69,12 @@ def anchored_runs(data: np.ndarray, spans: list[tuple[int, int]], length: int =
         keep = start < limit
         start, count = start[keep], np.minimum(count[keep], limit - start[keep])
     raw, last = data.tobytes(), (start + count + length - 1).tolist()
-    digests = b"".join([blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), last)])
-    return start, count, h[at[start]], np.frombuffer(digests, "<u8").reshape(-1, 2), at[start] - start
+    digests = np.frombuffer(b"".join([blake2b(raw[a:b], digest_size=DIGEST.itemsize).digest() for a, b in zip(start.tolist(), last)]), DIGEST)
+    return start, count, h[at[start]], _two(digests), at[start] - start
+
+
+def _two(digests: np.ndarray) -> np.ndarray:
+    return np.stack((digests["a"], digests["b"].astype(U64)), axis=1)
 
 
 def _runs(texts: list[bytes], length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -115,9 +121,12 @@ def repeated_anchors(rows: DataFrame, length: int, gram: int, buckets: int) -> D
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             own, out = np.array(keys, np.int64), []
             for b in np.flatnonzero(np.diff(cuts)):
-                i = at[order[cuts[b] : cuts[b + 1]]]
+                i, f = at[order[cuts[b] : cuts[b + 1]]], flag[order[cuts[b] : cuts[b + 1]]]
                 used, place = np.unique(doc[i], return_inverse=True)
-                out.append((int(b), h[i].tobytes(), r[i].tobytes(), place.astype("<u2").tobytes(), start[i].astype("<u4").tobytes(), n[i].astype("u1").tobytes(), off[i].astype("u1").tobytes(), flag[order[cuts[b] : cuts[b + 1]]].tobytes(), own[used].tobytes()))
+                one = i[f < 2]  # places of repeats need neither anchor nor region
+                digests = np.empty(len(one), DIGEST)
+                digests["a"], digests["b"] = r[one, 0], r[one, 1]
+                out.append((int(b), h[one].tobytes(), digests.tobytes(), place.astype("<u2").tobytes(), start[i].astype("<u4").tobytes(), n[i].astype("u1").tobytes(), off[one].astype("u1").tobytes(), f.tobytes(), own[used].tobytes()))
             return pd.DataFrame(out, columns=["bucket", "anchor", "region", "place", "start", "n", "off", "flag", "keys"])
 
         count = 0
@@ -138,7 +147,9 @@ def repeated_anchors(rows: DataFrame, length: int, gram: int, buckets: int) -> D
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
         cat = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in frame[c]])
-        h, r, start, n, off, flag = cat("anchor", "<u8"), cat("region", "<u8").reshape(-1, 2), cat("start", "<u4").astype(np.int64), cat("n", "u1").astype(np.int64), cat("off", "u1"), cat("flag", "u1")
+        start, n, flag = cat("start", "<u4").astype(np.int64), cat("n", "u1").astype(np.int64), cat("flag", "u1")
+        h, r, off = np.zeros(len(flag), U64), np.zeros((len(flag), 2), U64), np.zeros(len(flag), np.uint8)
+        h[flag < 2], r[flag < 2], off[flag < 2] = cat("anchor", "<u8"), _two(cat("region", DIGEST)), cat("off", "u1")
         key = np.concatenate([np.frombuffer(k, "<i8")[np.frombuffer(p, "<u2")] for k, p in zip(frame["keys"], frame["place"])])
         i = np.flatnonzero(flag < 2)
         i = i[np.lexsort((r[i, 1], r[i, 0], h[i]))]
