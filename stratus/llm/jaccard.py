@@ -114,7 +114,7 @@ def set_digest(h: np.ndarray) -> bytes:
     return (int(np.add.reduce(mix(h ^ U64(1)))) << 64 | int(np.bitwise_xor.reduce(mix(h)))).to_bytes(16, "little")
 
 
-def shingle_info(docs: DataFrame, width: int, key: tuple[int, int]) -> DataFrame:
+def shingle_info(docs: DataFrame, width: int, key: tuple[int, int] = (1, 2)) -> DataFrame:
     """doc_id, n_shingles, digest of the set, sketch: one row per input row."""
 
     def run(frames):
@@ -125,7 +125,7 @@ def shingle_info(docs: DataFrame, width: int, key: tuple[int, int]) -> DataFrame
     return map_slices(docs, run, "doc_id bigint, n_shingles bigint, digest binary, sketch binary")
 
 
-def key_groups(docs: DataFrame, width: int, percent: int, largest: int, buckets: int, key: tuple[int, int]) -> DataFrame:
+def key_groups(docs: DataFrame, width: int, percent: int, largest: int, buckets: int, key: tuple[int, int] = (1, 2)) -> DataFrame:
     """Ties ``(lead, member, n)`` and, for keys of three documents or more, ``(lead, grp, members)``, in as many rows as need be;
     ``lead`` is a key's smallest document."""
     lows = bands(percent, largest)
