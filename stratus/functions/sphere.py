@@ -28,7 +28,7 @@ def lon_diff(a: Column, b: Column) -> Column:
 
 def haversine_from_diff(dlon: Column, lat1: Column, lat2: Column) -> Column:
     h = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2.0) + degcos(lat1) * degcos(lat2) * F.pow(F.sin(F.radians(dlon) / 2), 2.0)
-    return F.asin(F.sqrt(F.least(F.lit(1.0), h))) * (2 * RADIUS)
+    return F.asin(F.sqrt(F.when(h > 1.0, 1.0).otherwise(h))) * (2 * RADIUS)  # null where a point is
 
 
 def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:

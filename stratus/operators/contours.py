@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from stratus.functions.sphere import RADIUS, haversine
+
+from .graph import connected_components, cut_lineage
+
+#: Points of a line that are met together.
+STRETCH = 64
+
 
 def segments(grid: DataFrame, col: str, levels: list[float], keys: list[str], nlon: int | None = None) -> DataFrame:
     """Marching squares: one row for each piece of an iso-line in a grid cell, with named crossing edges ``a`` and ``b``.
@@ -111,6 +120,84 @@ def streamers(points: DataFrame, keys: list[str], index: str, max_real: float, m
     return best.withColumn("__b", before).where(F.col("__b").isNull() | (F.col("j") > F.col("__b"))).select(*keys, "i", "j", "dist", "length")
 
 
+def sphere_pairs(points: DataFrame, keys: list[str], index: str, reach: float) -> DataFrame:
+    """Pairs i < j of one line nearer than ``reach`` metres, met in neighbouring cubes around the sphere, over seam and poles."""
+    chord = 2.0 * math.sin(min(reach / RADIUS / 2.0, math.pi / 2.0)) * (1 + 1e-9)
+    x = {"x": F.cos(F.radians("lat")) * F.cos(F.radians("lon")), "y": F.cos(F.radians("lat")) * F.sin(F.radians("lon")), "z": F.sin(F.radians("lat"))}
+    cubes = points.select(*keys, index, "lon", "lat", *[F.floor(v / chord).alias(f"__{k}") for k, v in x.items()])
+    around = F.array(*[F.struct(*[F.lit(d).alias(n) for n, d in zip("xyz", (a, b, c))]) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
+    right = cubes.select(*keys, F.col(index).alias("j"), F.col("lon").alias("lon_j"), F.col("lat").alias("lat_j"), *[f"__{k}" for k in "xyz"], F.explode(around).alias("o"))
+    right = right.select(*keys, "j", "lon_j", "lat_j", *[(F.col(f"__{k}") + F.col(f"o.{k}")).alias(f"__{k}") for k in "xyz"])
+    far = haversine(F.col("lon"), F.col("lat"), F.col("lon_j"), F.col("lat_j"))
+    near = cubes.withColumnRenamed(index, "i").join(right, [*keys, "__x", "__y", "__z"]).where("i < j").withColumn("dist", far)
+    return near.where(F.col("dist") < reach).select(*keys, "i", "j", "dist")
+
+
+def _arc_cells(arcs: DataFrame, keys: list[str]) -> DataFrame:
+    """``arcs`` once for each stretch of ``STRETCH`` points that they cover on their line of ``n`` points."""
+    cells = F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("size"), F.lit(STRETCH)), lambda k: F.floor(F.pmod(F.col("start") + k, F.col("n")) / STRETCH)))
+    ends = F.array(F.floor(F.pmod(F.col("start") + F.col("size"), F.col("n")) / STRETCH), F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / STRETCH))
+    over = F.col("start") + F.col("size") >= F.col("n")
+    ends = F.when(over, ends).otherwise(F.slice(ends, 1, 1))
+    return arcs.withColumn("__cell", F.explode(F.array_union(cells, ends)))
+
+
+def ring_streamers(points: DataFrame, keys: list[str], index: str, max_real: float, min_along: float, max_along: float, min_ratio: float, share: float = 0.8) -> DataFrame:
+    """Streamers of lines that may be closed (``cyclic``): where two points are near on the sphere but far along the line.
+
+    ``index`` counts each line's points from 0. A pair's arc is the shorter way along the line, for a closed one also over
+    its first point; lengths are in metres. Of the pairs with an arc between ``min_along`` and ``max_along`` and over
+    ``min_ratio`` times their distance, those stay that are nearest for both of their points and whose arc lies within no
+    longer one. Arcs that share over ``share`` of the smaller one's points, also by way of others, become one. Columns:
+    keys, streamer, start (first point), size (steps from it), n (points of the line), pairs (that were united), dist (least).
+    """
+    w, line = Window.partitionBy(*keys).orderBy(index), Window.partitionBy(*keys)
+    step = F.coalesce(haversine(F.lag("lon").over(w), F.lag("lat").over(w), F.col("lon"), F.col("lat")), F.lit(0.0))
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    close = haversine(F.first("lon").over(whole), F.first("lat").over(whole), F.last("lon").over(whole), F.last("lat").over(whole))
+    rows = points.select(*keys, F.col(index).cast("bigint").alias("k"), "lon", "lat", "cyclic").withColumnRenamed("k", index).withColumn("__d", step)
+    rows = rows.withColumns({"s": F.sum("__d").over(w), "n": F.count("*").over(line), "round": F.sum("__d").over(line) + close})
+    at = lambda c: rows.select(*keys, F.col(index).alias(c), F.col("s").alias(f"s_{c}"), *(["n", "round", "cyclic"] if c == "i" else []))
+    pairs = sphere_pairs(rows, keys, index, max_real).join(at("i"), [*keys, "i"]).join(at("j"), [*keys, "j"])
+    ahead, back = F.col("s_j") - F.col("s_i"), F.col("round") - (F.col("s_j") - F.col("s_i"))
+    forward = ~F.col("cyclic") | (ahead <= back)
+    pairs = pairs.withColumns({"along": F.when(forward, ahead).otherwise(back), "start": F.when(forward, F.col("i")).otherwise(F.col("j")), "size": F.when(forward, F.col("j") - F.col("i")).otherwise(F.col("n") - (F.col("j") - F.col("i")))})
+    pairs = pairs.where((F.col("along") > min_along) & (F.col("along") < max_along) & (F.col("along") > min_ratio * F.col("dist")))
+    least = lambda c: F.min("dist").over(Window.partitionBy(*keys, c))
+    best = pairs.withColumns({"__mi": least("i"), "__mj": least("j")}).where((F.col("dist") == F.col("__mi")) & (F.col("dist") == F.col("__mj")))
+    arcs = cut_lineage(best.select(*keys, "start", "size", "n", "dist").withColumn("id", F.xxhash64(*keys, "start", "size")))
+
+    own = [*keys, "__cell"]
+    wide = _arc_cells(arcs, keys).select(*own, *[F.col(c).alias(f"{c}_w") for c in ("id", "start", "size")])
+    holds = lambda p: F.pmod(p - F.col("start_w"), F.col("n")) <= F.col("size_w")
+    first = arcs.withColumn("__cell", F.floor(F.col("start") / STRETCH)).join(wide, own).where(F.col("size_w") > F.col("size"))
+    nested = first.where(holds(F.col("start")) & holds(F.pmod(F.col("start") + F.col("size"), F.col("n")))).select("id").distinct()
+    arcs = cut_lineage(arcs.join(nested, "id", "left_anti").select(*arcs.columns))
+
+    middle = F.pmod(F.col("start") + F.floor(F.col("size") / 2), F.col("n"))
+    wide = _arc_cells(arcs, keys).select(*own, *[F.col(c).alias(f"{c}_w") for c in ("id", "start", "size")])
+    met = arcs.withColumn("__cell", F.floor(middle / STRETCH)).join(wide, own).where((F.col("id_w") != F.col("id")) & (F.col("size_w") >= F.col("size")))
+    a, b = F.col("start"), F.col("start_w")
+    both = sum((F.greatest(F.least(a + F.col("size"), b + F.col("size_w") + F.col("n") * t) - F.greatest(a, b + F.col("n") * t) + 1, F.lit(0)) for t in (-1, 0, 1)), F.lit(0))
+    ties = met.where(both > share * (F.col("size") + 1)).select(F.col("id").alias("a"), F.col("id_w").alias("b")).distinct()
+    groups = connected_components(ties)
+    named = arcs.join(groups, arcs.id == groups.node, "left").withColumn("__of", F.coalesce("component", "id")).drop("node", "component")
+    lead = named.where("id = __of").select("__of", F.col("start").alias("__a"))
+    named = named.join(lead, "__of")
+    shift = F.col("start") - F.col("__a")
+    shift = shift - F.col("n") * F.round(shift / F.col("n")).cast("bigint")
+    out = named.withColumn("__s", shift).groupBy(*keys, "__of", "__a", "n").agg(F.min("__s").alias("__lo"), F.max(F.col("__s") + F.col("size")).alias("__hi"), F.count("*").alias("pairs"), F.min("dist").alias("dist"))
+    out = out.select(*keys, F.pmod(F.col("__a") + F.col("__lo"), F.col("n")).alias("start"), F.least(F.col("__hi") - F.col("__lo"), F.col("n") - 1).alias("size"), "n", "pairs", "dist")
+    return out.withColumn("streamer", F.row_number().over(Window.partitionBy(*keys).orderBy("start", "size")).cast("bigint") - 1).select(*keys, "streamer", "start", "size", "n", "pairs", "dist")
+
+
+def streamer_points(streamers: DataFrame, points: DataFrame, keys: list[str], index: str) -> DataFrame:
+    """The points of each streamer in order along its line: keys, streamer, step, and the points' columns."""
+    steps = streamers.select(*keys, "streamer", "start", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size"))).alias("step"))
+    steps = steps.withColumn(index, F.pmod(F.col("start") + F.col("step"), F.col("n"))).drop("start", "n")
+    return steps.join(points, [*keys, index])
+
+
 def event_points(points: DataFrame, keys: list[str], index: str) -> DataFrame:
     """Points array and envelope of each event."""
     seq = F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), "lon", "lat")))

@@ -105,21 +105,10 @@ def speed_of_centre(props: DataFrame, track: list[str], order: str, seconds: flo
     return props.withColumn("com_speed", moved / (seconds * (F.col(order) - F.lag(order).over(w))))
 
 
-def gmix_categorise(jets: DataFrame, features: list[str], period: str, hot: str, n: int = 2, seed: int = 0) -> DataFrame:
-    """``is_polar`` by a Gaussian mixture for each period (few of them); components match between periods by the mean of
-    ``hot``, whose higher one is subtropical."""
-    from functools import reduce
-
-    from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    rows = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="skip").transform(jets)
-    out = []
-    for r in rows.select(period).distinct().orderBy(period).collect():  # weeks, months or seasons
-        part = rows.where(F.col(period) == r[0])
-        model = GaussianMixture(k=n, featuresCol="__x", probabilityCol="__p", predictionCol="__l", seed=seed).fit(part)
-        means = [g.mean[features.index(hot)] for g in model.gaussians]
-        cold = min(range(n), key=means.__getitem__)
-        out.append(model.transform(part).withColumn("is_polar", vector_to_array("__p")[cold]).drop("__x", "__p", "__l"))
-    return reduce(DataFrame.unionByName, out)
+def gmix_categorise(jets: DataFrame, features: list[str], period: str, hot: str, n: int = 2, highest: bool = True, mode: str = "score", sweeps: int = 2, rounds: int = 20) -> DataFrame:
+    """``is_polar`` by Gaussian mixtures, one for each period, all fitted at once, each seeded by the period before it; the
+    component with the highest (or lowest) mean of ``hot`` is subtropical. Rows with a null feature stay, with a null."""
+    from .mixtures import categorise, fit
+
+    by = features.index(hot)
+    return categorise(jets, features, period, fit(jets, features, period, n, by, sweeps, rounds), by, highest, mode)

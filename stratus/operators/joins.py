@@ -120,21 +120,11 @@ def run_difference(a: DataFrame, b: DataFrame, keys: list[str], cols: list[str])
     return a.join(right, keys).select(*keys, *[(F.col(c) - F.col(f"__{c}")).alias(c) for c in cols])
 
 
-def spatial_join(events: DataFrame, grid: DataFrame, key: str = "event", on: list[str] = ()) -> DataFrame:
-    """Grid nodes inside each event's polygon (``points``: an array of lon, lat, closed by itself), of equal ``on``.
+def spatial_join(events: DataFrame, grid: DataFrame, key: str = "event", on: list[str] = (), wrap: bool = True) -> DataFrame:
+    """Grid nodes inside each event's polygon; see :func:`stratus.operators.polygons.nodes_inside`."""
+    from .polygons import nodes_inside
 
-    Events meet the nodes of their bounding box by whole degrees of both axes, then a ray is cast through the ring as a fold.
-    """
-    ends = [f(F.col(f"points.{c}")).alias(f"__{c}{k}") for c in ("lat", "lon") for f, k in ((F.array_min, 0), (F.array_max, 1))]
-    degrees = lambda c: F.explode(F.sequence(F.floor(f"__{c}0"), F.floor(f"__{c}1")))
-    rows = events.select(key, *on, "points", *ends).withColumn("__row", degrees("lat")).withColumn("__col", degrees("lon"))
-    joined = rows.join(grid.withColumns({"__row": F.floor("lat"), "__col": F.floor("lon")}), [*on, "__row", "__col"])
-    n = F.size("points")
-    ring = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.element_at("points", i).alias("a"), F.element_at("points", F.when(i == n, 1).otherwise(i + 1)).alias("b")))
-    crosses = lambda e: (e.a.lat > F.col("lat")) != (e.b.lat > F.col("lat"))
-    east = lambda e: F.col("lon") < (e.b.lon - e.a.lon) * (F.col("lat") - e.a.lat) / (e.b.lat - e.a.lat) + e.a.lon
-    odd = F.aggregate(ring, F.lit(0), lambda acc, e: acc + F.when(crosses(e), F.when(east(e), 1).otherwise(0)).otherwise(0)) % 2 == 1
-    return joined.where(odd).select(key, *grid.columns)
+    return nodes_inside(events, grid, key, list(on), wrap)
 
 
 def rasterize(covered: DataFrame, grid: DataFrame, on: list[str], value: Column) -> DataFrame:

@@ -6,8 +6,11 @@ step is missing, runs break.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .automata import greedy_runs, scan
+
 
 def _over(keys: list[str], order: str | list[str]):
     return Window.partitionBy(*keys).orderBy(*([order] if isinstance(order, str) else order))
@@ -206,29 +209,65 @@ def fir_filter(df: DataFrame, col: str, keys: list[str], order: str, weights: li
 def label_spells(df: DataFrame, keys: list[str], order: str, label: str, distances: dict[tuple[int, int], float] | None = None, sigma: float = 0.0, min_len: int = 1) -> DataFrame:
     """Greedy runs of labels that stay within ``sigma`` of the run's first label; value is the most frequent label.
 
-    With sigma 0 these are plain runs; else a fold over each group's ordered labels, a year's worth of them.
+    With sigma 0 these are plain runs; else an automaton of a state a label scans each group by blocks, and ``run`` counts
+    the runs of the group. Orders are then distinct whole numbers; the labels are those of a map, few of them.
     """
     if sigma <= 0 or not distances:
         rows = run_id(df, label, keys, order)
-    else:
-        far = F.create_map(*[F.lit(x) for (a, b), d in distances.items() for x in (f"{a},{b}", float(d))])
-        seq = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(label).alias("l"))))
-        start = F.struct(F.lit(-1).cast("bigint").alias("run"), F.lit(None).cast(dict(df.dtypes)[label]).alias("first"), F.array().cast("array<bigint>").alias("runs"))
-
-        def step(acc, x):
-            stays = F.coalesce(far[F.concat_ws(",", acc.first, x.l)] <= sigma, acc.first.eqNullSafe(x.l))
-            run = F.when(stays, acc.run).otherwise(acc.run + 1)
-            return F.struct(run.alias("run"), F.when(stays, acc.first).otherwise(x.l).alias("first"), F.concat(acc.runs, F.array(run)).alias("runs"))
-
-        folded = df.groupBy(*keys).agg(seq.alias("q")).withColumn("r", F.aggregate("q", start, step, lambda a: a.runs))
-        rows = folded.select(*keys, F.explode(F.arrays_zip("q", "r")).alias("z")).select(*keys, F.col("z.q.o").alias(order), F.col("z.q.l").alias(label), F.col("z.r").alias("run"))
-    out = rows.groupBy(*keys, "run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("len"), F.mode(label, True).alias("value"))
-    return out.where(F.col("len") >= min_len)
+        out = rows.groupBy(*keys, "run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("len"), F.mode(label, True).alias("value"))
+        return out.where(F.col("len") >= min_len)
+    names = sorted(r[0] for r in df.select(label).where(F.col(label).isNotNull()).distinct().collect())
+    table = np.full((len(names) + 1, len(names) + 1), np.nan)  # the last stands for null
+    for i, a in enumerate(names):
+        for k, b in enumerate(names):
+            table[i, k] = distances.get((a, b), np.nan)
+    number = F.create_map(*[F.lit(x) for i, a in enumerate(names) for x in (a, i)])[F.col(label)] if names else F.lit(None)
+    rows = scan(df.select(*keys, order, F.coalesce(number, F.lit(len(names))).alias("__l")), keys, order, "__l", *greedy_runs(table, sigma))
+    back = F.element_at(F.array(*[F.lit(x) for x in (*names, None)]).cast(f"array<{dict(df.dtypes)[label]}>"), (F.col("__l") + 1).cast("int"))
+    out = rows.withColumn("__v", back).groupBy(*keys, "since").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("len"), F.mode("__v", True).alias("value"))
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("since")).cast("bigint") - 1
+    return out.withColumn("run", number).where(F.col("len") >= min_len).select(*keys, "run", "first", "last", "len", "value")
+
+
+def label_jumps(df: DataFrame, keys: list[str], order: str, label: str, distances: dict[tuple[int, int], float] | None = None) -> DataFrame:
+    """How often a label follows another one, and with ``distances`` how far all changes go together."""
+    before = F.lag(label).over(_over(keys, order))
+    rows = df.withColumn("__m", (F.col(label) != before).cast("bigint"))
+    if distances is None:
+        return rows.groupBy(*keys).agg(F.sum("__m").alias("jumps"))
+    far = F.create_map(*[F.lit(x) for (a, b), d in distances.items() for x in (f"{a},{b}", float(d))])
+    rows = rows.withColumn("__d", far[F.concat_ws(",", before, F.col(label))])
+    return rows.groupBy(*keys).agg(F.sum("__m").alias("jumps"), F.sum("__d").alias("distance"))
+
+
+def longest_stays(df: DataFrame, keys: list[str], order: str, label: str, group: str, spells: DataFrame, q: float = 0.9) -> DataFrame:
+    """By spell the longest stay in one label, against all windows of as many rows that start in the same group (a month).
+
+    ``df`` has keys, order, label and group; ``spells`` has spell, keys, the order of its first row and ``len``. Columns:
+    spell, len, longest, windows, threshold (the q-quantile of the windows' longest stays), significant. Windows that the
+    series ends within are left out; so are spells that do.
+    """
+    most = spells.agg(F.max("len")).first()[0] or 1
+    ahead = F.collect_list(F.struct(F.col(label).alias("l"))).over(_over(keys, order).rowsBetween(0, int(most) - 1))
+    starts = df.select(*keys, order, F.col(group).alias("__g"), ahead.alias("__w"))
 
+    def stay(n):
+        begin = F.struct(F.lit(0).alias("now"), F.lit(0).alias("best"), F.struct(F.lit(None).cast(dict(df.dtypes)[label]).alias("l")).alias("last"))
 
-def label_jumps(df: DataFrame, keys: list[str], order: str, label: str) -> DataFrame:
-    moved = F.col(label) != F.lag(label).over(_over(keys, order))
-    return df.withColumn("__m", moved.cast("bigint")).groupBy(*keys).agg(F.sum("__m").alias("jumps"))
+        def step(acc, x):
+            now = F.when(acc.last.eqNullSafe(x), acc.now + 1).otherwise(1)
+            return F.struct(now.alias("now"), F.greatest(acc.best, now).alias("best"), x.alias("last"))
+
+        return F.aggregate(F.slice("__w", 1, n), begin, step, lambda a: a.best).cast("bigint")
+
+    whole = F.size("__w") >= F.col("len")
+    own = spells.select("spell", *keys, order, F.col("len").cast("int").alias("len")).join(starts, [*keys, order]).where(whole)
+    own = own.select("spell", "len", "__g", stay(F.col("len")).alias("longest"))
+    asked = own.select("len", "__g").distinct()
+    other = starts.join(F.broadcast(asked), "__g").where(whole).select("__g", "len", stay(F.col("len")).alias("__s"))  # lengths by groups, a few hundred rows
+    drawn = other.groupBy("__g", "len", "__s").agg(F.count("*").alias("__n"))
+    drawn = drawn.groupBy("__g", "len").agg(F.percentile("__s", q, F.col("__n")).alias("threshold"), F.sum("__n").alias("windows"))
+    return own.join(drawn, ["__g", "len"]).select("spell", "len", "longest", "windows", "threshold", (F.col("longest") >= F.col("threshold")).alias("significant"))
 
 
 def decorrelation(acf: DataFrame, lag: str = "lag", rho: str = "rho") -> DataFrame:

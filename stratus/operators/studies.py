@@ -5,8 +5,6 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stratus.functions.sphere import RADIUS
@@ -136,26 +134,3 @@ def tercile_combinations(df: DataFrame, features: list[str], target: str, fold:
     hot = df.crossJoin(F.broadcast(cuts)).withColumns({f"{c}_low": (F.col(c) <= F.col(f"__{c}")[0]).cast("double") for c in features} | {f"{c}_high": (F.col(c) > F.col(f"__{c}")[1]).cast("double") for c in features})
     out = [scores(predict(hot, [f"{c}_{k}" for c in some for k in ("low", "high")], target, fold, n), F.col(target) == 1, "prob").select(F.lit(",".join(some)).alias("features"), "auc") for some in combinations(features, size)]
     return reduce(DataFrame.unionByName, out)
-
-
-def covariance_patterns(x: DataFrame, y: DataFrame, on: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(left patterns, covariances, right patterns) of two tables (``on``, ``v``: an array a step): leading singular vectors of
-    their cross-covariance. Partitions add up products of their steps; one matrix of cells by cells comes to the driver."""
-    joined = x.select(on, F.col("v").alias("a")).join(y.select(on, F.col("v").alias("b")), on)
-
-    def products(frames):
-        total = 0.0
-        for frame in frames:
-            if len(frame):
-                a, b = (np.column_stack((np.stack(frame[c].to_numpy()), np.ones(len(frame)))) for c in ("a", "b"))
-                total = total + a.T @ b  # the last row and column hold the sums, the corner the count
-        if not np.isscalar(total):
-            yield pd.DataFrame({"i": range(len(total)), "row": total.tolist()})
-
-    rows = joined.mapInPandas(products, "i int, row array<double>").select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
-    m = np.zeros((max(r.i for r in rows) + 1, max(r.j for r in rows) + 1))
-    for r in rows:
-        m[r.i, r.j] = r.v
-    n = m[-1, -1]
-    u, s, vt = np.linalg.svd((m[:-1, :-1] - np.outer(m[:-1, -1], m[-1, :-1]) / n) / (n - 1), full_matrices=False)
-    return u[:, :k], s[:k], vt[:k]

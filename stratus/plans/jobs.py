@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stratus.operators import aggregate as A, contours as C, grid as G, jets as JT, joins as J, learn as L, select as E, sequence as Q, stats as T, studies as U, tracking as TR
+from stratus.operators import aggregate as A, contours as C, grid as G, jets as JT, joins as J, learn as L, patterns as PT, select as E, sequence as Q, stats as T, studies as U, tracking as TR
 from stratus.operators.graph import cut_lineage
 
 from . import roles
-from .queries import _full, _spells, query, r
+from .queries import R, _full, _spells, query, r
 
 
 def jet_pipeline(grid: DataFrame, keys: list[str], order: str, first, step, split: float = 40.0, max_dist: float = 4e6, min_overlap: float = 0.1, seconds: float = 21_600.0, **find) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -30,7 +30,7 @@ def wave_breaking_pipeline(grid: DataFrame, keys: list[str], col: str, levels: l
     lines = C.contours(G.gaussian_smooth(grid, col, keys, 0.5, 0.5), col, levels, keys, nlon, min_points)
     found = cut_lineage(C.overturnings(lines, [*keys, "level", "contour"], **fold).withColumn("fold", F.xxhash64(*keys, "level", "contour", "event")))
     ring = F.array(*[F.struct((F.col(x) + a).alias("lon"), (F.col(y) + b).alias("lat")) for x, y, a, b in (("west", "south", -0.5, -0.5), ("east", "south", 0.5, -0.5), ("east", "north", 0.5, 0.5), ("west", "north", -0.5, 0.5))])
-    nodes = cut_lineage(J.spatial_join(found.select("fold", *keys, ring.alias("points")), grid.select(*keys, "ilon", "ilat", "lon", "lat", col), "fold", keys))
+    nodes = cut_lineage(J.spatial_join(found.select("fold", *keys, ring.alias("points")), grid.select(*keys, "ilon", "ilat", "lon", "lat", col), "fold", keys, wrap=False))
     events = found.join(A.event_props(nodes, ["fold"], dlon, dlat, [col]), "fold").select("fold", "orientation", "level", "area", "com_x", "com_y")
     return C.wave_break_masks(events, nodes.select("fold", *keys, "ilon", "ilat"), grid, ["fold"], [*keys, "ilon", "ilat"], classes)
 
@@ -130,10 +130,30 @@ def e07_association(spark, sf):
     return association_tests(d, "price", ["jet"], "doy", "year", "day", 5, 0.8, flags, ["day"], F.col("busy"))
 
 
+def zonal_means(spark, sf, col: str) -> DataFrame:
+    return roles.field(spark, sf).groupBy("step", "ilat").agg(F.avg(col).alias("v"))
+
+
 @query()
 def l18_covariance_patterns(spark, sf):
     """Leading coupled patterns of the zonal means of two fields, as rows."""
-    zonal = lambda c: roles.field(spark, sf).groupBy("step", "ilat").agg(F.avg(c).alias("v")).groupBy("step").agg(F.array_sort(F.collect_list(F.struct("ilat", "v"))).alias("q")).where(F.size("q") == 18).select("step", F.transform("q", lambda p: p.v).alias("v"))
-    left, cov, right = U.covariance_patterns(zonal("u"), zonal("v"), "step", 2)
-    rows = [(k, i, float(abs(left[i, k])), float(abs(right[k, i])), float(cov[k])) for k in range(len(cov)) for i in range(len(left))]
-    return spark.createDataFrame(rows, "pattern int, ilat int, left double, right double, cov double")
+    left, right, cov = PT.coupled_patterns(zonal_means(spark, sf, "u"), zonal_means(spark, sf, "v"), "step", "ilat", "v", 2)
+    strength = spark.createDataFrame(list(enumerate(cov)), "pattern int, cov double")
+    both = left.withColumnRenamed("loading", "left").join(right.withColumnRenamed("loading", "right"), ["cell", "pattern"], "full")
+    return both.join(F.broadcast(strength), "pattern").select("pattern", F.col("cell").alias("ilat"), "left", "right", "cov")
+
+
+@query(f"""SELECT a.ilat AS a, b.ilat AS b, count(*) AS n, {R('CASE WHEN count(*) > 1 THEN covar_samp(a.v, b.v) END')} AS cov
+    FROM (SELECT step, ilat, avg(u) AS v FROM field GROUP BY 1, 2) a JOIN (SELECT step, ilat, avg(v) AS v FROM field GROUP BY 1, 2) b USING (step) GROUP BY 1, 2""", roles.FIELD)
+def l18_cell_covariances(spark, sf):
+    return PT.cell_covariances(zonal_means(spark, sf, "u"), zonal_means(spark, sf, "v"), "step", "ilat", "v").select("a", "b", "n", r("cov").alias("cov"))
+
+
+@query()
+def l02_wide_patterns(spark, sf):
+    """Principal patterns of the whole field, a cell a node: variance and largest loadings of each."""
+    f = roles.field(spark, sf).select("step", (F.col("ilat") * 36 + F.col("ilon")).alias("cell"), "s")
+    patterns, scores, variances = PT.principal_patterns(f, "step", "cell", "s", 3)
+    of = spark.createDataFrame(list(enumerate(variances)), "pattern int, variance double")
+    most = patterns.groupBy("pattern").agg(F.count("*").alias("cells"), F.sum(F.col("loading") * F.col("loading")).alias("length"))
+    return most.join(scores.groupBy("pattern").agg(F.var_samp("score").alias("spread")), "pattern").join(F.broadcast(of), "pattern")

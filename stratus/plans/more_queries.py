@@ -448,7 +448,7 @@ def a56_label_at_onset(spark, sf):
 
 # metrics of jets --------------------------------------------------------------------------------------------------------
 
-HAV = "2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians(lat - la) / 2), 2) + cos(radians(la)) * cos(radians(lat)) * pow(sin(radians(lon - lo) / 2), 2))))"
+HAV = "2 * 6371000.0 * asin(sqrt(CASE WHEN pow(sin(radians(lat - la) / 2), 2) + cos(radians(la)) * cos(radians(lat)) * pow(sin(radians(lon - lo) / 2), 2) > 1 THEN 1 ELSE pow(sin(radians(lat - la) / 2), 2) + cos(radians(la)) * cos(radians(lat)) * pow(sin(radians(lon - lo) / 2), 2) END))"
 PROPS = f"""pl AS (SELECT *, lag(lat) OVER w AS la, lag(lon) OVER w AS lo, lag(s) OVER w AS sl, coalesce((((lon - lag(lon) OVER w + 180) % 360 + 360) % 360) - 180, 0) AS dx,
         abs(lat - lag(lat) OVER (PARTITION BY jet_id ORDER BY lon, index)) AS dlat, avg(v) OVER (PARTITION BY jet_id) AS vbar FROM paths WINDOW w AS (PARTITION BY jet_id ORDER BY index)),
     px AS (SELECT *, sum(dx) OVER (PARTITION BY jet_id ORDER BY index) AS x, {HAV} AS d FROM pl)"""
@@ -939,8 +939,7 @@ def t13_season_onset(spark, sf):
 @query()
 def t11_mixture(spark, sf):
     """Polar or subtropical by a mixture of two normal distributions for each season of starts."""
-    p = roles.paths(spark, sf).withColumn("period", F.floor(F.col("index") / 40).cast("int")).where("period < 2")
-    p = p.unionByName(roles.paths(spark, sf).withColumn("period", F.floor(F.col("index") / 40).cast("int")).where("period >= 2").withColumn("period", F.lit(2)))
+    p = roles.paths(spark, sf).withColumn("period", F.least(F.floor(F.col("index") / 40), F.lit(2)).cast("int"))
     return JT.gmix_categorise(p.drop("is_polar"), ["lat", "s"], "period", "s").groupBy("period").agg(F.count("*").alias("n"), r(F.avg("is_polar"), 3).alias("is_polar"))
 
 

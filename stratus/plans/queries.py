@@ -347,7 +347,7 @@ def a02_circular_mean(spark, sf):
     return roles.paths(spark, sf).groupBy("jet_id").agg(r(M.weighted_mean(F.col("lat"), F.col("s"))).alias("mean_lat"), r(M.circular_mean(F.col("lon"), F.col("s")), 4).alias("mean_lon"))
 
 
-HAVERSINE = "2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians(lat - la) / 2), 2) + cos(radians(la)) * cos(radians(lat)) * pow(sin(radians(lon - lo) / 2), 2))))"
+HAVERSINE = "2 * 6371000.0 * asin(sqrt(CASE WHEN pow(sin(radians(lat - la) / 2), 2) + cos(radians(la)) * cos(radians(lat)) * pow(sin(radians(lon - lo) / 2), 2) > 1 THEN 1 ELSE pow(sin(radians(lat - la) / 2), 2) + cos(radians(la)) * cos(radians(lat)) * pow(sin(radians(lon - lo) / 2), 2) END))"
 
 
 @query(f"SELECT jet_id, {R(f'coalesce(sum({HAVERSINE} * (s + sl) / 2), 0) / 1e6', 4)} AS int FROM (SELECT *, lag(lat) OVER w AS la, lag(lon) OVER w AS lo, lag(s) OVER w AS sl FROM paths WINDOW w AS (PARTITION BY jet_id ORDER BY index)) GROUP BY jet_id", PATHS)
@@ -713,4 +713,4 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t10_persistent_spells(spark, sf_dir)
 
 
-from . import jobs, more_queries  # noqa: E402, F401  they register their queries
+from . import jobs, more_queries, shape_queries  # noqa: E402, F401  they register their queries

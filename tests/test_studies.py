@@ -97,16 +97,6 @@ def test_trend_baseline_is_logistic_regression(spark):
         assert max(abs(r.prob - p[r.t]) for r in got if r.k == k) < 1e-6
 
 
-def test_coupled_patterns(spark):
-    rng = np.random.default_rng(4)
-    a, b = rng.standard_normal((80, 5)), rng.standard_normal((80, 4))
-    b[:, 0] += 3 * a[:, 2]
-    frame = lambda m: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "step int, v array<double>").repartition(3)
-    left, cov, right = U.covariance_patterns(frame(a), frame(b), "step", 2)
-    want = np.linalg.svd((a - a.mean(0)).T @ (b - b.mean(0)) / 79)
-    assert np.allclose(cov, want[1][:2]) and np.allclose(np.abs(left), np.abs(want[0][:, :2])) and np.allclose(np.abs(right), np.abs(want[2][:2]))
-
-
 def test_composites_of_planted_spells_stand_out(spark):
     rng = np.random.default_rng(5)
     spells = [(s, t) for s in range(5) for t in range(40 * s + 10, 40 * s + 16)]
