@@ -24,20 +24,33 @@ def alignment(points: DataFrame, keys: list[str], order: str, name: str = "align
     return points.withColumns({"__x": dx, "__y": dy}).withColumn(name, cos).drop("__x", "__y")
 
 
-def find_jets(grid: DataFrame, keys: list[str], first: tuple[float, float], step: tuple[float, float], s_thresh: float = 20.0, alignment_thresh: float = 0.3, int_thresh: float = 0.0, end_dist: float = 1e6, hole_size: int = 4, max_gap: float = 3.0, nlon: int | None = None, smoother=None) -> DataFrame:
+def find_jets(grid: DataFrame, keys: list[str], first: tuple[float, float], step: tuple[float, float], s_thresh: float = 20.0, alignment_thresh: float = 0.3, int_thresh: float = 0.0, end_dist: float = 1e6, hole_size: int = 4, max_gap: float = 3.0, nlon: int | None = None, smoother=None, members: list[str] = (), thresholds: DataFrame | None = None) -> DataFrame:
     """Jet cores: pieces of the zero line of the wind speed's derivative across the wind, where the wind is strong and
     along the line. Columns: keys, jet_id, index, lon, lat, u, v, s, alignment, int.
 
     Holes of less than ``hole_size`` points inside a run stay in it, those at its ends do not. ``s_thresh`` is in m/s;
     steps of more than ``max_gap`` degrees part a line. ``smoother`` (DataFrame -> DataFrame) is applied to the field whose
     derivative is taken; speeds are those of the field itself.
+
+    An ``s_thresh`` of at most 1 is a quantile: each time (the keys without ``members``) has that of its own speeds as its
+    threshold. ``thresholds`` gives one for each time instead (those keys, ``s_thresh``). ``int_thresh`` then goes with a
+    time's threshold over the mean one.
     """
+    by = [k for k in keys if k not in members]
+    if thresholds is None and s_thresh <= 1.0:
+        thresholds = grid.groupBy(*by).agg(F.percentile("s", s_thresh).alias("s_thresh"))
     sigma = norm_derivative(grid.transform(smoother) if smoother else grid, "s", keys)
     lines = contours(sigma.where(F.col("sigma").isNotNull()), "sigma", [0.0], keys, nlon, MIN_CONTOUR)
     lines = bilinear(lines, grid, keys, ["u", "v", "s"], first, step, nlon, "")
     own = [*keys, "contour"]
     lines = alignment(lines, own, "index").withColumn("alignment", F.abs("alignment"))
-    good = (F.col("s") >= s_thresh) & (F.col("alignment") >= alignment_thresh)
+    strong = F.lit(float(s_thresh))
+    if thresholds is not None:
+        usual = thresholds.agg(F.avg("s_thresh")).first()[0] or 1.0
+        limits = thresholds.select(*by, F.col("s_thresh").alias("__strong"))
+        lines = lines.join(limits, by) if by else lines.crossJoin(F.broadcast(limits))
+        strong = F.col("__strong")
+    good = (F.col("s") > strong) & (F.col("alignment") > alignment_thresh)
     runs = mark_runs(lines, good, own, "index", hole_size - 1, fill_trailing=False, dt=10**9)
     size = F.count("*").over(Window.partitionBy(*own, "run"))
     runs = runs.where("inside").withColumn("__n", size).where(F.col("__n") > MIN_RUN)
@@ -46,9 +59,9 @@ def find_jets(grid: DataFrame, keys: list[str], first: tuple[float, float], step
     parts = split_on_gap(runs.withColumn("__g", gap), [*own, "run"], "index", F.col("__g"), max_gap)
     one = [*own, "run", "part"]
     total = path_integral(parts, one, "index", F.col("s"))
-    ends = parts.groupBy(*one).agg(*[f(c, "index").alias(f"__{c}{k}") for c in ("lon", "lat") for f, k in ((F.min_by, 0), (F.max_by, 1))], F.count("*").alias("__c"))
+    ends = parts.groupBy(*one).agg(*[f(c, "index").alias(f"__{c}{k}") for c in ("lon", "lat") for f, k in ((F.min_by, 0), (F.max_by, 1))], F.count("*").alias("__c"), F.first(strong / usual if thresholds is not None else F.lit(1.0)).alias("__scale"))
     far = haversine(F.col("__lon0"), F.col("__lat0"), F.col("__lon1"), F.col("__lat1"))
-    kept = ends.join(total, one).where((F.col("__c") > MIN_JET) & (F.col("int") > int_thresh) & (far > end_dist)).select(*one, "int")
+    kept = ends.join(total, one).where((F.col("__c") > MIN_JET) & (F.col("int") > F.col("__scale") * int_thresh) & (far > end_dist)).select(*one, "int")
     ids = kept.withColumn("jet_id", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("int"), "contour", "run", "part")).cast("bigint") - 1)
     rows = parts.join(ids, one).withColumn("index", F.row_number().over(Window.partitionBy(*keys, "jet_id").orderBy("index")).cast("bigint") - 1)
     return rows.select(*keys, "jet_id", "index", "lon", "lat", "u", "v", "s", "alignment", "int")
@@ -105,10 +118,10 @@ def speed_of_centre(props: DataFrame, track: list[str], order: str, seconds: flo
     return props.withColumn("com_speed", moved / (seconds * (F.col(order) - F.lag(order).over(w))))
 
 
-def gmix_categorise(jets: DataFrame, features: list[str], period: str, hot: str, n: int = 2, highest: bool = True, mode: str = "score", sweeps: int = 2, rounds: int = 20) -> DataFrame:
+def gmix_categorise(jets: DataFrame, features: list[str], period: str, hot: str, n: int = 2, highest: bool = True, mode: str = "score", sweeps: int = 2, rounds: int = 20, tolerance: float = 1e-5) -> DataFrame:
     """``is_polar`` by Gaussian mixtures, one for each period, all fitted at once, each seeded by the period before it; the
     component with the highest (or lowest) mean of ``hot`` is subtropical. Rows with a null feature stay, with a null."""
     from .mixtures import categorise, fit
 
     by = features.index(hot)
-    return categorise(jets, features, period, fit(jets, features, period, n, by, sweeps, rounds), by, highest, mode)
+    return categorise(jets, features, period, fit(jets, features, period, n, by, sweeps, rounds, tolerance), by, highest, mode)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .graph import cut_lineage
+
 
 def axis_id(x: Column, first: float, step: float) -> Column:
     """Nearest node of a regular axis."""
@@ -13,12 +15,18 @@ def axis_id(x: Column, first: float, step: float) -> Column:
 def nearest_map(left: DataFrame, right: DataFrame, col: str, name: str = "nearest") -> DataFrame:
     """Distinct values of ``left`` with the nearest value of an irregular axis; ties go to the smaller one.
 
-    Both value sets are distinct first, so that the window runs over axis values and never over facts.
+    Both value sets are distinct first and dealt by ranges; each range takes the nearest nodes outside it from the ranges
+    around, so that no window runs over all values. Null values have no row.
     """
     values = left.select(F.col(col).alias("__x"), F.lit(True).alias("__ask")).distinct().unionByName(right.select(F.col(col).alias("__x"), F.lit(False).alias("__ask")).distinct())
+    parts = cut_lineage(values.where(F.col("__x").isNotNull()).repartitionByRange("__x").withColumn("__part", F.spark_partition_id()))
     node = F.when(~F.col("__ask"), F.col("__x"))
-    w = Window.orderBy("__x")
-    values = values.withColumns({"__a": F.last(node, True).over(w.rangeBetween(Window.unboundedPreceding, 0)), "__b": F.first(node, True).over(w.rangeBetween(0, Window.unboundedFollowing))})
+    ends = parts.groupBy("__part").agg(F.min(node).alias("__lo"), F.max(node).alias("__hi"))  # a row a range
+    w = Window.orderBy("__part")
+    ends = ends.select("__part", F.max("__hi").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("__hi"), F.min("__lo").over(w.rowsBetween(1, Window.unboundedFollowing)).alias("__lo"))
+    w = Window.partitionBy("__part").orderBy("__x")
+    here = parts.withColumns({"__a": F.last(node, True).over(w.rangeBetween(Window.unboundedPreceding, 0)), "__b": F.first(node, True).over(w.rangeBetween(0, Window.unboundedFollowing))})
+    values = here.join(F.broadcast(ends), "__part").withColumns({"__a": F.coalesce("__a", "__hi"), "__b": F.coalesce("__b", "__lo")})
     near = F.when(F.col("__b").isNull() | (F.col("__x") - F.col("__a") <= F.col("__b") - F.col("__x")), F.col("__a")).otherwise(F.col("__b"))
     return values.where("__ask").select(F.col("__x").alias(col), near.alias(name))
 

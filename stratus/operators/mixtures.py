@@ -15,16 +15,17 @@ LEAST_VARIANCE = 1e-6
 
 
 def _parameters(spark, period: str, kind: str, fits: dict) -> DataFrame:
-    """A row a period: for each component its mean, precision, constant of the log density."""
+    """A row a period, from literals: for each component its mean, precision, constant of the log density."""
     rows = []
     for p, (weights, means, covs) in fits.items():
-        row = [p]
-        for w, m, c in zip(weights, means, covs):
-            row += [*map(float, m), *map(float, np.linalg.inv(c)[np.tril_indices(len(m))]), float(math.log(max(w, 1e-300)) - 0.5 * np.linalg.slogdet(2 * math.pi * c)[1])]
-        rows.append(tuple(row))
-    n, d = len(next(iter(fits.values()))[0]), len(next(iter(fits.values()))[1][0])
-    names = [f"{x}" for k in range(n) for x in (*(f"m{k}_{i}" for i in range(d)), *(f"p{k}_{i}_{j}" for i in range(d) for j in range(i + 1)), f"c{k}")]
-    return spark.createDataFrame(rows, f"`{period}` {kind}, " + ", ".join(f"{x} double" for x in names))
+        row = {period: F.lit(p).cast(kind)}
+        for k, (w, m, c) in enumerate(zip(weights, means, covs)):
+            inverse = np.linalg.inv(c)
+            row |= {f"m{k}_{i}": F.lit(float(v)) for i, v in enumerate(m)}
+            row |= {f"p{k}_{i}_{j}": F.lit(float(inverse[i, j])) for i in range(len(m)) for j in range(i + 1)}
+            row[f"c{k}"] = F.lit(float(math.log(max(w, 1e-300)) - 0.5 * np.linalg.slogdet(2 * math.pi * c)[1]))
+        rows.append(F.struct(*[v.alias(n) for n, v in row.items()]))
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def _quad(k: int, d: int) -> Column:

@@ -220,14 +220,15 @@ def crps(obs: DataFrame, ensemble: DataFrame, keys: list[str], value: str, thres
 
 
 def mann_whitney(df: DataFrame, value: str, group: str, first, keys: list[str]) -> DataFrame:
-    """U of the first group and its normal approximation, by average ranks from counts of distinct values."""
+    """U of the first group, its normal approximation and two-sided p-value, by average ranks from counts of distinct values."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"), F.sum((F.col(group) == first).cast("bigint")).alias("__a"))
     run = Window.partitionBy(*keys).orderBy(value)
     rank = F.sum("__c").over(run) - (F.col("__c") - 1) / 2
     sums = counts.withColumn("__r", rank).groupBy(*keys).agg(F.sum(F.col("__r") * F.col("__a")).alias("r"), F.sum("__a").alias("m"), (F.sum("__c") - F.sum("__a")).alias("n"))
     u = F.col("r") - F.col("m") * (F.col("m") + 1) / 2
-    z = (u - F.col("m") * F.col("n") / 2) / F.sqrt(F.col("m") * F.col("n") * (F.col("m") + F.col("n") + 1) / 12)
-    return sums.select(*keys, u.alias("u"), z.alias("z"))
+    both = F.col("m") * F.col("n")
+    z = (u - both / 2) / F.sqrt(F.when(both > 0, both) * (F.col("m") + F.col("n") + 1) / 12)  # null where a group is empty
+    return sums.select(*keys, u.alias("u"), z.alias("z")).withColumn("p", 2 * normal_cdf(-F.abs("z")))
 
 
 def odds_table(df: DataFrame, a: Column, b: Column, keys: list[str]) -> DataFrame:

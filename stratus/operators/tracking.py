@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stratus.functions.measures import slowness
@@ -18,24 +20,59 @@ def paths_as_arrays(jets: DataFrame, keys: list[str], means: list[str] = ("s",))
     return jets.groupBy(*keys).agg(F.transform(seq, lambda p: F.struct(p.x.alias("x"), p.y.alias("y"))).alias("path"), F.array_sort(F.collect_set(F.round("lon").cast("int"))).alias("lons"), *[F.avg(c).alias(c) for c in means])
 
 
-def frechet(a: Column, b: Column) -> Column:
-    """Discrete Frechet distance of two point arrays: one row of the dynamic programme is folded over the other path."""
-    distance = lambda p, q: F.hypot(p.x - q.x, p.y - q.y)
-    empty = F.array().cast("array<double>")
+def frechet_of(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Discrete Frechet distances of pairs of paths (rows of x, y, none empty): the dynamic programme of all pairs at once,
+    along its anti-diagonals, so that memory grows with the paths' lengths and not with their product."""
+    n, m = np.array([len(p) for p in a]), np.array([len(p) for p in b])
+    p, q = np.zeros((len(a), n.max(), 2)), np.zeros((len(b), m.max(), 2))
+    for k, (x, y) in enumerate(zip(a, b)):
+        p[k, : len(x)], q[k, : len(y)] = x, y
+    before = np.full((2, len(a), n.max() + 1), np.inf)  # the last two diagonals, by point of the first path
+    out = np.zeros(len(a))
+    for k in range(n.max() + m.max() - 1):
+        low, high = max(0, k - m.max() + 1), min(n.max() - 1, k)
+        gap = p[:, low : high + 1] - q[:, k - high : k - low + 1][:, ::-1]
+        far = np.hypot(gap[..., 0], gap[..., 1])
+        if k:
+            last, older = before[(k - 1) % 2], before[k % 2]
+            far = np.maximum(far, np.minimum(np.minimum(last[:, low + 1 : high + 2], last[:, low : high + 1]), older[:, low : high + 1]))
+        now = np.full_like(before[0], np.inf)
+        now[:, low + 1 : high + 2] = far
+        before[k % 2] = now
+        done = np.flatnonzero(n + m - 2 == k)
+        out[done] = now[done, n[done]]
+    return out
+
+
+def _frechet(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series) -> pd.Series:
+    out = np.full(len(ax), np.nan)
+    whole = np.array([all(v is not None and len(v) for v in z) for z in zip(ax, ay, bx, by)], bool)
+    work = np.array([(len(x) + len(y)) if ok else 0 for x, y, ok in zip(ax, bx, whole)])
+    order = [i for i in np.argsort(work, kind="stable") if whole[i]]
+    start = 0
+    while start < len(order):  # paths of like lengths together, so that little is padded
+        stop = start + 1
+        while stop < len(order) and work[order[stop]] * (stop - start + 1) <= 1 << 18:
+            stop += 1
+        own = order[start:stop]
+        pick = lambda u, v: [np.column_stack((u[i], v[i])) for i in own]
+        out[own] = frechet_of(pick(ax, ay), pick(bx, by))
+        start = stop
+    return pd.Series(out)
 
-    def first(p):
-        return F.aggregate(b, empty, lambda row, q: F.concat(row, F.array(F.greatest(distance(p, q), F.coalesce(F.try_element_at(row, F.lit(-1)), F.lit(0.0))))))
 
-    def following(above, p):
-        def cell(row, q):
-            j = F.size(row) + 1
-            up, left, diagonal = F.element_at(above, j), F.try_element_at(row, F.lit(-1)), F.when(j > 1, F.try_element_at(above, F.greatest(j - 1, F.lit(1))))
-            least = F.least(up, F.coalesce(left, up), F.coalesce(diagonal, up))
-            return F.concat(row, F.array(F.greatest(distance(p, q), least)))
+def frechet(a: Column, b: Column) -> Column:
+    """Discrete Frechet distance of two arrays of points (x, y); null where one is null or empty."""
+    part = lambda p, c: F.transform(p, lambda z: z[c])
+    return F.nanvl(F.pandas_udf(_frechet, "double")(part(a, "x"), part(a, "y"), part(b, "x"), part(b, "y")), F.lit(None).cast("double"))
 
-        return F.aggregate(b, empty, cell)
 
-    return F.element_at(F.aggregate(F.slice(a, F.lit(2), F.size(a)), first(F.element_at(a, 1)), following), -1)
+def least_frechet(a: Column, b: Column) -> Column:
+    """What the Frechet distance cannot be below: the paths' ends must meet, and each path reaches the other's bounding box."""
+    gap = lambda p, q: F.hypot(p.x - q.x, p.y - q.y)
+    ends = F.greatest(gap(F.element_at(a, 1), F.element_at(b, 1)), gap(F.element_at(a, -1), F.element_at(b, -1)))
+    side = lambda c: [F.abs(f(F.transform(a, lambda z: z[c])) - f(F.transform(b, lambda z: z[c]))) for f in (F.array_min, F.array_max)]
+    return F.greatest(ends, *side("x"), *side("y"))
 
 
 def lon_overlap(a: Column, b: Column) -> Column:
@@ -44,16 +81,23 @@ def lon_overlap(a: Column, b: Column) -> Column:
     return (shared / F.size(a) + shared / F.size(b)) / 2
 
 
-def track(jets: DataFrame, keys: list[str], order: str, dt: int = 1, values: list[str] = ("s",)) -> DataFrame:
-    """Every path with each path of the next step: dist, lon_overlap and differences of mean values."""
+def track(jets: DataFrame, keys: list[str], order: str, dt: int = 1, values: list[str] = ("s",), within: float | None = None) -> DataFrame:
+    """Every path with each path of the next step: dist, lon_overlap and differences of mean values. With ``within`` pairs that
+    are farther apart are left out, most of them by a bound before the exact distance."""
     arrays = paths_as_arrays(jets, [*keys, order, "jet_id"], list(values))
     pairs = successor_join(arrays, keys, order, dt, "jet_id").where("jet_id_right is not null")
+    if within is not None:
+        pairs = pairs.where(least_frechet(F.col("path"), F.col("path_right")) <= within)
     pairs = pairs.withColumns({"dist": frechet(F.col("path"), F.col("path_right")), "lon_overlap": lon_overlap(F.col("lons"), F.col("lons_right")), **{f"d{v}": F.abs(F.col(v) - F.col(f"{v}_right")) for v in values}})
-    return pairs.drop("path", "path_right", "lons", "lons_right")
+    pairs = pairs.drop("path", "path_right", "lons", "lons_right")
+    return pairs if within is None else pairs.where(F.col("dist") <= within)
 
 
-def connect(cross: DataFrame, keys: list[str], order: str, max_dist: float, min_overlap: float, dt: int = 1, seconds: float = 21600.0) -> DataFrame:
-    """keys, order, jet_id, spell: components of the best successors over the thresholds."""
+def connect(cross: DataFrame, keys: list[str], order: str, max_dist: float, min_overlap: float, dt: int = 1, seconds: float = 21600.0, max_dis_polar: float | None = None) -> DataFrame:
+    """keys, order, jet_id, spell: components of the best successors over the thresholds. With ``max_dis_polar`` the mean
+    ``is_polar`` of both must differ by less (``track`` gives ``dis_polar`` with ``values=["is_polar"]``)."""
+    if max_dis_polar is not None:
+        cross = cross.where(F.col("dis_polar") < max_dis_polar)
     ok = cross.where((F.col("dist") <= max_dist) & (F.col("lon_overlap") >= min_overlap)).withColumn("slowness", slowness(F.col("lon_overlap"), F.greatest(F.col("dist"), F.lit(1.0)), seconds))
     best = ok.groupBy(*keys, order, "jet_id").agg(F.max_by("jet_id_right", F.struct("slowness", -F.col("jet_id_right"))).alias("jet_id_right"))
     a, b = F.xxhash64(*keys, order, "jet_id"), F.xxhash64(*keys, F.col(order) + dt, "jet_id_right")

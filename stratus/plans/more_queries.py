@@ -940,7 +940,7 @@ def t13_season_onset(spark, sf):
 def t11_mixture(spark, sf):
     """Polar or subtropical by a mixture of two normal distributions for each season of starts."""
     p = roles.paths(spark, sf).withColumn("period", F.least(F.floor(F.col("index") / 40), F.lit(2)).cast("int"))
-    return JT.gmix_categorise(p.drop("is_polar"), ["lat", "s"], "period", "s").groupBy("period").agg(F.count("*").alias("n"), r(F.avg("is_polar"), 3).alias("is_polar"))
+    return JT.gmix_categorise(p.drop("is_polar"), ["lat", "s"], "period", "s", tolerance=1e-3).groupBy("period").agg(F.count("*").alias("n"), r(F.avg("is_polar"), 3).alias("is_polar"))
 
 
 # statistics -------------------------------------------------------------------------------------------------------------

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from stratus.operators import contours as C, joins as J, maps, mixtures, polygons, sequence as Q
-from stratus.operators.graph import cut_lineage
+from stratus.operators import contours as C, jets as JT, joins as J, maps, mixtures, polygons, sequence as Q, stats as T, tracking as TR
 
 from . import roles
 from .queries import R, query, r
-from .roles import FIELD, LABELS, PATHS
+from .roles import DAILY, FIELD, LABELS, PATHS
 
 
 def _vectors(spark, sf):
@@ -73,9 +72,9 @@ def g05_envelopes(spark, sf):
 
 @query()
 def g04_ring_streamers(spark, sf):
-    """Streamers of the iso-lines of all months, closed ones included."""
-    lines = cut_lineage(C.contours(roles.field(spark, sf), "s", [24.0, 26.0], ["step"], 36, 10))
-    return C.ring_streamers(lines, ["step", "level", "contour"], "index", 2.5e6, 3e6, 3e7, 2.0)
+    """Where paths come back near themselves; every second one is closed."""
+    lines = roles.paths(spark, sf).withColumn("cyclic", F.col("jet_id") % 2 == 0)
+    return C.ring_streamers(lines, ["jet_id"], "index", 8e5, 3e6, 6e7, 10.0)
 
 
 @query(f"SELECT member, sum(CASE WHEN label <> before THEN 1 ELSE 0 END)::BIGINT AS jumps, {R('sum(abs(label - before))')} AS distance FROM (SELECT *, lag(label) OVER (PARTITION BY member ORDER BY ord) AS before FROM labels0) GROUP BY 1 HAVING count(before) > 0", LABELS)
@@ -103,6 +102,44 @@ def w25_longest_stays(spark, sf):
 def t11_seeded_mixtures(spark, sf):
     """Parameters of two components of latitude and speed for each of three stretches, every one seeded by the one before."""
     p = roles.paths(spark, sf).withColumn("period", F.least(F.floor(F.col("index") / 40), F.lit(2)).cast("int"))
-    fits = mixtures.fit(p, ["lat", "s"], "period", 2, 1)
+    fits = mixtures.fit(p, ["lat", "s"], "period", 2, 1, tolerance=1e-3)
     rows = [(p, k, float(w[k]), *map(float, m[k]), *map(float, (c[k][0][0], c[k][1][0], c[k][1][1]))) for p, (w, m, c) in fits.items() for k in range(2)]
     return spark.createDataFrame(rows, "period int, component int, weight double, lat double, s double, var_lat double, cov double, var_s double")
+
+
+@query()
+def t01_quantile_jets(spark, sf):
+    """Cores by each month's own 0.3 quantile of speed."""
+    return JT.find_jets(roles.field(spark, sf), ["step"], (-180.0, -85.0), (10.0, 10.0), 0.3, 0.0, 0.0, 0.0, 4, 25.0, 36)
+
+
+CDF = "1 / (1 + 0.2316419 * abs(z))"
+RANKS = """rk AS (SELECT doy, qty, jet = 'A' AS a, row_number() OVER (PARTITION BY doy ORDER BY qty) AS i FROM daily WHERE jet IN ('A', 'R')),
+    av AS (SELECT doy, a, avg(i) OVER (PARTITION BY doy, qty) AS k FROM rk),
+    us AS (SELECT doy, sum(CASE WHEN a THEN k ELSE 0 END) AS r, sum(a::INT)::DOUBLE AS m, sum((NOT a)::INT)::DOUBLE AS n FROM av GROUP BY 1),
+    zs AS (SELECT doy, r - m * (m + 1) / 2 AS u, (r - m * (m + 1) / 2 - m * n / 2) / sqrt(CASE WHEN m * n > 0 THEN m * n * (m + n + 1) / 12 END) AS z FROM us)"""
+
+
+@query(f"SELECT doy, {R('u', 2)} AS u, {R(f'2 * (((((1.330274429 * {CDF} - 1.821255978) * {CDF} + 1.781477937) * {CDF} - 0.356563782) * {CDF} + 0.319381530) * {CDF}) * exp(-z * z / 2) / 2.5066282746310002')} AS p FROM zs WHERE z IS NOT NULL AND z <> 0", DAILY, RANKS)
+def r22_mann_whitney_by_day(spark, sf):
+    d = roles.daily(spark, sf).where("jet in ('A', 'R')")
+    return T.mann_whitney(d, "qty", "jet", "A", ["doy"]).where("z is not null and z <> 0").select("doy", r("u", 2).alias("u"), r("p").alias("p"))
+
+
+KS = """ks AS (SELECT member, sum(a) OVER w / sum(a) OVER v AS fa, sum(b) OVER w / sum(b) OVER v AS fb, sum(a) OVER v AS m, sum(b) OVER v AS n FROM (
+        SELECT user_id % 4 AS member, value, sum((event_type = 'click')::INT)::DOUBLE AS a, sum((event_type = 'error')::INT)::DOUBLE AS b FROM events WHERE event_type IN ('click', 'error') GROUP BY 1, 2) WINDOW w AS (PARTITION BY member ORDER BY value), v AS (PARTITION BY member)),
+    kd AS (SELECT member, max(abs(fa - fb)) AS d, sqrt(any_value(m) * any_value(n) / (any_value(m) + any_value(n))) * max(abs(fa - fb)) AS l FROM ks GROUP BY 1)"""
+
+
+@query(f"SELECT member, {R('d')} AS d, {R('CASE WHEN l < 0.2 THEN 1 ELSE least(1, greatest(0, list_sum(list_transform(range(1, 21), lambda k: 2 * (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * k * k * l * l))))) END')} AS p FROM kd", KS)
+def r11_ks_by_member(spark, sf):
+    e = roles.table(spark, sf, "events").withColumn("member", F.col("user_id") % 4)
+    return T.ks_two_sample(e, "value", "event_type", "click", "error", ["member"]).select("member", r("d").alias("d"), r("p").alias("p"))
+
+
+@query()
+def t05_connect_by_category(spark, sf):
+    """Paths of one user cut into stretches of twenty points, tied to the next stretch if their categories are near."""
+    p = roles.paths(spark, sf).withColumn("stretch", F.floor(F.col("index") / 20)).withColumnRenamed("jet_id", "user").withColumn("jet_id", F.lit(0).cast("bigint"))
+    cross = TR.track(p, ["user"], "stretch", values=["s", "is_polar"])
+    return TR.connect(cross, ["user"], "stretch", 4e7, 0.0, max_dis_polar=0.1)
