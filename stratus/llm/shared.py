@@ -81,17 +81,20 @@ def _note(path: str) -> None:
 
 
 class StageTables:
-    """Deletes the intermediate tables of a stage when the next one begins: its result is then written, and nothing reads
-    them any more."""
+    """Deletes the intermediate tables of a stage when the next one begins, but for those that the next one's input still
+    reads: as a rule the result has been written, and it reads none."""
 
     def __init__(self):
         self.before: list[str] = []
 
     @contextlib.contextmanager
-    def stage(self, spark: SparkSession):
+    def stage(self, spark: SparkSession, docs: DataFrame):
+        folders = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in docs.inputFiles()} if self.before else set()
+        kept = [path for path in self.before if path.rsplit("/", 1)[-1] in folders]
         for path in self.before:
-            delete(spark, path)
-        self.before = own = []
+            if path not in kept:
+                delete(spark, path)
+        self.before = own = kept
         _noted.append(own)
         try:
             yield
