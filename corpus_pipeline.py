@@ -24,7 +24,7 @@ _tables = StageTables()
 def stage(f):
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        with _tables.stage(spark):
+        with _tables.stage(spark, docs):
             return f(spark, docs, sf_dir)
 
     return run_stage
