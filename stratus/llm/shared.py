@@ -89,7 +89,7 @@ class StageTables:
 
     @contextlib.contextmanager
     def stage(self, spark: SparkSession, docs: DataFrame):
-        folders = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in docs.inputFiles()} if self.before else set()
+        folders = {part for f in docs.inputFiles() for part in f.split("/")} if self.before else set()
         kept = [path for path in self.before if path.rsplit("/", 1)[-1] in folders]
         for path in self.before:
             if path not in kept:
