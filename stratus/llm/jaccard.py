@@ -32,7 +32,7 @@ SLACK = 0.12
 #: Keys that a task holds before it hands them on, members in a row of a key's group, and members compared at once.
 HELD_KEYS, ROW_MEMBERS, BLOCK_MEMBERS = 1_000_000, 16_384, 512
 #: Bytes of input whose keys meet in one bucket; members of open keys with one lead that do, and of all such keys.
-BUCKET_BYTES, SHARE_MEMBERS, BUCKET_MEMBERS = 2 << 20, 8_192, 4_096
+BUCKET_BYTES, SHARE_MEMBERS, BUCKET_MEMBERS = 1 << 20, 8_192, 4_096
 
 
 def bands(percent: int, largest: int) -> np.ndarray:
@@ -133,7 +133,7 @@ def key_groups(docs: DataFrame, width: int, percent: int, largest: int, buckets:
     secret = key
 
     def keys(frames):
-        held, count, known, ids, digests = [], 0, set(), [], []
+        held, count, known, ids = [], 0, set(), []
 
         def flush():
             key, idx = np.concatenate([k for k, _ in held]), np.concatenate([i for _, i in held])
@@ -141,13 +141,13 @@ def key_groups(docs: DataFrame, width: int, percent: int, largest: int, buckets:
             key, idx = key[order], idx[order]
             bucket = ((key >> U64(32)) * U64(buckets)) >> U64(32)
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            own, sets_ = np.array(ids, np.int64), np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
+            own = np.array(ids, np.int64)
             rows = []
             for b in np.flatnonzero(np.diff(cuts)):
                 a, z = cuts[b], cuts[b + 1]
                 used, place = np.unique(idx[a:z], return_inverse=True)
-                rows.append((int(b), key[a:z].astype("<u4").tobytes(), place.astype("<u2").tobytes(), own[used].astype("<i8").tobytes(), sets_[used].tobytes()))
-            return pd.DataFrame(rows, columns=["bucket", "keys", "place", "docs", "sets"])
+                rows.append((int(b), key[a:z].astype("<u4").tobytes(), place.astype("<u2").tobytes(), own[used].astype("<i8").tobytes()))
+            return pd.DataFrame(rows, columns=["bucket", "keys", "place", "docs"])
 
         for some, sets in _sets(frames, width, secret):
             for doc_id, h in zip(some, sets):
@@ -160,11 +160,10 @@ def key_groups(docs: DataFrame, width: int, percent: int, largest: int, buckets:
                 k = set_keys(h, lows, percent)
                 held.append((k, np.full(len(k), len(ids), np.uint16)))
                 ids.append(doc_id)
-                digests.append(set_digest(h))
                 count += len(k)
                 if count >= HELD_KEYS or len(ids) == 65_535:
                     yield flush()
-                    held, count, ids, digests = [], 0, [], []
+                    held, count, ids = [], 0, []
             if len(known) > 1_000_000:
                 known.clear()
         if held:
@@ -173,14 +172,10 @@ def key_groups(docs: DataFrame, width: int, percent: int, largest: int, buckets:
     def groups(frame: pd.DataFrame) -> pd.DataFrame:
         key = np.concatenate([np.frombuffer(x, "<u4") for x in frame["keys"]])
         doc = np.concatenate([np.frombuffer(d, "<i8")[np.frombuffer(p, "<u2")] for d, p in zip(frame["docs"], frame["place"])])
-        sets_ = np.concatenate([np.frombuffer(d, "<u8").reshape(-1, 2)[np.frombuffer(p, "<u2")] for d, p in zip(frame["sets"], frame["place"])])
-        order = np.lexsort((doc, sets_[:, 0], sets_[:, 1], key))
-        key, doc, sets_ = key[order], doc[order], sets_[order]
-        # of documents with one set, whose copies are tied by their digests, the smallest stands for all
-        new = np.concatenate(([True], (key[1:] != key[:-1]) | (sets_[1:] != sets_[:-1]).any(1)))
-        key, doc = key[new], doc[new]
         order = np.lexsort((doc, key))
         key, doc = key[order], doc[order]
+        new = np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))
+        key, doc = key[new], doc[new]
         start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         size = np.diff(np.append(start, len(key)))
         many = size > 1
@@ -205,7 +200,7 @@ def key_groups(docs: DataFrame, width: int, percent: int, largest: int, buckets:
         out["members"] = pd.Series([None if isinstance(m, float) else m for m in out["members"]], dtype=object)
         return out.astype({"lead": "Int64", "member": "Int64", "n": "Int64", "grp": "Int64"})[names]
 
-    dealt = map_slices(docs.where("doc_id is not null"), keys, "bucket int, keys binary, place binary, docs binary, sets binary")
+    dealt = map_slices(docs.where("doc_id is not null"), keys, "bucket int, keys binary, place binary, docs binary")
     return dealt.groupBy("bucket").applyInPandas(freed(groups), "lead bigint, member bigint, n bigint, grp bigint, members array<bigint>")
 
 
