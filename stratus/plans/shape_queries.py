@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from stratus.operators import contours as C, jets as JT, joins as J, maps, mixtures, polygons, sequence as Q, stats as T, tracking as TR
+from stratus.operators import contours as C, jets as JT, joins as J, lines, maps, mixtures, polygons, sequence as Q, stats as T, tracking as TR
 
 from . import roles
 from .queries import R, query, r
@@ -143,3 +143,9 @@ def t05_connect_by_category(spark, sf):
     p = roles.paths(spark, sf).withColumn("stretch", F.floor(F.col("index") / 20)).withColumnRenamed("jet_id", "user").withColumn("jet_id", F.lit(0).cast("bigint"))
     cross = TR.track(p, ["user"], "stretch", values=["s", "is_polar"])
     return TR.connect(cross, ["user"], "stretch", 4e7, 0.0, max_dis_polar=0.1)
+
+
+@query()
+def g01_ranked_contours(spark, sf):
+    """Lines of three levels over the seam, joined up by list ranking."""
+    return lines.ranked_contours(roles.field(spark, sf), "s", [18.0, 26.0, 34.0], ["step"], 36, 6)
