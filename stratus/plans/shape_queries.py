@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from stratus.operators import contours as C, jets as JT, joins as J, lines, maps, mixtures, polygons, sequence as Q, stats as T, tracking as TR
+from stratus.operators import contours as C, jets as JT, joins as J, lines, maps, mixtures, polygons, quantiles, sequence as Q, stats as T, tracking as TR
 
 from . import roles
 from .queries import R, query, r
@@ -149,3 +149,14 @@ def t05_connect_by_category(spark, sf):
 def g01_ranked_contours(spark, sf):
     """Lines of three levels over the seam, joined up by list ranking."""
     return lines.ranked_contours(roles.field(spark, sf), "s", [18.0, 26.0, 34.0], ["step"], 36, 6)
+
+
+SORTED = """lists AS (SELECT event_type, list_sort(list(value)) AS v, count(value) AS n FROM events WHERE value IS NOT NULL GROUP BY event_type),
+    places AS (SELECT event_type, v, n, q, q * (n - 1) AS p, floor(q * (n - 1))::BIGINT AS k FROM lists, (SELECT unnest([0.0::DOUBLE, 0.1, 0.5, 0.9, 0.99]) AS q))"""
+
+
+@query(f"SELECT event_type, q, {R('v[k + 1] * (1 - (p - k)) + v[least(k + 2, n)] * (p - k)', 6)} AS value FROM places", SORTED)
+def f26_exact_quantiles(spark, sf):
+    """Quantiles of each event type, exact whatever its size."""
+    out = quantiles.exact_quantiles(roles.table(spark, sf, "events"), "value", ["event_type"], [0.0, 0.1, 0.5, 0.9, 0.99])
+    return out.select("event_type", "q", r("value", 6).alias("value"))
