@@ -111,7 +111,7 @@ def streamers(points: DataFrame, keys: list[str], index: str, max_real: float, m
     rows = points.withColumn("__d", F.coalesce(step, F.lit(0.0))).withColumn("along", F.sum("__d").over(w))
     pairs = close_pairs(rows, keys, index, "lon", "lat", max_real)
     at = rows.select(*keys, F.col(index).alias("__k"), "along")
-    pairs = pairs.join(at.withColumnsRenamed({"__k": "i", "along": "along_i"}), [*keys, "i"]).join(at.withColumnsRenamed({"__k": "j", "along": "along_j"}), [*keys, "j"])
+    pairs = pairs.join(at.withColumnsRenamed({"__k": "i", "along": "along_i"}).hint("merge"), [*keys, "i"]).join(at.withColumnsRenamed({"__k": "j", "along": "along_j"}).hint("merge"), [*keys, "j"])
     length = F.col("along_j") - F.col("along_i")
     pairs = pairs.withColumn("length", length).where((F.col("length") >= min_along) & (F.col("length") >= min_ratio * F.col("dist")))
     least = lambda c: F.min("dist").over(Window.partitionBy(*keys, c))
@@ -121,7 +121,10 @@ def streamers(points: DataFrame, keys: list[str], index: str, max_real: float, m
 
 
 def sphere_pairs(points: DataFrame, keys: list[str], index: str, reach: float) -> DataFrame:
-    """Pairs i < j of one line nearer than ``reach`` metres, met in neighbouring cubes around the sphere, over seam and poles."""
+    """Pairs i < j of one line nearer than ``reach`` metres, met in neighbouring cubes around the sphere, over seam and poles.
+
+    Merge joins here and below: Spark takes an exploded side for as small as the files it comes from, and would broadcast it.
+    """
     chord = 2.0 * math.sin(min(reach / RADIUS / 2.0, math.pi / 2.0)) * (1 + 1e-9)
     x = {"x": F.cos(F.radians("lat")) * F.cos(F.radians("lon")), "y": F.cos(F.radians("lat")) * F.sin(F.radians("lon")), "z": F.sin(F.radians("lat"))}
     cubes = points.select(*keys, index, "lon", "lat", *[F.floor(v / chord).alias(f"__{k}") for k, v in x.items()])
@@ -129,7 +132,7 @@ def sphere_pairs(points: DataFrame, keys: list[str], index: str, reach: float) -
     right = cubes.select(*keys, F.col(index).alias("j"), F.col("lon").alias("lon_j"), F.col("lat").alias("lat_j"), *[f"__{k}" for k in "xyz"], F.explode(around).alias("o"))
     right = right.select(*keys, "j", "lon_j", "lat_j", *[(F.col(f"__{k}") + F.col(f"o.{k}")).alias(f"__{k}") for k in "xyz"])
     far = haversine(F.col("lon"), F.col("lat"), F.col("lon_j"), F.col("lat_j"))
-    near = cubes.withColumnRenamed(index, "i").join(right, [*keys, "__x", "__y", "__z"]).where("i < j").withColumn("dist", far)
+    near = cubes.withColumnRenamed(index, "i").join(right.hint("merge"), [*keys, "__x", "__y", "__z"]).where("i < j").withColumn("dist", far)
     return near.where(F.col("dist") < reach).select(*keys, "i", "j", "dist")
 
 
@@ -158,7 +161,7 @@ def ring_streamers(points: DataFrame, keys: list[str], index: str, max_real: flo
     rows = points.select(*keys, F.col(index).cast("bigint").alias("k"), "lon", "lat", "cyclic").withColumnRenamed("k", index).withColumn("__d", step)
     rows = rows.withColumns({"s": F.sum("__d").over(w), "n": F.count("*").over(line), "round": F.sum("__d").over(line) + close})
     at = lambda c: rows.select(*keys, F.col(index).alias(c), F.col("s").alias(f"s_{c}"), *(["n", "round", "cyclic"] if c == "i" else []))
-    pairs = sphere_pairs(rows, keys, index, max_real).join(at("i"), [*keys, "i"]).join(at("j"), [*keys, "j"])
+    pairs = sphere_pairs(rows, keys, index, max_real).join(at("i").hint("merge"), [*keys, "i"]).join(at("j").hint("merge"), [*keys, "j"])
     ahead, back = F.col("s_j") - F.col("s_i"), F.col("round") - (F.col("s_j") - F.col("s_i"))
     forward = ~F.col("cyclic") | (ahead <= back)
     pairs = pairs.withColumns({"along": F.when(forward, ahead).otherwise(back), "start": F.when(forward, F.col("i")).otherwise(F.col("j")), "size": F.when(forward, F.col("j") - F.col("i")).otherwise(F.col("n") - (F.col("j") - F.col("i")))})
@@ -170,20 +173,20 @@ def ring_streamers(points: DataFrame, keys: list[str], index: str, max_real: flo
     own = [*keys, "__cell"]
     wide = _arc_cells(arcs, keys).select(*own, *[F.col(c).alias(f"{c}_w") for c in ("id", "start", "size")])
     holds = lambda p: F.pmod(p - F.col("start_w"), F.col("n")) <= F.col("size_w")
-    first = arcs.withColumn("__cell", F.floor(F.col("start") / STRETCH)).join(wide, own).where(F.col("size_w") > F.col("size"))
+    first = arcs.withColumn("__cell", F.floor(F.col("start") / STRETCH)).join(wide.hint("merge"), own).where(F.col("size_w") > F.col("size"))
     nested = first.where(holds(F.col("start")) & holds(F.pmod(F.col("start") + F.col("size"), F.col("n")))).select("id").distinct()
-    arcs = cut_lineage(arcs.join(nested, "id", "left_anti").select(*arcs.columns))
+    arcs = cut_lineage(arcs.join(nested.hint("merge"), "id", "left_anti").select(*arcs.columns))
 
     middle = F.pmod(F.col("start") + F.floor(F.col("size") / 2), F.col("n"))
     wide = _arc_cells(arcs, keys).select(*own, *[F.col(c).alias(f"{c}_w") for c in ("id", "start", "size")])
-    met = arcs.withColumn("__cell", F.floor(middle / STRETCH)).join(wide, own).where((F.col("id_w") != F.col("id")) & (F.col("size_w") >= F.col("size")))
+    met = arcs.withColumn("__cell", F.floor(middle / STRETCH)).join(wide.hint("merge"), own).where((F.col("id_w") != F.col("id")) & (F.col("size_w") >= F.col("size")))
     a, b = F.col("start"), F.col("start_w")
     both = sum((F.greatest(F.least(a + F.col("size"), b + F.col("size_w") + F.col("n") * t) - F.greatest(a, b + F.col("n") * t) + 1, F.lit(0)) for t in (-1, 0, 1)), F.lit(0))
     ties = met.where(both > share * (F.col("size") + 1)).select(F.col("id").alias("a"), F.col("id_w").alias("b")).distinct()
     groups = connected_components(ties)
-    named = arcs.join(groups, arcs.id == groups.node, "left").withColumn("__of", F.coalesce("component", "id")).drop("node", "component")
+    named = arcs.join(groups.hint("merge"), arcs.id == groups.node, "left").withColumn("__of", F.coalesce("component", "id")).drop("node", "component")
     lead = named.where("id = __of").select("__of", F.col("start").alias("__a"))
-    named = named.join(lead, "__of")
+    named = named.join(lead.hint("merge"), "__of")
     shift = F.col("start") - F.col("__a")
     shift = shift - F.col("n") * F.round(shift / F.col("n")).cast("bigint")
     out = named.withColumn("__s", shift).groupBy(*keys, "__of", "__a", "n").agg(F.min("__s").alias("__lo"), F.max(F.col("__s") + F.col("size")).alias("__hi"), F.count("*").alias("pairs"), F.min("dist").alias("dist"))

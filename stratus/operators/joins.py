@@ -57,14 +57,15 @@ def successor_join(features: DataFrame, keys: list[str], order: str, dt: int, fe
 
 
 def close_pairs(points: DataFrame, keys: list[str], index: str, x: str, y: str, reach: float) -> DataFrame:
-    """Ordered pairs i < j of one key within ``reach``, met in neighbouring cells of that width only."""
+    """Ordered pairs i < j of one key within ``reach``, met in neighbouring cells of that width only. A merge join, as Spark would
+    take the exploded side for as small as the files it comes from, and broadcast it."""
     cell = lambda c: F.floor(F.col(c) / reach)
     left = points.select(*keys, F.col(index).alias("i"), F.col(x).alias("x_i"), F.col(y).alias("y_i"), cell(x).alias("cx"), cell(y).alias("cy"))
     spread = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
     right = points.select(*keys, F.col(index).alias("j"), F.col(x).alias("x_j"), F.col(y).alias("y_j"), cell(x).alias("__cx"), cell(y).alias("__cy"), F.explode(spread).alias("o"))
     right = right.select(*keys, "j", "x_j", "y_j", (F.col("__cx") + F.col("o.a")).alias("cx"), (F.col("__cy") + F.col("o.b")).alias("cy"))
     distance = F.sqrt(F.pow(F.col("x_i") - F.col("x_j"), 2.0) + F.pow(F.col("y_i") - F.col("y_j"), 2.0))
-    return left.join(right, [*keys, "cx", "cy"]).where("i < j").withColumn("dist", distance).where(F.col("dist") <= reach).drop("cx", "cy")
+    return left.join(right.hint("merge"), [*keys, "cx", "cy"]).where("i < j").withColumn("dist", distance).where(F.col("dist") <= reach).drop("cx", "cy")
 
 
 def contained(sets: DataFrame, keys: list[str], owner: str, point: str, share: float = 0.97) -> DataFrame:
