@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stratus.functions.measures import slowness
@@ -21,14 +21,19 @@ def paths_as_arrays(jets: DataFrame, keys: list[str], means: list[str] = ("s",))
 
 
 def frechet_of(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Discrete Frechet distances of pairs of paths (rows of x, y, none empty): the dynamic programme of all pairs at once,
-    along its anti-diagonals, so that memory grows with the paths' lengths and not with their product."""
-    n, m = np.array([len(p) for p in a]), np.array([len(p) for p in b])
-    p, q = np.zeros((len(a), n.max(), 2)), np.zeros((len(b), m.max(), 2))
-    for k, (x, y) in enumerate(zip(a, b)):
-        p[k, : len(x)], q[k, : len(y)] = x, y
-    before = np.full((2, len(a), n.max() + 1), np.inf)  # the last two diagonals, by point of the first path
-    out = np.zeros(len(a))
+    """Discrete Frechet distances of pairs of paths (rows of x, y, none empty)."""
+    ends = lambda z: np.concatenate(([0], np.cumsum([len(p) for p in z])))
+    p, q = ends(a), ends(b)
+    return _frechet_of(np.concatenate(a), p[:-1], np.diff(p), np.concatenate(b), q[:-1], np.diff(q))
+
+
+def _frechet_of(a: np.ndarray, at_a: np.ndarray, n: np.ndarray, b: np.ndarray, at_b: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The dynamic programme of all pairs at once, along its anti-diagonals, so that memory grows with the paths' lengths and
+    not with their product. Pair i has ``n[i]`` points of ``a`` from ``at_a[i]`` on and ``m[i]`` of ``b``."""
+    pad = lambda z, at, k: z[at[:, None] + np.minimum(np.arange(k.max()), k[:, None] - 1)]
+    p, q = pad(a, at_a, n), pad(b, at_b, m)
+    before = np.full((2, len(n), n.max() + 1), np.inf)  # the last two diagonals, by point of the first path
+    out = np.zeros(len(n))
     for k in range(n.max() + m.max() - 1):
         low, high = max(0, k - m.max() + 1), min(n.max() - 1, k)
         gap = p[:, low : high + 1] - q[:, k - high : k - low + 1][:, ::-1]
@@ -44,27 +49,30 @@ def frechet_of(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _frechet(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series) -> pd.Series:
-    out = np.full(len(ax), np.nan)
-    whole = np.array([all(v is not None and len(v) for v in z) for z in zip(ax, ay, bx, by)], bool)
-    work = np.array([(len(x) + len(y)) if ok else 0 for x, y, ok in zip(ax, bx, whole)])
-    order = [i for i in np.argsort(work, kind="stable") if whole[i]]
+def _points(paths: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Points (x, y) of a column of paths, and where each begins and how many it has (0: null)."""
+    flat = paths.flatten()
+    size = paths.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.column_stack([flat.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y")]), np.cumsum(size) - size, size
+
+
+def _frechet(a: pa.Array, b: pa.Array) -> pa.Array:
+    (p, at_p, n), (q, at_q, m) = _points(a), _points(b)
+    out, work = np.full(len(n), np.nan), n + m
+    order = np.argsort(work, kind="stable")
+    order = order[(n[order] > 0) & (m[order] > 0)]
     start = 0
     while start < len(order):  # paths of like lengths together, so that little is padded
-        stop = start + 1
-        while stop < len(order) and work[order[stop]] * (stop - start + 1) <= 1 << 18:
-            stop += 1
-        own = order[start:stop]
-        pick = lambda u, v: [np.column_stack((u[i], v[i])) for i in own]
-        out[own] = frechet_of(pick(ax, ay), pick(bx, by))
-        start = stop
-    return pd.Series(out)
+        fit = np.searchsorted(work[order[start:]] * np.arange(1, len(order) - start + 1), 1 << 18, "right")
+        own = order[start : start + max(1, fit)]
+        out[own] = _frechet_of(p, at_p[own], n[own], q, at_q[own], m[own])
+        start += len(own)
+    return pa.array(out)
 
 
 def frechet(a: Column, b: Column) -> Column:
     """Discrete Frechet distance of two arrays of points (x, y); null where one is null or empty."""
-    part = lambda p, c: F.transform(p, lambda z: z[c])
-    return F.nanvl(F.pandas_udf(_frechet, "double")(part(a, "x"), part(a, "y"), part(b, "x"), part(b, "y")), F.lit(None).cast("double"))
+    return F.nanvl(F.arrow_udf(_frechet, "double")(a, b), F.lit(None).cast("double"))
 
 
 def least_frechet(a: Column, b: Column) -> Column:

@@ -877,10 +877,7 @@ def l15_forward_select(spark, sf):
 
 def _daily_paths(spark, sf):
     """Path points as short paths, one a user and day; users meet in groups of eight."""
-    e = roles.table(spark, sf, "events").select("event_id", "user_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000).alias("step"))
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    index = roles.table(spark, sf, "events").select("user_id", "event_id", (F.row_number().over(w) - 1).cast("bigint").alias("index"))
-    p = roles.paths(spark, sf).join(index.withColumnRenamed("user_id", "jet_id"), ["jet_id", "index"]).join(e.select("event_id", "step"), "event_id")
+    p = roles.paths(spark, sf, "ts").withColumn("step", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000))
     return p.withColumn("member", F.floor(F.col("jet_id") / 8)).select("member", "step", "jet_id", "index", "lon", "lat", "s", "is_polar")
 
 

@@ -73,8 +73,8 @@ FIELD = f"""field0 AS (SELECT CAST(year(l_shipdate) * 12 + month(l_shipdate) - 1
     field AS (SELECT *, ilon * 10.0 - 180.0 AS lon, ilat * 10.0 - 85.0 AS lat, round(sqrt(u * u + v * v), 4) AS s FROM field0)"""
 
 
-def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """jet_id, index, lon, lat, s, u, v, is_polar: one path a user."""
+def paths(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """jet_id, index, lon, lat, s, u, v, is_polar: one path a user; and ``more`` columns of the events."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -83,7 +83,7 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("jet_id"), "index", F.round(F.pmod(F.col("value") * 37, F.lit(360.0)) - 180, 4).alias("lon"),
         F.round(F.pmod(F.col("value") * 11, F.lit(120.0)) - 60, 4).alias("lat"), F.round(F.col("value") + 1, 4).alias("s"),
         F.round(F.pmod(F.col("value") * 7, F.lit(20.0)) + 1, 4).alias("u"), F.round(F.pmod(F.col("value") * 3, F.lit(10.0)) - 5, 4).alias("v"),
-        F.round(F.pmod(F.col("value"), F.lit(1.0)), 4).alias("is_polar"),
+        F.round(F.pmod(F.col("value"), F.lit(1.0)), 4).alias("is_polar"), *more,
     )
 
 
