@@ -8,7 +8,7 @@ parameter (the labels of a map), the number of levels the logarithm of the axis.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .graph import cut_lineage
@@ -17,35 +17,59 @@ from .graph import cut_lineage
 STEPS = 1024
 
 
-def prefixes(delta: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    """States before each symbol and after the last, by entering state: compositions by doubling, over whole arrays."""
-    after = delta[:, symbols].T.copy()
-    d = 1
-    while d < len(after):
-        after[d:] = np.take_along_axis(after[d:], after[:-d].copy(), axis=1)
-        d *= 2
-    return np.concatenate((np.arange(len(delta))[None], after))
+def walk(delta: np.ndarray, breaks: np.ndarray, symbols: np.ndarray, begin: np.ndarray, size: np.ndarray, state: np.ndarray, each=None) -> tuple[np.ndarray, np.ndarray]:
+    """States after the last symbol of many blocks and the places of their last breaks in them (-1: none), a step of all
+    blocks at once. Block i holds ``size[i]`` symbols from ``begin[i]`` on; ``state`` has a row a block and a column for each
+    state in which it may be entered. ``each`` takes the places, states and last breaks after every step."""
+    order = np.argsort(size, kind="stable")
+    size, begin, state = size[order], begin[order], state[order]
+    last = np.full(state.shape, -1)
+    for j in range(size[-1] if len(size) else 0):
+        live = slice(np.searchsorted(size, j, "right"), None)
+        x, now = symbols[begin[live] + j][:, None], state[live]
+        last[live] = np.where(breaks[now, x], j, last[live])
+        state[live] = delta[now, x]
+        if each:
+            each(begin[live] + j, state[live], np.where(last[live] < 0, -1, begin[live, None] + last[live]))
+    last = np.where(last < 0, -1, begin[:, None] + last)
+    back = np.argsort(order, kind="stable")
+    return state[back], last[back]
 
 
 def _block(order: str, low: int, steps: int):
     return F.floor((F.col(order) - F.lit(low)) / steps).cast("bigint")
 
 
-def _block_maps(rows: DataFrame, keys: list[str], order: str, symbol: str, delta: np.ndarray, breaks: np.ndarray) -> DataFrame:
+def _packed(rows: DataFrame, keys: list[str], order: str, symbol: str) -> DataFrame:
+    """keys, block, ``q``: the rows of a block in order, at most as many as it has steps."""
+    return rows.groupBy(*keys, "block").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("t"), F.col(symbol).alias("x")))).alias("q"))
+
+
+def _unpacked(q: pa.ListArray) -> tuple[np.ndarray, ...]:
+    """Orders, symbols, and where each block begins and how many rows it has."""
+    flat, ends = q.flatten(), np.concatenate(([0], np.cumsum(q.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+    return flat.field("t").to_numpy(zero_copy_only=False), flat.field("x").to_numpy(zero_copy_only=False), ends[:-1], np.diff(ends)
+
+
+def _lists(x: pa.Array, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x)
+
+
+def _block_maps(packed: DataFrame, keys: list[str], delta: np.ndarray, breaks: np.ndarray) -> DataFrame:
     """By entering state the state at a block's end and the step of the last break in it (null: none)."""
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    kinds = {f.name: f.dataType.simpleString() for f in packed.schema}
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order)
-        t, x = frame[order].to_numpy(), frame[symbol].to_numpy()
-        states = prefixes(delta, x)
-        broke = breaks[states[:-1], x[:, None]]
-        last = len(t) - 1 - broke[::-1].argmax(axis=0)
-        since = [int(t[i]) if any_ else None for i, any_ in zip(last, broke.any(axis=0))]
-        return pd.DataFrame([[*key, states[-1].tolist(), since]], columns=[*keys, "block", "ends", "since"])
+    def run(batches):
+        for batch in batches:
+            t, x, begin, size = _unpacked(batch.column("q"))
+            state, last = walk(delta, breaks, x, begin, size, np.tile(np.arange(len(delta)), (len(size), 1)))
+            ends = np.arange(len(size) + 1) * len(delta)
+            since = pa.array(t[np.maximum(last, 0)].ravel(), mask=(last < 0).ravel())
+            columns = [batch.column(k) for k in (*keys, "block")] + [_lists(pa.array(state.ravel()), ends), _lists(since, ends)]
+            yield pa.RecordBatch.from_arrays(columns, [*keys, "block", "ends", "since"])
 
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + ["block bigint, ends array<bigint>, since array<bigint>"])
-    return rows.groupBy(*keys, "block").applyInPandas(run, schema)
+    return packed.mapInArrow(run, schema)
 
 
 def _above(maps: DataFrame, keys: list[str], steps: int) -> DataFrame:
@@ -87,30 +111,41 @@ def scan(df: DataFrame, keys: list[str], order: str, symbol: str, delta: np.ndar
     Rows without an order or a symbol are left out.
     """
     delta, breaks = np.asarray(delta, np.int64), np.asarray(breaks, bool)
-    rows = df.where(F.col(order).isNotNull() & F.col(symbol).isNotNull()).select(*keys, F.col(order).cast("bigint").alias(order), F.col(symbol).cast("bigint").alias(symbol))
+    rows = df.dropna(subset=[*keys, order, symbol]).select(*keys, F.col(order).cast("bigint").alias(order), F.col(symbol).cast("bigint").alias(symbol))
     low, high = rows.agg(F.min(order), F.max(order)).first()
-    rows = rows.withColumn("block", _block(order, low or 0, steps))
-    levels, blocks = [cut_lineage(_block_maps(rows, keys, order, symbol, delta, breaks))], ((high or 0) - (low or 0)) // steps
-    while blocks > 0:
-        levels.append(cut_lineage(_composed(levels[-1], keys, len(delta), steps)))
-        blocks //= steps
-    entered = levels[-1].select(*keys, "block", F.lit(0).cast("bigint").alias("state"), F.lit(None).cast("bigint").alias("since"))
-    for maps in levels[-2::-1]:
-        entered = _entered(maps, entered, keys, steps)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order)
-        t, x = frame[order].to_numpy(), frame[symbol].to_numpy()
-        state, since = int(frame["state"].iloc[0]), frame["since"].iloc[0]
-        states = prefixes(delta, x)[:, state]
-        broke = breaks[states[:-1], x]
-        last = np.maximum.accumulate(np.where(broke, np.arange(len(t)), -1))
-        before = None if pd.isna(since) else int(since)
-        return frame[[*keys, order, symbol]].assign(state=states[1:], since=pd.array([int(t[i]) if i >= 0 else before for i in last], "Int64"))
-
-    schema = ", ".join([f"`{k}` {kinds[k]}" for k in (*keys, order, symbol)] + ["state bigint", "since bigint"])
-    return rows.join(entered, [*keys, "block"]).groupBy(*keys, "block").applyInPandas(run, schema)
+    packed, blocks = _packed(rows.withColumn("block", _block(order, low or 0, steps)), keys, order, symbol), ((high or 0) - (low or 0)) // steps
+    start = (F.lit(0).cast("bigint").alias("state"), F.lit(None).cast("bigint").alias("since"))
+    if blocks == 0:  # each key is one block, entered in state 0
+        packed = packed.select("*", *start)
+    else:
+        levels = [cut_lineage(_block_maps(packed, keys, delta, breaks))]
+        while blocks > 0:
+            levels.append(cut_lineage(_composed(levels[-1], keys, len(delta), steps)))
+            blocks //= steps
+        entered = levels[-1].select(*keys, "block", *start)
+        for maps in levels[-2::-1]:
+            entered = _entered(maps, entered, keys, steps)
+        packed = packed.join(entered, [*keys, "block"])
+
+    def run(batches):
+        for batch in batches:
+            t, x, begin, size = _unpacked(batch.column("q"))
+            after, broke = np.zeros(len(t), np.int64), np.zeros(len(t), np.int64)
+
+            def keep(at, state, last):
+                after[at], broke[at] = state[:, 0], last[:, 0]
+
+            walk(delta, breaks, x, begin, size, batch.column("state").to_numpy(zero_copy_only=False)[:, None].copy(), keep)
+            before, known = batch.column("since").fill_null(0).to_numpy(zero_copy_only=False), batch.column("since").is_valid().to_numpy(zero_copy_only=False)
+            since = np.where(broke >= 0, t[np.maximum(broke, 0)], np.repeat(before, size))
+            since = pa.array(since, mask=(broke < 0) & ~np.repeat(known, size))
+            out = pa.StructArray.from_arrays([pa.array(t), pa.array(x), pa.array(after), since], ["t", "x", "state", "since"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], _lists(out, np.append(begin, len(t)))], [*keys, "o"])
+
+    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + ["o array<struct<t: bigint, x: bigint, state: bigint, since: bigint>>"])
+    out = packed.mapInArrow(run, schema).select(*keys, F.explode("o").alias("o"))
+    return out.select(*keys, F.col("o.t").alias(order), F.col("o.x").alias(symbol), "o.state", "o.since")
 
 
 def greedy_runs(distances: np.ndarray, sigma: float) -> tuple[np.ndarray, np.ndarray]:
