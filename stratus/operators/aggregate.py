@@ -11,6 +11,9 @@ from stratus.functions.sphere import RADIUS, degcos, haversine
 
 from .sequence import periodic_rolling
 
+#: Steps of a series that are met together.
+STRETCH = 64
+
 
 def path_integral(df: DataFrame, keys: list[str], order: str, value: Column | None = None, name: str = "int") -> DataFrame:
     """Trapezoid integral of ``value`` along the great-circle steps of each path; its length without a value."""
@@ -355,15 +358,25 @@ def residence_times(spells: DataFrame, long: int) -> DataFrame:
 
 def during_pvalues(spells: DataFrame, props: DataFrame, keys: list[str], order: str, value: str, n: int, seed: int = 0) -> DataFrame:
     """By spell the mean of a value during it and the share of ``n`` random places of the same length whose mean lies under
-    it (ties count half). Places are hashes of the seed, so results repeat; the key's steps are numbered once."""
+    it (ties, up to the order of sums, count half). Places are hashes of the seed, so results repeat; the key's steps are
+    numbered once and meet the places by stretches of ``STRETCH``, not one by one."""
     rows = props.withColumn("__i", F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1)
     size = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
     seen = spells.join(props.select(*keys, order, value), [*keys, order]).groupBy(*keys, "spell").agg(F.avg(value).alias("during"), F.count("*").alias("len"))
     draws = seen.join(size, keys).withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     start = F.pmod(F.xxhash64(F.lit(seed), "__s", "spell", *keys), F.greatest(F.col("__n") - F.col("len") + 1, F.lit(1)))
-    places = draws.select(*keys, "spell", "during", "len", "__s", F.explode(F.sequence(start, start + F.col("len") - 1)).alias("__i"))
-    means = places.join(rows.select(*keys, "__i", F.col(value).alias("__v")), [*keys, "__i"]).groupBy(*keys, "spell", "during", "len", "__s").agg(F.avg("__v").alias("__m"))
-    under = F.avg(F.when(F.col("__m") < F.col("during"), 1.0).when(F.col("__m") == F.col("during"), 0.5).otherwise(0.0))
+    draws = draws.withColumn("__a", start).withColumn("__z", F.col("__a") + F.col("len") - 1)
+    blocks = F.explode(F.sequence(F.floor(F.col("__a") / STRETCH), F.floor(F.col("__z") / STRETCH)))
+    places = draws.select(*keys, "spell", "during", "len", "__s", "__a", "__z", blocks.alias("__b"))
+    seq = F.array_sort(F.collect_list(F.struct("__i", F.col(value).cast("double").alias("v"))))
+    series = rows.groupBy(*keys, F.floor(F.col("__i") / STRETCH).alias("__b")).agg(F.transform(seq, lambda x: x.v).alias("__q"))
+    low, high = F.greatest(F.col("__a") - F.col("__b") * STRETCH, F.lit(0)), F.least(F.col("__z") - F.col("__b") * STRETCH, F.lit(STRETCH - 1))
+    met = places.hint("merge").join(series, [*keys, "__b"])
+    met = met.withColumn("__q", F.array_compact(F.slice("__q", (low + 1).cast("int"), (high - low + 1).cast("int"))))
+    met = met.select(*keys, "spell", "during", "len", "__s", F.aggregate("__q", F.lit(0.0), lambda acc, x: acc + x).alias("__m"), F.size("__q").alias("__k"))
+    means = met.groupBy(*keys, "spell", "during", "len", "__s").agg(F.try_divide(F.sum("__m"), F.sum("__k")).alias("__m"))
+    even = F.abs(F.col("__m") - F.col("during")) <= 1e-12 * F.greatest(F.abs("__m"), F.abs("during"))
+    under = F.avg(F.when(even, 0.5).when(F.col("__m") < F.col("during"), 1.0).otherwise(0.0))
     return means.groupBy(*keys, "spell", "during", "len").agg(under.alias("p"))
 
 
