@@ -44,6 +44,7 @@ class PieceCodec:
         probe = " ﬁ  A\t"
         self.plain = sp.normalize(probe) == MARK + probe.replace(" ", MARK)
         self.stable: dict[tuple[str, str], bool] = {}
+        self.whole: dict[str, bool] = {}  # pieces that merging makes of their own text
         self.memo: dict[str, bytes] = {}
 
     def normalised(self, text: str) -> str:
@@ -79,11 +80,17 @@ class PieceCodec:
             out = self.stable[pair] = self.merge(last + piece) == [last, piece]
         return out
 
+    def first(self, piece: str) -> bool:
+        out = self.whole.get(piece)
+        if out is None:
+            out = self.whole[piece] = self.merge(piece) == [piece]
+        return out
+
     def _segment(self, words: list[str]) -> None:
         """Learn sorted distinct words."""
         states: list[tuple[float, str]] = [(0.0, "")]  # of prefixes: score and last piece
         before = ""
-        pieces, scores, longest = self.ids, self.scores, self.longest
+        pieces, scores, longest, known = self.ids, self.scores, self.longest, self.stable
         for word in words:
             if self.merging and word.startswith(2 * MARK):  # runs of spaces merge in ranks that tie
                 self.memo[word] = self._ids(self.merge(word))
@@ -99,7 +106,12 @@ class PieceCodec:
                         piece = word[begin:end]
                         if (begin == end - 1 or piece in pieces) and states[begin] is not None:
                             last = states[begin][1]
-                            if (self.merge(piece) == [piece]) if not begin else self.follows(last, piece):
+                            if begin:
+                                fits = known.get((last, piece))
+                                fits = self.follows(last, piece) if fits is None else fits
+                            else:
+                                fits = end == 1 or self.first(piece)
+                            if fits:
                                 state = (0.0, piece)
                                 break
                 else:
