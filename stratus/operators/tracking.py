@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from stratus.functions.measures import slowness
 from stratus.functions.sphere import RADIUS
 
-from .graph import connected_components
+from .graph import connected_components, cut_lineage
 from .joins import successor_join
 
 
@@ -109,7 +109,7 @@ def connect(cross: DataFrame, keys: list[str], order: str, max_dist: float, min_
     ok = cross.where((F.col("dist") <= max_dist) & (F.col("lon_overlap") >= min_overlap)).withColumn("slowness", slowness(F.col("lon_overlap"), F.greatest(F.col("dist"), F.lit(1.0)), seconds))
     best = ok.groupBy(*keys, order, "jet_id").agg(F.max_by("jet_id_right", F.struct("slowness", -F.col("jet_id_right"))).alias("jet_id_right"))
     a, b = F.xxhash64(*keys, order, "jet_id"), F.xxhash64(*keys, F.col(order) + dt, "jet_id_right")
-    edges = best.withColumns({"a": a, "b": b})
+    edges = cut_lineage(best.withColumns({"a": a, "b": b}))  # read several times; distances are taken once
     parts = connected_components(edges)
     nodes = edges.select(*keys, order, "jet_id", F.col("a").alias("node")).unionByName(edges.select(*keys, (F.col(order) + dt).alias(order), F.col("jet_id_right").alias("jet_id"), F.col("b").alias("node"))).distinct()
     named = nodes.join(parts, "node").drop("node")
